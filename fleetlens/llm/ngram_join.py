@@ -267,7 +267,8 @@ def links(docs: DataFrame, routed: DataFrame, k: int, percent: int) -> DataFrame
     # in a block of several parts, part i meets part j in task (i, j)
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     tasks = placed.select("doc_id", "block", "part", other).select("doc_id", F.xxhash64("block", F.least("part", "other"), F.greatest("part", "other")).alias("task"), "block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part")
-    rows = tasks.join(docs, "doc_id").select("block", "i", "j", "part", "doc_id", "text")
+    # one strategy at every size: texts are dealt by id, and the small side is hashed
+    rows = docs.join(tasks.hint("shuffle_hash"), "doc_id").select("block", "i", "j", "part", "doc_id", "text")
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
