@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -30,8 +31,8 @@ from fleetlens.llm.common import ship_package
 _BLANK = r"\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 #: How byte-level vocabularies of this kind cut a text into words.
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_BLANK}\p{{L}}\p{{N}}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
-#: Encodings that a worker keeps from batch to batch; beyond, it starts again.
-KEPT_WORDS = 600_000
+#: Encodings that a worker keeps from batch to batch; when it has so many, it keeps those, as long as they serve.
+KEPT_WORDS = 1_300_000
 #: Words laid out at once.
 SLICE = 1_000_000
 
@@ -147,13 +148,14 @@ _kept: dict[str, dict[bytes, bytes]] = {}
 def _encodings(path: str, words: list[bytes]) -> list[bytes]:
     """Each word's ids as little-endian 32-bit integers."""
     v, kept = vocabulary(path), _kept.setdefault(path, {})
-    if new := sorted(w for w in words if w not in kept):
-        if len(kept) + len(new) > KEPT_WORDS:
-            kept.clear()
-            new = sorted(words)
-        for w, ids in zip(new, v.encode_sorted(new)):
-            kept[w] = np.array(ids, "<u4").tobytes()
-    return [kept[w] for w in words]
+    new = sorted(w for w in words if w not in kept)
+    if len(kept) + len(new) > KEPT_WORDS and 2 * len(new) > len(words):
+        kept.clear()
+        new = sorted(words)
+    found = dict(zip(new, (struct.pack(f"<{len(ids)}I", *ids) for ids in v.encode_sorted(new))))
+    if len(kept) + len(new) <= KEPT_WORDS:
+        kept.update(found)
+    return [kept[w] if w in kept else found[w] for w in words]
 
 
 def laid_out(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
