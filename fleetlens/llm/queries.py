@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, exact_dedup, ngram_join, packing, sharding, substring_dedup, warc
+from fleetlens.llm import bpe, exact_dedup, ngram_join, packing, sharding, substring_dedup, toxicity, warc
 from fleetlens.llm.common import documents, shared_dir
 
 
@@ -26,6 +26,11 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(documents(spark, sf_dir), k=3, percent=90)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, documents(spark, sf_dir, "labels")))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), byte_bpe(), capacity=1024, end_id=0)
 
@@ -52,6 +57,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_ngram_join": op3_ngram_join,
+    "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_exact_dedup": op7_exact_dedup,
