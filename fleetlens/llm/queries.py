@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, exact_dedup, ngram_join, packing, sharding, substring_dedup, toxicity, warc
+from fleetlens.llm import bpe, exact_dedup, fingerprints, ngram_join, packing, sharding, substring_dedup, toxicity, warc
 from fleetlens.llm.common import documents, shared_dir
 
 
@@ -44,6 +44,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir), keep="largest")
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_versions(documents(spark, sf_dir))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir), shards=24, law="rows").withColumn("grown_shard", F.lit(None).cast("int"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_fingerprints": op8_fingerprints,
     "op9_sharding": op9_sharding,
     "op10_warc": op10_warc,
 }
