@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, exact_dedup, fingerprints, ngram_join, packing, sharding, substring_dedup, toxicity, warc
+from fleetlens.llm import bpe, exact_dedup, fingerprints, licenses, ngram_join, packing, sharding, substring_dedup, toxicity, warc
 from fleetlens.llm.common import documents, shared_dir
 
 
@@ -18,6 +18,10 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(documents(spark, sf_dir))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), byte_bpe())
 
@@ -59,6 +63,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_bpe": op2_bpe,
     "op3_ngram_join": op3_ngram_join,
     "op4_toxicity": op4_toxicity,
