@@ -179,6 +179,33 @@ def duplicate_windows(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text
     return sent.groupBy("bucket").applyInPandas(bucket, "doc_id long, start long, windows long")
 
 
+def kept(words: list[bytes], runs, k: int) -> list[bytes]:
+    """The words outside the runs of repeating windows."""
+    keep = np.ones(len(words), bool)
+    for r in runs:
+        keep[r["start"] : r["start"] + r["windows"] + k - 1] = False
+    return [words[i] for i in np.flatnonzero(keep)]
+
+
+def without_repeats(docs: DataFrame, k: int = 50, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """docs, all rows and columns, without the words that repeat; texts that lose nothing stay as they are.
+
+    What stays of a text are its kept words with one blank between them; length_col, where docs has it, is counted anew.
+    """
+    runs = duplicate_windows(docs, k, id_col, text_col).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("start", "windows")).alias("__runs"))
+    rows = docs.join(runs.hint("shuffle_hash"), F.col(id_col) == F.col("__id"), "left")
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, runs: pd.Series) -> pd.Series:
+        return pd.Series([t if r is None or t is None else b" ".join(kept(t.encode().split(), r, k)).decode() for t, r in zip(text, runs)], dtype=object)
+
+    out = rows.withColumn("__cut", F.when(F.col("__runs").isNotNull(), cut(F.col(text_col), F.col("__runs"))).otherwise(F.col(text_col)))
+    new = {text_col: F.col("__cut")}
+    if length_col in docs.columns:
+        new[length_col] = F.when(F.col("__runs").isNotNull(), F.length("__cut").cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col))
+    return out.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
+
+
 def substring_dedup(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) for every row: kept words with one blank between them."""
     runs = duplicate_windows(docs, k, id_col, text_col).groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
@@ -186,18 +213,15 @@ def substring_dedup(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_c
 
     def cut(batches):
         for b in batches:
-            n_words, n_removed, kept = [], [], []
+            n_words, n_removed, left = [], [], []
             for raw, runs in zip(b.column("text"), b.column("runs")):
                 words = (raw.as_py() or b"").split()
                 runs = runs.as_py()
                 n_words.append(len(words))
                 if runs:
-                    keep = np.ones(len(words), bool)
-                    for r in runs:
-                        keep[r["start"] : r["start"] + r["windows"] + k - 1] = False
-                    words = [words[i] for i in np.flatnonzero(keep)]
+                    words = kept(words, runs, k)
                 n_removed.append(n_words[-1] - len(words))
-                kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
+                left.append(b" ".join(words))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(left, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
     return texts.join(runs.hint("shuffle_hash"), "doc_id", "left").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")
