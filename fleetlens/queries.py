@@ -1,4 +1,6 @@
 """Registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from fleetlens.plans import series  # noqa: F401
+from fleetlens.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
