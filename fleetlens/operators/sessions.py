@@ -35,10 +35,7 @@ def day_segments(df: DataFrame, mode: str = "mode", merge_min: float = 15, out:
     after = F.first(F.when(charging, F.col(T)), True).over(series().rowsBetween(0, Window.unboundedFollowing))
     # between two charging rows that one envelope joins
     inside = charging | F.coalesce(after - before <= merge_min * 60, F.lit(False))
-    df = df.withColumns({"__in": inside, "__before": before, "__charging": charging})
-    # two envelopes may follow each other without a row between them
-    apart = F.col("__charging") & (F.col(T) - F.lag("__before").over(series()) > merge_min * 60)
-    return islands(df, F.col("__in"), out, apart).drop("__in", "__before", "__charging")
+    return islands(df.withColumn("__in", inside), F.col("__in"), out).drop("__in")
 
 
 def session_metrics(df: DataFrame, session: str = "session", min_rows: int = 2) -> DataFrame:
@@ -149,11 +146,11 @@ def state_transitions(df: DataFrame, command: str = "command", mode: str = "tms_
 
 def state_groups(df: DataFrame, key: Column) -> DataFrame:
     """Runs of one state: time, temperatures at start and end, median, active minutes by the time after each row."""
-    df = df.withColumns({"__key": key, "__next": F.coalesce(F.lead(T).over(series()) - F.col(T), F.lit(0))})
-    df = islands(df, F.col("__key"), "group")
+    df = df.withColumns({"__state": key, "__next": F.coalesce(F.lead(T).over(series()) - F.col(T), F.lit(0))})
+    df = islands(df, F.col("__state"), "group")
     at = F.struct(T, SEQ)
     return df.groupBy(ID, "group").agg(
-        F.first("__key").alias("state"), F.min(T).alias("start"), F.max(T).alias("end"), F.count("*").alias("rows"), F.min_by("tmax", at).alias("t_start"), F.max_by("tmax", at).alias("t_end"),
+        F.first("__state").alias("state"), F.min(T).alias("start"), F.max(T).alias("end"), F.count("*").alias("rows"), F.min_by("tmax", at).alias("t_start"), F.max_by("tmax", at).alias("t_end"),
         F.median("tmax").alias("t_median"), F.mode("tmax", True).alias("t_mode"), F.round(F.sum(F.when(F.col("amps") != 0, F.col("__next")).otherwise(0)) / 60, 3).alias("active_min"),
     )
 

@@ -66,6 +66,7 @@ def tolerance_join(left: DataFrame, right: DataFrame, tolerance: int, t_left: st
 
 def align_minute_rank(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
     """The n-th sample of a minute with the n-th of the same minute."""
+
     def ranked(df: DataFrame) -> DataFrame:
         df = df.withColumn("minute", F.floor(F.col(T) / 60))
         return df.withColumn("rn", F.row_number().over(Window.partitionBy(ID, "minute").orderBy(T, SEQ)))
