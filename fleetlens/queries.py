@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from fleetlens.plans import series, sessions  # noqa: F401
+from fleetlens.plans import reports, series, sessions  # noqa: F401
 from fleetlens.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
