@@ -162,7 +162,7 @@ def in_order(docs: DataFrame, partitions: int, id_col: str, text_col: str) -> Da
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keyed = rows.withColumn("key", F.col("doc_id").cast("double"))
     bounds = keyed.approxQuantile("key", [i / partitions for i in range(1, partitions)], 0.2 / partitions) if partitions > 1 else []
-    splits = [-float("inf"), *sorted(set(bounds)), float("inf")]
+    splits = [-float("inf"), *(sorted(set(bounds)) or [0.0]), float("inf")]
     placed = Bucketizer(splits=splits, inputCol="key", outputCol="b", handleInvalid="keep").transform(keyed)
     # largest ids first, null ids last
     slot = F.when(F.col("doc_id").isNull(), len(splits)).otherwise(len(splits) - F.col("b")).cast("int")
