@@ -76,6 +76,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op6_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        p AS (SELECT doc_id, w, unnest(range(0, len(w) - 19)) AS s FROM d WHERE len(w) >= 20),
+        f AS (SELECT doc_id, s, row_number() OVER (PARTITION BY array_to_string(w[s + 1 : s + 20], ' ') ORDER BY doc_id, s) AS r FROM p),
+        c AS (SELECT DISTINCT doc_id, s + o AS pos FROM f, range(20) t(o) WHERE r > 1),
+        x AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM d),
+        k AS (SELECT x.doc_id, count(c.pos) AS n_removed, string_agg(CASE WHEN c.pos IS NULL THEN word END, ' ' ORDER BY x.pos) AS kept
+              FROM x LEFT JOIN c ON x.doc_id = c.doc_id AND x.pos = c.pos GROUP BY x.doc_id)
+        SELECT d.doc_id, CAST(len(w) AS bigint) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN k ON d.doc_id = k.doc_id""",
     "op7_exact_dedup": """
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
