@@ -79,7 +79,7 @@ def detections(docs: DataFrame, base: dict[str, str] | None = None, id_col: str
 
     def step(acc: Column, h: Column) -> Column:
         last = -h["end"]
-        kept = F.array_max(F.slice(acc["reach"], 1, h["priority"] + 1)) < last
+        kept = (h["priority"] == 0) | (F.array_max(F.slice(acc["reach"], 1, h["priority"] + 1)) < last)
         hit = F.struct(h["first"].alias("first"), last.alias("last"), h["priority"].alias("priority"), h["rule"].alias("rule"), h["label"].alias("label"), kept.alias("kept"))
         reach = F.transform(acc["reach"], lambda x, i: F.when((i == h["priority"]) & (x < last), last).otherwise(x))
         return F.struct(reach.alias("reach"), F.concat(acc["out"], F.array(hit)).alias("out"))
