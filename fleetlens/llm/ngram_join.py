@@ -6,15 +6,17 @@ components of all links, without listing the pairs inside a group.
 1. Routing. Linked sets of n and m elements differ in at most (n + m)(1 - t)/(1 + t) of them. Cut a set by hash into one
    part more than that: at least one part is the same in both. Each part's content is a signature; documents that share
    none can't link. Sizes fall into bands so that partners are in one band or the next, and a document gives signatures
-   for both. Each task first groups its own rows, chunk by chunk: exact copies collapse, and of documents that share a
-   signature only the smallest id (the hub) goes on, so a signature that a third of all rows carry travels once a chunk.
-   Documents follow their hubs, and hubs the smallest hub that shares a signature: that names the blocks, and any two
-   documents that share a signature meet in one. Codes only route: a false meeting costs time, not truth.
-2. Search, inside a block: inverted lists from n-gram to documents. For each document its short lists are merged, and
+   for both. Each task first groups its own rows, chunk by chunk: exact copies collapse, and where more than CROWD
+   documents share a signature only the smallest id (the hub) goes on, so a signature that a third of all rows carry
+   travels at most CROWD times a chunk. A block holds the documents that share a signature with its smallest id; those
+   behind a hub follow it. So any two documents that share a signature meet in a block. Codes only route: a false meeting costs time, not truth.
+2. Before texts travel, parity bits of the sets (an eighth to a quarter of a byte for each n-gram) rule out those that no
+   other of their block can link with: sets differ in at least as many n-grams as in bits.
+3. Search, inside a block: inverted lists from n-gram to documents. For each document its short lists are merged, and
    what occurs often enough there is probed in the long lists by binary search (DivideSkip); who reaches the overlap that
    the threshold needs is a link. A document already connected with the query isn't probed again. Blocks with more
    n-grams than a task should hold are cut into parts, and every two parts meet in a task of their own.
-3. Components of the links, in the shared checkpoint folder.
+4. Components of the links, in the shared checkpoint folder.
 
 Words are runs of non-blank bytes, A-Z lower-cased. A text with fewer than n words, but some, is one n-gram; without
 words the set is empty and links with nothing. Null texts have no words. Rows that repeat an id are separate rows of one
@@ -36,6 +38,8 @@ from fleetlens.llm.wordcodes import BASE, chunks, dictionary, groups_of, mix, pa
 
 #: Words that a task groups at once, and n-grams in one part of a block.
 CHUNK_WORDS, PART_GRAMS = 1_000_000, 600_000
+#: Documents of a chunk that may share a signature before one of them stands for all.
+CROWD = 64
 #: DivideSkip's weight of a merged posting against a probe.
 MU = 0.0085
 
@@ -107,6 +111,50 @@ def signatures(codes: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarr
     return np.concatenate(sigs), np.concatenate(rows)
 
 
+def parities(codes: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Each set as bits: which of 2^j slots an odd number of its n-grams fall into. 2^j is at least 256 and its size."""
+    slots = np.maximum(256, 2 ** np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    base = np.cumsum(slots) - slots
+    row = np.repeat(np.arange(len(n)), n)
+    at = base[row] + (mix(codes ^ np.uint64(0x2545F4914F6CDD1D)) & (slots[row] - 1).astype(np.uint64)).astype(np.int64)
+    raw = np.packbits((np.bincount(at, minlength=int(slots.sum())) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [raw[a:b] for a, b in zip((base // 8).tolist(), ((base + slots) // 8).tolist())]
+
+
+def may_link(bits: list[bytes], n: np.ndarray, percent: int, side: np.ndarray | None = None) -> np.ndarray:
+    """Marks the sets that parities don't rule out: sets differ in at least as many n-grams as their bits do."""
+    width = min(map(len, bits))
+    rows = []
+    for b in bits:
+        x = np.frombuffer(b, np.uint64)
+        while len(x) * 8 > width:  # half as many slots: the halves' parities add up
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        rows.append(x)
+    x = np.stack(rows)
+    out = np.zeros(len(n), bool)
+    for i in np.flatnonzero(n > 0):
+        close = np.flatnonzero((100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & ((side != side[i]) if side is not None else True))
+        close = close[close != i]
+        if not out[i] and len(close):
+            out[i] = (np.bitwise_count(x[close] ^ x[i]).sum(1, dtype=np.int64) * (100 + percent) <= (n[close] + n[i]) * (100 - percent)).any()
+    return out
+
+
+def blockwise(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(block, i, j) and its rows (the other columns), for batches sorted by those."""
+    held: list[tuple] = []
+    key = None
+    for b in batches:
+        for r in zip(*(b.column(c).to_pylist() for c in ("block", "i", "j", *columns))):
+            if r[:3] != key:
+                if len(held) > 1:
+                    yield key, held
+                key, held = r[:3], []
+            held.append(r[3:])
+    if len(held) > 1:
+        yield key, held
+
+
 class Forest:
     """Components of a block's documents: the least number of each."""
 
@@ -179,20 +227,20 @@ def search(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None)
 
 
 def _routed(texts: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
-    """One table of kinds: size (a: doc, b: set size), same (a and b: copies), local (a: doc, b: its hub), signature (bucket, sigs, hubs)."""
+    """One table of kinds: size (a: doc, b: set size, bits: its parities), same (a and b: copies), local (a: doc, b: its hub), signature (bucket, sigs, hubs)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch(kind, a=None, b=None, bucket=None, sigs=None, hubs=None):
+        def batch(kind, a=None, b=None, bucket=None, sigs=None, hubs=None, bits=None):
             m = len(a if a is not None else bucket)
             none = [None] * m
             long = lambda x: pa.array(none if x is None else x, pa.int64())
             binary = lambda x: pa.array(none if x is None else x, pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([kind] * m, pa.string()), long(a), long(b), long(bucket), binary(sigs), binary(hubs)], ["kind", "a", "b", "bucket", "sigs", "hubs"])
+            return pa.RecordBatch.from_arrays([pa.array([kind] * m, pa.string()), long(a), long(b), long(bucket), binary(sigs), binary(hubs), binary(bits)], ["kind", "a", "b", "bucket", "sigs", "hubs", "bits"])
 
         for ids, words in chunks(batches, CHUNK_WORDS, lower=True):
             codes, n = gram_sets(words, k)
             del words
-            yield batch("size", ids, n)
+            yield batch("size", ids, n, bits=parities(codes, n))
             doc = np.array([-1 if i is None else i for i in ids], np.int64)
             row = np.repeat(np.arange(len(n)), n)
             spread = mix(codes)
@@ -216,19 +264,20 @@ def _routed(texts: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
             by = np.lexsort((doc[owner], sig))
             sig, who = sig[by], doc[owner[by]]
             first, length = groups_of(sig)
-            hub = np.repeat(who[first], length)
+            crowded = np.repeat(length > CROWD, length)
+            hub = np.where(crowded, np.repeat(who[first], length), who)
             away = who != hub
             if away.any():
                 pair = np.unique(np.stack([who[away], hub[away]], 1), axis=0)
                 yield batch("local", pair[:, 0], pair[:, 1])
-            sig, hub = sig[first], who[first]
+            sig, hub = sig[~away], hub[~away]
             bucket = (sig % np.uint64(buckets)).astype(np.int64)
             short = (sig >> np.uint64(32)).astype("<u4")
             by = np.lexsort((hub, bucket))
             at, size = groups_of(bucket[by])
             yield batch("signature", bucket=bucket[by][at], sigs=[pack(short[by[i : i + j]]) for i, j in zip(at, size)], hubs=[pack(hub[by[i : i + j]]) for i, j in zip(at, size)])
 
-    return texts.mapInArrow(task, "kind string, a long, b long, bucket long, sigs binary, hubs binary")
+    return texts.mapInArrow(task, "kind string, a long, b long, bucket long, sigs binary, hubs binary, bits binary")
 
 
 def _met(routed: DataFrame) -> DataFrame:
@@ -266,39 +315,31 @@ def links(docs: DataFrame, routed: DataFrame, k: int, percent: int) -> DataFrame
     placed = blocks.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     # in a block of several parts, part i meets part j in task (i, j)
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    tasks = placed.select("doc_id", "block", "part", other).select("doc_id", F.xxhash64("block", F.least("part", "other"), F.greatest("part", "other")).alias("task"), "block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part")
-    # one strategy at every size: texts are dealt by id, and the small side is hashed
-    rows = docs.join(tasks.hint("shuffle_hash"), "doc_id").select("block", "i", "j", "part", "doc_id", "text")
+    tasks = placed.select("doc_id", "block", "part", other).select("doc_id", "block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part")
+    bits = routed.where("kind = 'size'").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), "bits")
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        key = None
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, held in blockwise(batches, ("part", "doc_id", "n", "bits")):
+            side = np.array([r[0] for r in held]) if key[1] != key[2] else None
+            stay = [held[i] for i in np.flatnonzero(may_link([r[3] for r in held], np.array([r[2] for r in held]), percent, side))]
+            if stay:
+                columns = [*([k] * len(stay) for k in key), [r[0] for r in stay], [r[1] for r in stay]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["block", "i", "j", "part", "doc_id"])
 
-        def block() -> list[tuple[int, int]]:
-            ids = [r[1] for r in held]
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, held in blockwise(batches, ("part", "doc_id", "text")):
             codes, n = gram_sets([(r[2] or b"").lower().split() for r in held], k)
             ends = np.cumsum(n)
             sets = [codes[a:b] for a, b in zip((ends - n).tolist(), ends.tolist())]
             side = np.array([r[0] for r in held]) if key[1] != key[2] else None
-            return [(ids[a], ids[b]) for a, b in search(sets, percent, side)]
-
-        out: list[tuple[int, int]] = []
-        for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("block", "i", "j", "part", "doc_id", "text"))):
-                if r[:3] != key:
-                    if len(held) > 1:
-                        out += block()
-                    key, held = r[:3], []
-                held.append(r[3:])
-            if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
-                out = []
-        if len(held) > 1:
-            out += block()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
-
-    return rows.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "doc_id").mapInArrow(found, "a long, b long")
+            if pairs := [(held[a][1], held[b][1]) for a, b in search(sets, percent, side)]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], ["a", "b"])
+
+    in_blocks = lambda df: df.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "doc_id")
+    some = in_blocks(bits.join(tasks.hint("shuffle_hash"), "doc_id")).mapInArrow(likely, "block long, i long, j long, part long, doc_id long").distinct()
+    # one strategy at every size: texts are dealt by id, and the small side is hashed
+    rows = docs.join(some.hint("shuffle_hash"), "doc_id").select("block", "i", "j", "part", "doc_id", "text")
+    return in_blocks(rows).mapInArrow(found, "a long, b long")
 
 
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
