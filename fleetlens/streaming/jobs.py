@@ -1,4 +1,4 @@
-"""The alert and mileage jobs, run continuously with Structured Streaming."""
+"""The alert, mileage and sweep jobs, run continuously with Structured Streaming."""
 
 from __future__ import annotations
 
@@ -51,3 +51,33 @@ def stream_mode_sessions(df: DataFrame, max_gap_sec: int = 300, late: str = "10
 def stream_counts_15min(df: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Rows and mean speed of each vehicle and quarter of an hour."""
     return df.withWatermark("ts", late).groupBy("id", F.window("ts", "15 minutes").alias("w")).agg(F.count("*").alias("rows"), F.avg("speed").alias("speed")).select("id", F.col("w.start").alias("start"), "rows", "speed")
+
+
+def stream_sweep_cycles(df: DataFrame, sensors: int, sensor: str = "sensor") -> DataFrame:
+    """Sweeps over all sensors of a vehicle; its state is the set of sensors seen, the open sweep and the last one's end.
+
+    df: id, ts, sensor (null: none). Rows count in the order in which batches bring them, by time within a batch.
+    """
+
+    def one(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen_text, start, rows, cycle, before = state.get if state.exists else ("", None, 0, 0, None)
+        seen = {int(s) for s in seen_text.split(",") if s}
+        out: list[tuple] = []
+        held = pd.concat(list(batches)).sort_values("t", kind="stable")
+        for t, s in zip(held["t"].tolist(), held["sensor"]):
+            start = t if start is None else start
+            rows += 1
+            if s is not None and s == s:
+                seen.add(int(s))
+            if len(seen) == sensors:
+                cycle += 1
+                out.append((key[0], cycle, start, t, rows, None if before is None else start - before))
+                seen, start, rows, before = set(), None, 0, t
+        state.update((",".join(map(str, sorted(seen))), start, rows, cycle, before))
+        yield pd.DataFrame(out, columns=["id", "cycle", "start", "end", "rows", "since"]).astype({"since": "Int64"})
+
+    return (
+        df.select("id", F.unix_seconds("ts").alias("t"), F.col(sensor).cast("long").alias("sensor"))
+        .groupBy("id")
+        .applyInPandasWithState(one, "id string, cycle long, start long, end long, rows long, since long", "seen string, start long, rows long, cycle long, before long", "append", GroupStateTimeout.NoTimeout)
+    )
