@@ -1,11 +1,17 @@
 """Signature rules for license texts, notices and mentions.
 
-Each line: label | priority | keywords | pattern. Patterns match lower-cased words with one blank between them. Priority
+Each line: label | priority | keywords | pattern. Patterns match lower-cased words with one blank between them. A rule is
+tried where all its keywords stand; for wordings of the pattern that do without one of them, `gates` adds the words that
+such a wording must hold. Priority
 1: a license's own wording or a full name; 2: a notice that refers to one; 3: a mention; 4: a hint that needs a reader.
 """
 
 from __future__ import annotations
 
+from itertools import product
+from re import _constants as op
+from re import _parser
+
 #: How sure a detection of each priority is.
 CONFIDENCE = {0: 1.0, 1: 1.0, 2: 0.9, 3: 0.7, 4: 0.4}
 
@@ -252,10 +258,49 @@ license-mention | 4 | license | (open source|free software|software) license
 """
 
 
-def parsed() -> list[tuple[str, int, list[str], str]]:
-    """(label, priority, keywords, pattern) in the order they stand, which resolves ties."""
+#: Stands for characters that a pattern leaves open, blanks among them.
+OPEN = "\0"
+
+
+def wordings(pattern: str) -> set[str]:
+    """Every text that a pattern matches is one of these, with any characters in place of OPEN."""
+
+    def each(tree) -> set[str]:
+        return {"".join(x) for x in product(*(piece(*p) for p in tree))}
+
+    def piece(kind, arg) -> set[str]:
+        if kind is op.LITERAL:
+            return {chr(arg)}
+        if kind is op.SUBPATTERN:
+            return each(arg[-1])
+        if kind is op.BRANCH:
+            return set().union(*map(each, arg[1]))
+        if kind is op.IN and all(k is op.LITERAL for k, _ in arg):
+            return {chr(c) for _, c in arg}
+        if kind is op.MAX_REPEAT:
+            least, most, inner = arg
+            one = each(inner)
+            out = {"".join(x) for x in product(one, repeat=least)}
+            more = one if most == least + 1 else {x + OPEN for x in one}
+            return out | {a + b for a in out for b in more} if most > least else out
+        return {OPEN}
+
+    return each(_parser.parse(pattern))
+
+
+def gates(keywords: list[str], pattern: str) -> list[list[str]]:
+    """Sets of words, one of which stands whole in every text that the pattern matches."""
+    out: set[frozenset[str]] = set()
+    for w in wordings(pattern):
+        words = frozenset(x for x in w.split() if OPEN not in x)
+        out.add(frozenset(keywords) if words.issuperset(keywords) else words)
+    return sorted(sorted(g) for g in out if not any(g > other for other in out))
+
+
+def parsed() -> list[tuple[str, int, list[list[str]], str]]:
+    """(label, priority, gates, pattern) in the order they stand, which resolves ties."""
     out = []
     for line in RULES.strip().splitlines():
         label, priority, keywords, pattern = (x.strip() for x in line.split(" | ", 3))
-        out.append((label, int(priority), keywords.split(), pattern))
+        out.append((label, int(priority), gates(keywords.split(), pattern), pattern))
     return out

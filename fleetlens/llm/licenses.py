@@ -1,7 +1,8 @@
 """License scans: ordered signature rules behind a keyword prefilter. DataFrame functions only.
 
-A text is cut into lower-cased words once. Rules whose keywords all stand in it are tried, each a hand-written regular
-expression over the words with one blank between them; what they match is an interval of words. A detection is dropped
+A text is cut into lower-cased words once. A rule has sets of keywords, one of which every text holds that it matches;
+rules that have a set whose words all stand in the text are tried, each a hand-written regular expression over the words
+with one blank between them; what they match is an interval of words. A detection is dropped
 if its interval lies inside one of better priority, or of the same priority and longer (of equal ones the earlier rule
 stays). Base phrases have a priority of their own that nothing beats, so their places are all kept. Everything happens
 within a row: no shuffle, and memory grows with one text.
@@ -23,8 +24,8 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
 
-def rules(base: dict[str, str]) -> list[tuple[str, int, list[str], str]]:
-    return [(label, 0, phrase.split(), phrase) for phrase, label in base.items()] + parsed()
+def rules(base: dict[str, str]) -> list[tuple[str, int, list[list[str]], str]]:
+    return [(label, 0, [phrase.split()], phrase) for phrase, label in base.items()] + parsed()
 
 
 def _rule_table(base: dict[str, str]) -> tuple[Column, Column]:
@@ -32,11 +33,11 @@ def _rule_table(base: dict[str, str]) -> tuple[Column, Column]:
     every = rules(base)
     table = F.array(
         *(
-            F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"), F.lit(priority).alias("priority"), F.array(*map(F.lit, dict.fromkeys(keywords))).alias("keywords"), F.lit(f"(?<= )(?:{pattern})(?= )").alias("pattern"))
-            for i, (label, priority, keywords, pattern) in enumerate(every)
+            F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"), F.lit(priority).alias("priority"), F.array(*(F.array(*map(F.lit, dict.fromkeys(g))) for g in gates)).alias("gates"), F.lit(f"(?<= )(?:{pattern})(?= )").alias("pattern"))
+            for i, (label, priority, gates, pattern) in enumerate(every)
         )
     )
-    return table, F.array(*map(F.lit, sorted({k for _, _, keywords, _ in every for k in keywords})))
+    return table, F.array(*map(F.lit, sorted({k for _, _, gates, _ in every for g in gates for k in g})))
 
 
 def _blanks(text: Column) -> Column:
@@ -67,7 +68,7 @@ def detections(docs: DataFrame, base: dict[str, str] | None = None, id_col: str
     df = df.withColumn("list", F.when(F.col("words") == "", F.array().cast("array<string>")).otherwise(F.split("words", " ")))
     df = df.select("doc_id", "words", F.size("list").cast("long").alias("n_words"), F.array_intersect("list", keywords).alias("seen"))
     spaced = F.concat(F.lit(" "), F.col("words"), F.lit(" "))
-    tried = F.filter(table, lambda r: F.size(F.array_except(r["keywords"], F.col("seen"))) == 0)
+    tried = F.filter(table, lambda r: F.exists(r["gates"], lambda g: F.size(F.array_except(g, F.col("seen"))) == 0))
     df = df.select("doc_id", "n_words", "words", F.when(F.size("seen") > 0, tried).alias("tried"))
     hits = F.flatten(F.transform("tried", lambda r: _places(spaced, r)))
     df = df.select("doc_id", "n_words", F.when(F.size("tried") > 0, hits).alias("raw"))

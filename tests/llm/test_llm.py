@@ -246,6 +246,49 @@ def test_license_containment(spark):
     assert not [h for h in r.hits if h.kept and h.label == "license-mention" and h.first > 10]
 
 
+def examples(tree, rng):
+    """A text that a parsed pattern matches, by chance."""
+    out = ""
+    for kind, arg in tree:
+        name = str(kind)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "SUBPATTERN":
+            out += examples(arg[-1], rng)
+        elif name == "BRANCH":
+            out += examples(arg[1][rng.integers(len(arg[1]))], rng)
+        elif name == "IN":
+            kind, arg = arg[rng.integers(len(arg))]
+            out += "x" if str(kind) == "NEGATE" else chr(arg if str(kind) == "LITERAL" else arg[0])
+        elif name == "NOT_LITERAL":
+            out += "x"
+        else:
+            assert name == "MAX_REPEAT", name
+            out += "".join(examples(arg[2], rng) for _ in range(rng.integers(arg[0], min(int(arg[1]), arg[0] + 2) + 1)))
+    return out
+
+
+def test_license_gates_let_every_wording_pass(spark):
+    rng, rows = np.random.default_rng(1), []
+    for i, (_, _, gates, pattern) in enumerate(licenses.rules(licenses.BASE)):
+        assert all(gates), pattern
+        for text in {examples(re._parser.parse(pattern), rng) for _ in range(25)}:
+            assert re.fullmatch(pattern, text)
+            assert any(set(g) <= set(text.split()) for g in gates), (pattern, text)
+            rows.append((i, text))
+    found = licenses.detections(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "hits.rule").collect()
+    assert len(found) == len(rows) and not [r.doc_id for r in found if r.doc_id not in r.rule]
+
+
+@pytest.mark.parametrize("text,label", [
+    ("Beerware License", "beerware"), ("0BSD", "bsd-0-clause"), ("our terms of service", "terms-of-use"), ("for personal use", "noncommercial"), ("for noncommercial use", "noncommercial"),
+    ("for research purposes only", "academic-use"), ("Creative Commons Attribution-Share Alike 3.0", "cc-by-sa-3.0"), ("boost.org/LICENSE_1_0.txt", "boost-1.0"),
+])
+def test_license_wordings_without_a_keyword(spark, text, label):
+    (r,) = licenses.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert label in r.labels.split(",")
+
+
 def test_fingerprints(odd, docs, texts):
     rows = sorted(((i, t or "") for i, t in ODD if i != 12), reverse=True)
     for df, pairs in ((odd.where("doc_id <> 12"), rows), (docs, sorted(texts.items(), reverse=True))):
