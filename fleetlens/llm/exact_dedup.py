@@ -6,7 +6,8 @@ by two digests of the text (128 and 256 bits), without the text; should one pair
 the query raises an error instead of joining them.
 
 Null texts count as empty. Rows that repeat both the id and the text form one group and share the decision; a filter
-keeps one of them. An empty table gives an empty result. Other columns don't matter here.
+keeps one of them. A null id is nobody's: it stands for a group only where no row of the text has an id, and equal rows
+without an id count as repeated. An empty table gives an empty result. Other columns don't matter here.
 """
 
 from __future__ import annotations
@@ -43,5 +44,6 @@ def keep_one(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", te
     mark = [c for c in ("__hash", "__sha", "__id")]
     g = groups(docs, keep, id_col, text_col).select(F.col("hash128").alias(mark[0]), F.col("text_sha256").alias(mark[1]), F.col("keep_id").alias(mark[2]))
     rows = docs.withColumns({mark[0]: F.md5(text), mark[1]: F.sha2(text, 256), mark[2]: F.col(id_col)})
+    same = (F.col("d.__hash") == F.col("g.__hash")) & (F.col("d.__sha") == F.col("g.__sha")) & F.col("d.__id").eqNullSafe(F.col("g.__id"))
     # ids that repeat with the same text are rare, and few: copies are dropped by the semi join before
-    return rows.join(g, mark, "left_semi").dropDuplicates(mark).drop(*mark)
+    return rows.alias("d").join(g.alias("g"), same, "left_semi").dropDuplicates(mark).drop(*mark)

@@ -20,7 +20,10 @@ components of all links, without listing the pairs inside a group.
 
 Words are runs of non-blank bytes, A-Z lower-cased. A text with fewer than n words, but some, is one n-gram; without
 words the set is empty and links with nothing. Null texts have no words. Rows that repeat an id are separate rows of one
-node: their links count for it, and each row keeps its own set's size. An n-gram is known by a 64-bit code of its words.
+node: their links count for it, and each row keeps its own set's size. A row without an id can't be named in a link: it is
+reported with a null component. keep_first decides by rows instead (a 64-bit code of id and text names each), so that
+rows of one id with different texts, and rows without an id, are compared and kept or dropped one by one. An n-gram is
+known by a 64-bit code of its words.
 """
 
 from __future__ import annotations
@@ -360,6 +363,10 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose document is the smallest id of its component."""
-    stay = ngram_join(docs, k, percent, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("__stays")).distinct()
-    return docs.join(stay, F.col(id_col) == F.col("__stays"), "left_semi")
+    """The rows of docs, all columns, that are first in their component: by id, null ids last, then by the row's code."""
+    row = F.xxhash64(F.col(id_col), F.col(text_col))
+    named = docs.select(row.alias("__row"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    nodes = ngram_join(named, k, percent, "__row", "__text").select(F.col("doc_id").alias("__row"), "component_id")
+    order = F.struct(F.col("__id").isNull().alias("none"), "__id", "__row")
+    stay = nodes.join(named.select("__row", "__id").distinct(), "__row").groupBy("component_id").agg(F.min(order)["__row"].alias("__stays")).select("__stays")
+    return docs.join(stay, row == F.col("__stays"), "left_semi")

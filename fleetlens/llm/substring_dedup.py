@@ -11,7 +11,9 @@ a bucket's share of all runs (there can't be more of them than twice the buckets
 words instead of the minimiser, one string each.
 
 Null and empty texts have no words and nothing to remove. Texts under k words have no window. Rows that repeat an id
-count as the same document: of equal windows all that share the earliest (id, start) stay. Other columns don't matter.
+count as the same document: of equal windows all that share the earliest (id, start) stay; rows without an id are left out.
+without_repeats decides by rows instead (the id, then a 64-bit code of id and text): rows of one id with different texts
+are apart, and rows without an id come last. Other columns don't matter.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import ship_package
@@ -35,10 +37,11 @@ M = 3
 
 
 class Windows:
-    """The windows of one chunk, in (id, start) order."""
+    """The windows of one chunk, in (id, tie, start) order. keys: (doc_id, tie) of each text."""
 
-    def __init__(self, ids: list[int], texts: list[list[bytes]], k: int):
-        order = sorted((i for i, w in enumerate(texts) if len(w) >= k and ids[i] is not None), key=lambda i: ids[i])
+    def __init__(self, keys: list[dict], texts: list[list[bytes]], k: int):
+        key = [(x["doc_id"], x["tie"]) for x in keys]
+        order = sorted((i for i, w in enumerate(texts) if len(w) >= k and key[i][0] is not None), key=lambda i: key[i])
         self.words = [w for i in order for w in texts[i]]
         n = np.array([len(texts[i]) for i in order], np.int64)
         begin = np.cumsum(n) - n
@@ -50,7 +53,10 @@ class Windows:
         per_doc = n - k + 1
         #: first word of each window
         self.at = np.repeat(begin - (np.cumsum(per_doc) - per_doc), per_doc) + np.arange(per_doc.sum())
-        self.doc = np.repeat(np.array([ids[i] for i in order], np.int64), per_doc)
+        self.id, self.tie = np.array([key[i] for i in order], np.int64).T
+        #: rank of each window's document in the chunk, and the place of a text of that rank
+        rank, self.text_of = ranks(self.id, self.tie)
+        self.doc = np.repeat(rank, per_doc)
         self.row = np.repeat(np.arange(len(order)), per_doc)
         self.start = self.at - np.repeat(begin, per_doc)
         m = min(M, k)
@@ -89,6 +95,17 @@ def repeats(code: np.ndarray, doc: np.ndarray, start: np.ndarray, at: np.ndarray
     return out
 
 
+def ranks(doc: np.ndarray, tie: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rank of each pair among the distinct pairs, a place of the pair of each rank)."""
+    order = np.lexsort((tie, doc))
+    d, t = doc[order], tie[order]
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1])
+    out = np.empty(len(d), np.int64)
+    out[order] = np.cumsum(new) - 1
+    return out, order[new]
+
+
 def as_runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows as runs (doc, first start, number of windows)."""
     order = np.lexsort((start, doc))
@@ -126,12 +143,21 @@ def _all():
     return Window.partitionBy()
 
 
-def duplicate_windows(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, windows): runs of windows that start earlier elsewhere; starts count words from 0."""
+def _row_key(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """(doc_id, tie) of a row where rows decide; a null id counts as the greatest."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), F.xxhash64(F.col(id_col), F.col(text_col))
+
+
+def duplicate_windows(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text", by_row: bool = False) -> DataFrame:
+    """(doc_id, tie, start, windows): runs of windows that start earlier elsewhere; starts count words from 0.
+
+    Documents are told apart by id, and tie is 0; or by_row, and doc_id and tie are those of _row_key.
+    """
     spark = docs.sparkSession
     ship_package(spark)
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    doc, tie = _row_key(id_col, text_col) if by_row else (F.col(id_col).cast("long"), F.lit(0).cast("long"))
+    texts = docs.select(F.struct(doc.alias("doc_id"), tie.alias("tie")).alias("key"), F.col(text_col).cast("binary").alias("text"))
     hot = np.array(sorted(hot_minimisers(texts, k, buckets)), np.int64).astype(np.uint64)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +171,8 @@ def duplicate_windows(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text
             if again.any():
                 d, s, n = as_runs(x.doc[again], x.start[again])
                 # the window's own order spreads them
-                rows.append((-1 - int(d[0] % buckets), pack(d), pack(s), pack(n), None))
+                at = x.text_of[d]
+                rows.append((-1 - int((x.id[at[0]] ^ x.tie[at[0]]) % buckets), pack(x.id[at]), pack(x.tie[at]), pack(s), pack(n), None))
             alone = ~again & np.isin(x.minimiser, hot) if len(hot) else np.zeros(len(again), bool)
             first, n = x.runs(~again & ~alone)
             single = np.flatnonzero(alone)
@@ -157,13 +184,15 @@ def duplicate_windows(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text
                 part = order[a : a + c]
                 f, m = first[part], n[part]
                 string = b" ".join([w for i, j in zip(x.at[f].tolist(), (x.at[f] + m + k - 1).tolist()) for w in x.words[i:j]])
-                rows.append((int(bucket[part[0]]), pack(x.doc[f]), pack(x.start[f]), pack(m), squeeze(string)))
+                at = x.text_of[x.doc[f]]
+                rows.append((int(bucket[part[0]]), pack(x.id[at]), pack(x.tie[at]), pack(x.start[f]), pack(m), squeeze(string)))
             for i in range(0, len(rows), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 256]), (pa.int64(), *[pa.binary()] * 4))], ["bucket", "docs", "starts", "counts", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 256]), (pa.int64(), *[pa.binary()] * 5))], ["bucket", "docs", "ties", "starts", "counts", "words"])
 
     def bucket(g: pd.DataFrame) -> pd.DataFrame:
         ints = lambda c: np.frombuffer(b"".join(g[c]), np.int64)
-        doc, start, n = ints("docs"), ints("starts"), ints("counts")
+        ids, ties, start, n = ints("docs"), ints("ties"), ints("starts"), ints("counts")
+        doc, text_of = ranks(ids, ties)
         if g["bucket"].iloc[0] >= 0:
             unsqueeze = zstandard.ZstdDecompressor().decompress
             places, hashes = dictionary([w for b in g["words"] for w in unsqueeze(b).split()])
@@ -173,10 +202,11 @@ def duplicate_windows(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text
             doc, start = np.repeat(doc, n), np.repeat(start, n) + within
             again = repeats(run_codes(hashes[places], k)[at], doc, start, at, places, k)
             doc, start, n = as_runs(doc[again], start[again])
-        return pd.DataFrame({"doc_id": doc, "start": start, "windows": n})
+        at = text_of[doc]
+        return pd.DataFrame({"doc_id": ids[at], "tie": ties[at], "start": start, "windows": n})
 
-    sent = texts.mapInArrow(cut, "bucket long, docs binary, starts binary, counts binary, words binary")
-    return sent.groupBy("bucket").applyInPandas(bucket, "doc_id long, start long, windows long")
+    sent = texts.mapInArrow(cut, "bucket long, docs binary, ties binary, starts binary, counts binary, words binary")
+    return sent.groupBy("bucket").applyInPandas(bucket, "doc_id long, tie long, start long, windows long")
 
 
 def kept(words: list[bytes], runs, k: int) -> list[bytes]:
@@ -192,8 +222,9 @@ def without_repeats(docs: DataFrame, k: int = 50, id_col: str = "doc_id", text_c
 
     What stays of a text are its kept words with one blank between them; length_col, where docs has it, is counted anew.
     """
-    runs = duplicate_windows(docs, k, id_col, text_col).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("start", "windows")).alias("__runs"))
-    rows = docs.join(runs.hint("shuffle_hash"), F.col(id_col) == F.col("__id"), "left")
+    runs = duplicate_windows(docs, k, id_col, text_col, by_row=True).groupBy(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie")).agg(F.collect_list(F.struct("start", "windows")).alias("__runs"))
+    doc, tie = _row_key(id_col, text_col)
+    rows = docs.join(runs.hint("shuffle_hash"), (doc == F.col("__id")) & (tie == F.col("__tie")), "left")
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, runs: pd.Series) -> pd.Series:

@@ -170,6 +170,56 @@ def test_substring_dedup(odd, docs, k, monkeypatch):
             assert (r.n_words, r.n_removed, r.kept_text) == want[r.doc_id]
 
 
+#: Rows without an id, and rows of one id with different texts: passages of 60 words, near copies, exact copies, texts of their own.
+def words_of(name, n):
+    return " ".join(f"{name}{i}" for i in range(n))
+
+
+UNNAMED = [
+    (None, words_of("alone", 80)), (None, words_of("other", 80)), (None, words_of("twice", 80)), (None, words_of("twice", 80)), (20, words_of("named", 80)), (None, words_of("named", 80)),
+    (21, words_of("near", 200)), (None, words_of("near", 200) + " end"), (None, words_of("void", 200)), (None, words_of("void", 200) + " end"), (None, None), (22, words_of("pass", 60) + " " + words_of("tail", 50)), (None, words_of("pass", 60) + " " + words_of("none", 50)),
+]
+
+
+def brute_first(rows, k, percent):
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    sets = []
+    for _, t in order:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set())
+    root = list(range(len(order)))
+    for a in range(len(order)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * len(sets[a] | sets[b]):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if x == old else x for x in root]
+    groups = collections.defaultdict(list)
+    for r, g in zip(order, root):
+        groups[g].append(r)
+    return groups.values()
+
+
+def test_rows_without_id_stay_through_the_stages(spark):
+    docs = spark.createDataFrame(UNNAMED, "doc_id long, text string")
+    rows = lambda df: [(r.doc_id, r.text) for r in df.collect()]
+    once = rows(exact_dedup.keep_one(docs))
+    by = collections.defaultdict(list)
+    for i, t in UNNAMED:
+        by[t or ""].append(i)
+    assert collections.Counter((i, t or "") for i, t in once) == collections.Counter((min((i for i in g if i is not None), default=None), t) for t, g in by.items())
+    once = spark.createDataFrame(once, "doc_id long, text string")
+    first = rows(ngram_join.keep_first(once, 5, 80))
+    groups = brute_first(rows(once), 5, 80)
+    assert len(first) == len(groups)
+    for g in groups:
+        (r,) = [r for r in first if r in g]
+        assert r[0] == g[0][0]
+    cut = collections.Counter(rows(substring_dedup.without_repeats(spark.createDataFrame(first, "doc_id long, text string"), 50)))
+    assert cut == collections.Counter((i, words_of("none", 50) if i is None and t and "none0" in t else t) for i, t in first)
+    assert packing.pack(docs, byte_bpe()).where("doc_id IS NULL").count() > 0
+
+
 def test_repeats_compare_words_not_codes():
     places = np.array([1, 2, 1, 2, 3, 4])
     code, zero = np.zeros(3, np.uint64), np.zeros(3, np.int64)
