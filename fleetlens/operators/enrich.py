@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import pairwise
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -50,29 +50,41 @@ def impute_odo_deadreckon(df: DataFrame, odo: str = "odo", dt_cap: float = 60) -
 
 
 def gps_deadreckon(df: DataFrame) -> DataFrame:
-    """(id, sequence, lat, lon): between two fixes, points go on along the bearing from the first to the second, by speed and time."""
+    """(id, sequence, lat, lon): between two fixes, points go on along the bearing from the first to the second, by speed and time.
+
+    A vehicle's sorted rows pass through one task, batch by batch; each brings the next fix with it.
+    """
     import numpy as np
 
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([T, SEQ]).reset_index(drop=True)
-        lat, lon = g["lat"].to_numpy(float).copy(), g["lon"].to_numpy(float).copy()
-        t, v = g[T].to_numpy(float), g["speed"].fillna(0).to_numpy(float)
-        known = np.flatnonzero(~np.isnan(lat) & ~np.isnan(lon))
-        for a, b in pairwise(known):
-            if b - a < 2:
-                continue
-            p1, p2, d = np.radians(lat[a]), np.radians(lat[b]), np.radians(lon[b] - lon[a])
-            bearing = np.arctan2(np.sin(d) * np.cos(p2), np.cos(p1) * np.sin(p2) - np.sin(p1) * np.cos(p2) * np.cos(d))
-            p, q = p1, np.radians(lon[a])
-            for i in range(a + 1, b):
-                r = v[i] / 3.6 * (t[i] - t[i - 1]) / EARTH_M
-                new = np.arcsin(np.sin(p) * np.cos(r) + np.cos(p) * np.sin(r) * np.cos(bearing))
-                q += np.arctan2(np.sin(bearing) * np.sin(r) * np.cos(p), np.cos(r) - np.sin(p) * np.sin(new))
-                p = new
-                lat[i], lon[i] = np.degrees(p), np.degrees(q)
-        return pd.DataFrame({ID: g[ID], SEQ: g[SEQ], "lat": lat, "lon": lon})
-
-    return df.select(ID, T, SEQ, "speed", "lat", "lon").groupBy(ID).applyInPandas(one, f"{ID} string, {SEQ} long, lat double, lon double")
+    from fleetlens.operators.sweeps import in_order
+
+    def go_on(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key: object = ...
+        for b in batches:
+            lat, lon = b["lat"].to_numpy(float).copy(), b["lon"].to_numpy(float).copy()
+            to_lat, to_lon = b["__lat"].to_numpy(float), b["__lon"].to_numpy(float)
+            times, v = b[T].to_numpy(float), b["speed"].fillna(0).to_numpy(float)
+            for i, vehicle in enumerate(b[ID]):
+                if vehicle != key:
+                    key, p, before = vehicle, None, None
+                if not np.isnan(lat[i]) and not np.isnan(lon[i]):
+                    p, q = np.radians(lat[i]), np.radians(lon[i])
+                    p2, d = np.radians(to_lat[i]), np.radians(to_lon[i] - lon[i])
+                    bearing = np.arctan2(np.sin(d) * np.cos(p2), np.cos(p) * np.sin(p2) - np.sin(p) * np.cos(p2) * np.cos(d))
+                elif p is not None and not np.isnan(to_lat[i]):
+                    r = v[i] / 3.6 * (times[i] - before) / EARTH_M
+                    new = np.arcsin(np.sin(p) * np.cos(r) + np.cos(p) * np.sin(r) * np.cos(bearing))
+                    q += np.arctan2(np.sin(bearing) * np.sin(r) * np.cos(p), np.cos(r) - np.sin(p) * np.sin(new))
+                    p = new
+                    lat[i], lon[i] = np.degrees(p), np.degrees(q)
+                before = times[i]
+            yield pd.DataFrame({ID: b[ID], SEQ: b[SEQ], "lat": lat, "lon": lon})
+
+    backward = Window.partitionBy(ID).orderBy(F.desc(T), F.desc(SEQ)).rowsBetween(Window.unboundedPreceding, -1)
+    fix = F.coalesce(~F.isnan("lat") & ~F.isnan("lon"), F.lit(False)) & F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    rows = df.select(ID, T, SEQ, "speed", "lat", "lon", F.last(F.when(fix, F.struct("lat", "lon")), True).over(backward).alias("__to"))
+    rows = rows.select(ID, T, SEQ, "speed", "lat", "lon", F.col("__to.lat").alias("__lat"), F.col("__to.lon").alias("__lon"))
+    return in_order(rows).mapInPandas(go_on, f"{ID} string, {SEQ} long, lat double, lon double")
 
 
 def stop_to_stop_trips(df: DataFrame) -> DataFrame:

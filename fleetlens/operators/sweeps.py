@@ -1,10 +1,14 @@
 """Raw bus frames, sensor sweeps, and the steps that must look at a series one sample at a time.
 
-Grouped maps work on one vehicle and day (or one vehicle) at a time, never on more.
+Cycles and stops pass a vehicle's sorted rows through one task, batch by batch, with the state carried over;
+micro_blip_smooth is a grouped map of one vehicle and day.
 """
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,24 +55,32 @@ def decode_frames(frames: DataFrame, signals: DataFrame) -> DataFrame:
     return frames.join(F.broadcast(signals), "can_id").select(*[c for c in frames.columns if c != "bytes"], "kind", "sensor_no", value.alias("value"))
 
 
+def in_order(df: DataFrame) -> DataFrame:
+    """Each vehicle's rows in one task, sorted; the sort spills."""
+    return df.repartition(ID).sortWithinPartitions(ID, T, SEQ)
+
+
 def sweep_cycles(df: DataFrame, sensors: int, sensor: str = "sensor") -> DataFrame:
     """(id, cycle, start, end, rows, since): rows until all sensors were seen, then anew. State is a set of sensors."""
 
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([T, SEQ])
-        seen: set[int] = set()
-        out, start, rows, before = [], None, 0, None
-        for t, s in zip(g[T], g[sensor]):
-            start = t if start is None else start
-            rows += 1
-            if s is not None and s == s:
-                seen.add(int(s))
-            if len(seen) == sensors:
-                out.append((g[ID].iloc[0], len(out) + 1, start, t, rows, None if before is None else start - before))
-                seen, start, rows, before = set(), None, 0, t
-        return pd.DataFrame(out, columns=["id", "cycle", "start", "end", "rows", "since"]).astype({"since": "Int64"})
-
-    return df.select(ID, T, SEQ, sensor).groupBy(ID).applyInPandas(one, "id string, cycle long, start long, end long, rows long, since long")
+    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key: object = ...
+        for b in batches:
+            out = []
+            for vehicle, t, s in zip(b[ID], b[T], b[sensor]):
+                if vehicle != key:
+                    key, cycle, seen, start, rows, before = vehicle, 0, set(), None, 0, None
+                start = t if start is None else start
+                rows += 1
+                if s is not None and s == s:
+                    seen.add(int(s))
+                if len(seen) == sensors:
+                    cycle += 1
+                    out.append((vehicle, cycle, start, t, rows, None if before is None else start - before))
+                    seen, start, rows, before = set(), None, 0, t
+            yield pd.DataFrame(out, columns=["id", "cycle", "start", "end", "rows", "since"]).astype({"since": "Int64"})
+
+    return in_order(df.select(ID, T, SEQ, sensor)).mapInPandas(sweep, "id string, cycle long, start long, end long, rows long, since long")
 
 
 def micro_blip_smooth(df: DataFrame, mode: str = "mode", blip_sec: float = 60) -> DataFrame:
@@ -91,20 +103,23 @@ def micro_blip_smooth(df: DataFrame, mode: str = "mode", blip_sec: float = 60) -
 def brake_to_stop(df: DataFrame, within_sec: float = 60, moving: float = 1.0, still: float = 0.1) -> DataFrame:
     """From a press while moving to the first standstill within the time; the next search begins behind it."""
 
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([T, SEQ])
-        t, v, b = list(g[T]), list(g["speed"]), list(g["brake"])
-        out, i = [], 0
-        while i < len(t):
-            if b[i] > 0 and v[i] > moving:
-                j = next((k for k in range(i + 1, len(t)) if t[k] - t[i] > within_sec or v[k] <= still), None)
-                if j is not None and t[j] - t[i] <= within_sec:
-                    out.append((g[ID].iloc[0], t[i], t[j], v[i]))
-                    i = j
-            i += 1
-        return pd.DataFrame(out, columns=["id", "start", "stop", "start_speed"])
-
-    return df.select(ID, T, SEQ, "speed", "brake").groupBy(ID).applyInPandas(one, "id string, start long, stop long, start_speed double")
+    def stops(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key: object = ...
+        for b in batches:
+            out = []
+            for vehicle, t, v, brake in zip(b[ID], b[T], b["speed"], b["brake"]):
+                if vehicle != key:
+                    key, presses = vehicle, deque()
+                while presses and t - presses[0][0] > within_sec:
+                    presses.popleft()
+                if presses and v <= still:
+                    out.append((vehicle, presses[0][0], t, presses[0][1]))
+                    presses.clear()
+                elif brake > 0 and v > moving:
+                    presses.append((t, v))
+            yield pd.DataFrame(out, columns=["id", "start", "stop", "start_speed"])
+
+    return in_order(df.select(ID, T, SEQ, "speed", "brake")).mapInPandas(stops, "id string, start long, stop long, start_speed double")
 
 
 def sensor_health(long: DataFrame, low: float, high: float) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetlens.operators import enrich as N
 from fleetlens.operators import quality as Q
 from fleetlens.operators import sweeps as W
 from fleetlens.sources import telemetry as S
@@ -31,6 +32,42 @@ def test_brake_to_stop_does_not_overlap(spark):
     assert [(r.start, r.stop) for r in W.brake_to_stop(df).collect()] == [(0, 20)]
 
 
+@pytest.fixture
+def two_rows_a_batch(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_sequences_carry_state_over_batches(spark, two_rows_a_batch):
+    df = spark.createDataFrame([(v, i, 10 * i, s) for v in "ab" for i, s in enumerate([0, 1, 1, None, 2, 0, 2, 1, 0])], "id string, sequence long, t_sec long, sensor int")
+    got = W.sweep_cycles(df, 3)
+    assert "FlatMapGroups" not in plan(got)
+    assert sorted(tuple(r)[:5] for r in got.collect()) == [(v, *x) for v in "ab" for x in ((1, 0, 40, 5), (2, 50, 70, 3))]
+    # of the first three presses the first is too old at the standstill; the one at 70 comes behind it
+    rows = [(0, 50.0, 1), (30, 40.0, 1), (40, 30.0, 1), (65, 0.0, 1), (70, 20.0, 1), (75, None, 0), (80, 0.05, 0), (85, 0.0, 0)]
+    df = spark.createDataFrame([(v, i, t, x, b) for v in "ab" for i, (t, x, b) in enumerate(rows)], "id string, sequence long, t_sec long, speed double, brake long")
+    got = W.brake_to_stop(df)
+    assert "FlatMapGroups" not in plan(got)
+    assert sorted(tuple(r) for r in got.collect()) == [(v, *x) for v in "ab" for x in ((30, 65, 40.0), (70, 80, 20.0))]
+
+
+def test_deadreckoning_carries_state_over_batches(spark, two_rows_a_batch):
+    rows = [(None, None), (0.0, 0.0), (None, None), (None, 5.0), (None, None), (0.0, 1.0), (None, None)]
+    df = spark.createDataFrame([(v, i, 10 * i, 36.0, *x) for v in "ab" for i, x in enumerate(rows)], "id string, sequence long, t_sec long, speed double, lat double, lon double")
+    got = N.gps_deadreckon(df)
+    assert "FlatMapGroups" not in plan(got)
+    step = 100 / N.EARTH_M * 180 / 3.141592653589793
+    for v in "ab":
+        lon = [r.lon for r in sorted(got.where(F.col("id") == v).collect(), key=lambda r: r.sequence)]
+        assert lon[0] is None and lon[6] is None
+        assert lon[1:6] == pytest.approx([0.0, step, 2 * step, 3 * step, 1.0])
+
+
 def test_frames_from_text_and_back(spark):
     lines = spark.createDataFrame([("date Mon",), ("   1.500000 1  18FF50E5x       Rx   d 8 01 02 0A FF 00 10 20 30",), ("junk",)], "value string")
     frames = W.frames_of_text(lines, 1000)
