@@ -220,6 +220,16 @@ def test_rows_without_id_stay_through_the_stages(spark):
     assert packing.pack(docs, byte_bpe()).where("doc_id IS NULL").count() > 0
 
 
+def test_rows_of_one_id_with_different_texts_are_apart(spark):
+    passage, other = words_of("pass", 60), words_of("other", 110)
+    rows = [(1, passage + " " + words_of("a", 50)), (2, passage + " " + words_of("b", 50)), (2, other), (3, words_of("same", 60) + " " + words_of("c", 50)), (3, words_of("same", 60) + " " + words_of("d", 50))]
+    got = [(r.doc_id, r.text) for r in substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 50).collect()]
+    assert sorted(got)[:3] == sorted([rows[0], (2, words_of("b", 50)), rows[2]])
+    assert sorted(len(t.split()) for i, t in got if i == 3) == [50, 110]
+    rows = [(1, words_of("near", 200)), (2, words_of("near", 200) + " end"), (2, other)]
+    assert sorted((r.doc_id, r.text) for r in ngram_join.keep_first(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()) == [rows[0], rows[2]]
+
+
 def test_repeats_compare_words_not_codes():
     places = np.array([1, 2, 1, 2, 3, 4])
     code, zero = np.zeros(3, np.uint64), np.zeros(3, np.int64)
