@@ -23,12 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import ship_package
-from fleetlens.llm.wordcodes import BASE, dictionary, mix
+from fleetlens.llm.wordcodes import BASE, mix, word_codes
+from fleetlens.llm.words import split
 
 CELLS, HASHES, CUT = 36, 3, 6
 #: Words that a task fingerprints at once.
@@ -38,15 +40,11 @@ LINE = b"\x00"
 
 def paragraphs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(distinct digests of all texts, ascending within a text; how many each has)."""
-    split = [t.replace(b"\n", b" \x00 ").split() for t in texts]
-    n = np.array([len(w) for w in split], np.int64)
-    total = int(n.sum())
+    words, n = split(pc.replace_substring(pa.array(texts, pa.large_binary()), b"\n", b" \x00 ").cast(pa.large_utf8()))
+    total = len(words)
     if not total:
         return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    places, hashes = dictionary([w for t in split for w in t])
-    del split
-    line = np.uint64(dictionary([LINE])[1][0])
-    codes = hashes[places]
+    codes, line = word_codes(words), word_codes(pa.array([LINE], pa.large_binary()))[0]
     last = (codes % np.uint64(CUT) == 0) | (codes == line)
     last[np.cumsum(n[n > 0]) - 1] = True
     first = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1])

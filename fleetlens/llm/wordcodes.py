@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from fleetlens.llm.words import byte_table, slices, split, translated
 
 #: An odd 64-bit multiplier for polynomial codes; any such number does.
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -55,33 +55,45 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[:n], x[w - span : w - span + n])
 
 
-def dictionary(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(place of each word in the distinct words, a stable 64-bit hash of each distinct word)."""
-    coded = pa.array(words, pa.binary()).dictionary_encode()
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    return coded.indices.to_numpy(zero_copy_only=False), hashes
+def _powers(n: int, base: int) -> np.ndarray:
+    """base^0 to base^(n - 1), modulo 2^64."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], most: int, lower: bool = False) -> Iterator[tuple[list[int], list[list[bytes]]]]:
-    """(ids, words of each text) for so many documents that they have about `most` words; null texts have no words.
+_LETTER = mix(np.arange(1, 257, dtype=np.uint64))
+_tables: list[np.ndarray] = []
 
-    Words are runs of bytes other than blank, tab, line ends, vertical tab and form feed.
+
+def word_codes(words: pa.Array, step: int = 100_000) -> np.ndarray:
+    """A stable 64-bit code of each word: a polynomial in its bytes. Words aren't empty; step of them are read at once."""
+    _, bounds, data = words.buffers()
+    at = np.frombuffer(bounds, np.int64)[words.offset : words.offset + len(words) + 1]
+    raw = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    out = np.empty(len(words), np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(0, len(words), step):
+            begin = at[i : i + step + 1]
+            size = int(begin[-1] - begin[0])
+            if not _tables or len(_tables[0]) < size:
+                # powers of the base, and of its inverse: they bring each word back to its own first byte
+                _tables[:] = _powers(size * 5 // 4, int(BASE)), _powers(size * 5 // 4, pow(int(BASE), -1, 1 << 64))
+            first = begin[:-1] - begin[0]
+            sums = np.add.reduceat(_LETTER[raw[begin[0] : begin[-1]]] * _tables[0][:size], first)
+            out[i : i + step] = mix(sums * _tables[1][first] + np.diff(begin).astype(np.uint64))
+    return out
+
+
+def chunks(batches: Iterator[pa.RecordBatch], most: int, lower: bool = False) -> Iterator[tuple[list, pa.Array, np.ndarray]]:
+    """(ids, words of all texts, words of each text) for so many documents that they have about `most` bytes; null texts have no words.
+
+    The id is the first column and the text the second. Words are runs of bytes other than blank, tab, line ends,
+    vertical tab and form feed.
     """
-    ids: list[int] = []
-    texts: list[list[bytes]] = []
-    n = 0
-    for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-            raw = t.as_py() or b""
-            words = (raw.lower() if lower else raw).split()
-            ids.append(i)
-            texts.append(words)
-            n += len(words) + 1
-            if n >= most:
-                yield ids, texts
-                ids, texts, n = [], [], 0
-    if ids:
-        yield ids, texts
+    table = byte_table(lower)
+    for ids, texts in slices(batches, most):
+        yield ids.to_pylist(), *split(translated(texts, table))
 
 
 def groups_of(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

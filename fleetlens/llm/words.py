@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -40,3 +42,30 @@ def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     full = pc.not_equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
     upto = np.concatenate([[0], np.cumsum(full)])[ends]
     return words if full.all() else words.filter(pa.array(full)), np.diff(upto)
+
+
+def slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(first column, second column) of rows whose texts, in the second column, have about `most` bytes together; one text may have more."""
+    held: list[tuple[pa.Array, pa.Array]] = []
+    size = 0
+    for b in batches:
+        ids, texts = b.column(0), b.column(1)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        row = 0
+        while row < len(ends):
+            # up to the text that makes it full
+            done = int(ends[row - 1]) if row else 0
+            stop = min(len(ends), int(np.searchsorted(ends, done + most - size)) + 1)
+            held.append((ids.slice(row, stop - row), texts.slice(row, stop - row)))
+            size += int(ends[stop - 1]) - done
+            row = stop
+            if size >= most:
+                yield tuple(pa.concat_arrays(x) for x in zip(*held))
+                held, size = [], 0
+    if held:
+        yield tuple(pa.concat_arrays(x) for x in zip(*held))
+
+
+def joined(words: pa.Array, ends: np.ndarray) -> pa.Array:
+    """Texts of words[ends[i]:ends[i + 1]], with one blank between words."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words), pa.scalar(" ", words.type))

@@ -6,10 +6,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, exact_dedup, fingerprints, licenses, ngram_join, packing, sharding, substring_dedup, toxicity, warc
+from fleetlens.llm import bpe, exact_dedup, fingerprints, licenses, ngram_join, packing, sharding, substring_dedup, toxicity, warc, wordcodes
 from fleetlens.llm.queries import QUERIES, byte_bpe
 
 ODD = [
@@ -141,7 +142,7 @@ def test_ngram_join(spark, odd, docs, k, percent):
 
 
 def test_ngram_join_in_parts(spark, docs, monkeypatch):
-    monkeypatch.setattr(ngram_join, "CHUNK_WORDS", 3000)
+    monkeypatch.setattr(ngram_join, "CHUNK_BYTES", 18_000)
     monkeypatch.setattr(ngram_join, "PART_GRAMS", 300)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_join(docs, 3, 90).collect())
@@ -162,7 +163,7 @@ def brute_passages(rows, k):
 
 @pytest.mark.parametrize("k", [2, 20, 50])
 def test_substring_dedup(odd, docs, k, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "CHUNK_WORDS", 4000)
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 24_000)
     for df in (odd, docs):
         rows = [(r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()]
         want = brute_passages(set(rows), k)
@@ -231,12 +232,19 @@ def test_rows_of_one_id_with_different_texts_are_apart(spark):
 
 
 def test_repeats_compare_words_not_codes():
-    places = np.array([1, 2, 1, 2, 3, 4])
+    words = substring_dedup.Words(pa.array("a b a b c d".split(), pa.large_string()))
     code, zero = np.zeros(3, np.uint64), np.zeros(3, np.int64)
-    got = substring_dedup.repeats(code, zero, np.array([0, 2, 4]), np.array([0, 2, 4]), places, 2)
+    got = substring_dedup.repeats(code, zero, np.array([0, 2, 4]), np.array([0, 2, 4]), words, 2)
     assert got.tolist() == [False, True, False]
 
 
+def test_word_codes_tell_words_apart():
+    words = [f"{a}{b}" for a in "abcdefghijklmnop\x00\xe4" for b in [*map(str, range(3000)), "", "a" * 5000]]
+    codes = wordcodes.word_codes(pa.array(words, pa.large_string()), 700)
+    assert len(set(codes.tolist())) == len(words)
+    assert (wordcodes.word_codes(pa.array(words, pa.large_string()).slice(5, 9)) == codes[5:14]).all()
+
+
 def test_exact_dedup(odd):
     got = collections.Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(odd, "largest").collect())
     by = collections.defaultdict(list)
