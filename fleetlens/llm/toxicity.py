@@ -39,7 +39,7 @@ CATEGORIES = (("low_quality", "quality = 0"), ("toxic_low_quality", "toxic = 1 A
 STEMS = (4, 5)
 #: ASCII characters of words; all others beyond ASCII belong to words too.
 LETTERS = "0123456789abcdefghijklmnopqrstuvwxyz"
-#: Texts whose features are marked at once.
+#: Texts whose words are looked up at once.
 ROWS = 1000
 
 #: One entry for each category: its name, the constant, the weights of earlier categories, features and weights.
@@ -69,17 +69,19 @@ def features(texts: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(list(index), pa.string()).take(pa.array(pairs % max(1, len(index)))))
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 400) -> np.ndarray:
-    """Logistic weights, the constant last, by accelerated gradient steps; the constant isn't penalised."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    v = np.ones(x.shape[1])
+def fit_linear(x: np.ndarray, y: np.ndarray, seen: np.ndarray, penalty: float, rounds: int = 400) -> np.ndarray:
+    """Logistic weights for the rows that are seen, the constant last, by accelerated gradient steps; the constant isn't penalised."""
+    n = max(1, seen.sum())
+    v, c = np.ones(x.shape[1]), 1.0
     for _ in range(20):
-        v = x.T @ (x @ (v / np.linalg.norm(v)))
-    step = 1 / (0.25 * np.linalg.norm(v) / len(x) + penalty)
-    w = z = np.zeros(x.shape[1])
+        size = np.sqrt(v @ v + c * c)
+        out = seen * (x @ (v / size) + c / size)
+        v, c = x.T @ out, out.sum()
+    step = 1 / (0.25 * np.sqrt(v @ v + c * c) / n + penalty)
+    w = z = np.zeros(x.shape[1] + 1)
     for i in range(rounds):
-        slope = x.T @ (1 / (1 + np.exp(-np.clip(x @ z, -30, 30))) - y) / len(x) + penalty * np.append(z[:-1], 0)
-        new = z - step * slope
+        off = seen * (_probability(x, z) - y) / n
+        new = z - step * np.append(x.T @ off + penalty * z[:-1], off.sum())
         z = new + i / (i + 3) * (new - w)
         w = new
     return w
@@ -104,14 +106,14 @@ def fit_chain(rows: pd.DataFrame, chosen: dict[tuple[str, int], list[str]], pena
         def x_of(left_out: int) -> np.ndarray:
             return np.hstack([earlier, marks[:, [place[f] for f in chosen.get((name, left_out), [])]]])  # noqa: B023
 
-        w = fit_linear(x_of(-1), y, penalty)
+        w = fit_linear(x_of(-1), y, np.ones(len(rows), bool), penalty)
         n = earlier.shape[1]
         out.append((name, float(w[-1]), w[:n].tolist(), chosen.get((name, -1), []), w[n:-1].tolist()))
         # a document's probability comes from a model that hasn't seen it
         held = np.zeros(len(rows))
         for k in np.unique(fold):
             seen, x = fold != k, x_of(int(k))
-            held[~seen] = _probability(x[~seen], fit_linear(x[seen], y[seen], penalty)) if seen.any() else 0.5
+            held[~seen] = _probability(x, fit_linear(x, y, seen, penalty))[~seen]
         earlier = np.hstack([earlier, held[:, None]])
     return out
 
@@ -175,17 +177,14 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, folds: i
 
 def weight_sums(texts: pa.Array, index: dict[str, int], table: np.ndarray) -> np.ndarray:
     """For each text the sum of table's rows over its distinct features. index: row of each feature."""
-    words, place, row = _distinct(texts)
-    known = np.array([[index.get(f, -1) for f in names_of(w)] for w in words], np.int64).reshape(len(words), 1 + len(STEMS))
-    told = (known >= 0).any(1)[place]
-    place, row = place[told], row[told]
     out = np.zeros((len(texts), table.shape[1]))
-    bounds = np.searchsorted(row, np.arange(0, len(texts) + ROWS, ROWS))
-    for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
-        here = out[i * ROWS : (i + 1) * ROWS]
-        has = np.zeros((len(here), len(table) + 1), bool)  # the last column takes what isn't known
-        has[row[a:b, None] - i * ROWS, known[place[a:b]]] = True
-        here[:] = has[:, :-1] @ table
+    for i in range(0, len(texts), ROWS):
+        words, place, row = _distinct(texts.slice(i, ROWS))
+        known = np.array([[index.get(f, -1) for f in names_of(w)] for w in words], np.int64).reshape(len(words), 1 + len(STEMS))
+        told = (known >= 0).any(1)[place]
+        has = np.zeros((len(out[i : i + ROWS]), len(table) + 1), bool)  # the last column takes what isn't known
+        has[row[told, None], known[place[told]]] = True
+        out[i : i + ROWS] = has[:, :-1] @ table
     return out
 
 
