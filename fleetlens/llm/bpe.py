@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -27,11 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import ship_package
+from fleetlens.llm.wordcodes import word_codes
 
 _BLANK = r"\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 #: How byte-level vocabularies of this kind cut a text into words.
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_BLANK}\p{{L}}\p{{N}}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
-#: Encodings that a worker keeps from batch to batch; when it has so many, it keeps those, as long as they serve.
+#: Encodings that a worker keeps from batch to batch, about 50 bytes each.
 KEPT_WORDS = 1_300_000
 #: Words laid out at once.
 SLICE = 1_000_000
@@ -142,22 +142,6 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-_kept: dict[str, dict[bytes, bytes]] = {}
-
-
-def _encodings(path: str, words: list[bytes]) -> list[bytes]:
-    """Each word's ids as little-endian 32-bit integers."""
-    v, kept = vocabulary(path), _kept.setdefault(path, {})
-    new = sorted(w for w in words if w not in kept)
-    if len(kept) + len(new) > KEPT_WORDS and 2 * len(new) > len(words):
-        kept.clear()
-        new = sorted(words)
-    found = dict(zip(new, (struct.pack(f"<{len(ids)}I", *ids) for ids in v.encode_sorted(new))))
-    if len(kept) + len(new) <= KEPT_WORDS:
-        kept.update(found)
-    return [kept[w] if w in kept else found[w] for w in words]
-
-
 def laid_out(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The runs flat[start : start + length], one after the other."""
     total = int(lengths.sum())
@@ -165,25 +149,78 @@ def laid_out(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return flat[np.repeat(shift, lengths) + np.arange(total)]
 
 
+class Kept:
+    """Encodings that a worker keeps from batch to batch: arrays in order of the words' codes, and a dictionary of the newest."""
+
+    def __init__(self):
+        self.codes, self.words = np.zeros(0, np.uint64), pa.array([], pa.large_binary())
+        self.flat, self.starts, self.lengths = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.newest: dict[bytes, list[int]] = {}
+
+    def find(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(marks of the words that the arrays have, places there); a code only finds a word, its bytes decide."""
+        codes = word_codes(words)
+        place = np.minimum(np.searchsorted(self.codes, codes), max(0, len(self.codes) - 1))
+        known = self.codes[place] == codes if len(self.codes) else np.zeros(len(words), bool)
+        at = np.flatnonzero(known)
+        known[at] = pc.equal(self.words.take(pa.array(place[at])), words.take(pa.array(at))).to_numpy(zero_copy_only=False)
+        return known, place[known]
+
+    def add(self, found: dict[bytes, list[int]]) -> None:
+        """When so many are kept that nothing more may be, what is kept stays."""
+        if len(self.codes) + len(self.newest) + len(found) > KEPT_WORDS:
+            return
+        self.newest.update(found)
+        if len(self.newest) * 2 > max(100_000, len(self.codes)):
+            words = pa.array(list(self.newest), pa.large_binary())
+            lengths = np.fromiter(map(len, self.newest.values()), np.int64, len(words))
+            codes = np.concatenate([self.codes, word_codes(words)])
+            order = np.argsort(codes)
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])[order]
+            self.flat = np.concatenate([self.flat, np.fromiter((i for ids in self.newest.values() for i in ids), "<u4", int(lengths.sum()))])
+            self.lengths, self.codes = np.concatenate([self.lengths, lengths])[order], codes[order]
+            self.words = pa.concat_arrays([self.words, words]).take(pa.array(order))
+            self.newest = {}
+
+
+@lru_cache(1)
+def kept_for(path: str) -> Kept:
+    return Kept()
+
+
+def encodings(path: str, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, where each word's begin, how many it has) for distinct words, special ones among them."""
+    v, kept = vocabulary(path), kept_for(path)
+    known, place = kept.find(words)
+    others = words.filter(pa.array(~known)).to_pylist()
+    special = {s.encode(): [i] for s, i in v.special.items()}
+    new = sorted(w for w in others if w not in kept.newest and w not in special)
+    found = dict(zip(new, v.encode_sorted(new)))
+    ids = [special.get(w) or found.get(w) or kept.newest[w] for w in others]
+    lengths = np.empty(len(words), np.int64)
+    lengths[known], lengths[~known] = kept.lengths[place], np.fromiter(map(len, ids), np.int64, len(ids))
+    old = laid_out(kept.flat, kept.starts[place], kept.lengths[place])
+    flat = np.concatenate([old, np.fromiter((i for x in ids for i in x), "<u4", int(lengths[~known].sum()))])
+    starts = np.empty(len(words), np.int64)
+    starts[known] = np.cumsum(lengths[known]) - lengths[known]
+    starts[~known] = len(old) + np.cumsum(lengths[~known]) - lengths[~known]
+    kept.add(found)
+    return flat, starts, lengths
+
+
 def encoded_batches(path: str, batch: pa.RecordBatch, column: str = "words") -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, ids, bounds of the rows in ids) for slices of a batch's rows."""
     lists = batch.column(column)
     offsets = lists.offsets.to_numpy()
-    special = vocabulary(path).special
     row = 0
     while row < batch.num_rows:
         stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE, "right")) - 1)
-        words = lists.values.slice(offsets[row], offsets[stop] - offsets[row]).cast(pa.binary()).dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        known = {w: i for w, i in ((s.encode(), i) for s, i in special.items())}
-        plain = [w for w in distinct if w not in known]
-        found = dict(zip(plain, _encodings(path, plain)))
-        codes = [found[w] if w in found else np.array([known[w]], "<u4").tobytes() for w in distinct]
-        lengths = np.fromiter((len(c) // 4 for c in codes), np.int64, len(codes))
-        flat, starts = np.frombuffer(b"".join(codes), "<u4"), np.cumsum(lengths) - lengths
+        words = lists.values.slice(offsets[row], offsets[stop] - offsets[row]).dictionary_encode()
         at = words.indices.to_numpy(zero_copy_only=False)
-        ids = laid_out(flat, starts[at], lengths[at]) if len(at) else np.zeros(0, "<u4")
-        ends = np.concatenate([[0], np.cumsum(lengths[at])]) if len(at) else np.zeros(1, np.int64)
+        ids, ends = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        if len(at):
+            flat, starts, lengths = encodings(path, words.dictionary.cast(pa.large_binary()))
+            ids, ends = laid_out(flat, starts[at], lengths[at]), np.concatenate([[0], np.cumsum(lengths[at])])
         yield row, ids, ends[offsets[row : stop + 1] - offsets[row]]
         row = stop
 
