@@ -7,12 +7,15 @@ if its interval lies inside one of better priority, or of the same priority and
 stays). Base phrases have a priority of their own that nothing beats, so their places are all kept. Everything happens
 within a row: no shuffle, and memory grows with one text.
 
-Null and empty texts have no words, no detections and a score of 0. Rows are kept as they come, repeated ones too; other
-columns don't matter. The places of one rule don't overlap: the leftmost is taken, and the search goes on behind it.
+Null and empty texts have no words, no detections and a score of 0. Rows are kept as they come, repeated ones and those
+without an id too; an empty table gives no rows; other columns don't matter, whatever their names. Time grows with the
+length of a text and its number of detections. The places of one rule don't overlap: the leftmost is taken, and the search goes on behind it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +23,8 @@ from fleetlens.llm.common import lower_ascii
 from fleetlens.llm.license_rules import CONFIDENCE, parsed
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Outputs gathered at once.
+BLOCK = 128
 #: Phrases that are detected wherever they stand, and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
@@ -44,19 +49,38 @@ def _blanks(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
+def running(items: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """The outputs (of type kind) of step, which takes a state and an item and gives the next state and an output.
+
+    Outputs are gathered block by block: appending to an array copies it, so one array for all would take time that
+    grows with the square of their number.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(acc: Column, item: Column) -> Column:
+        state, out = step(acc["state"], item)
+        return F.struct(state.alias("state"), F.concat(acc["out"], F.array(out)).alias("out"))
+
+    def block(acc: Column, i: Column) -> Column:
+        inner = F.aggregate(F.slice(items, i * BLOCK + 1, F.lit(BLOCK)), F.struct(acc["state"].alias("state"), none.alias("out")), one)
+        return F.struct(inner["state"].alias("state"), F.concat(acc["out"], F.array(inner["out"])).alias("out"))
+
+    numbers = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int"))
+    whole = F.aggregate(numbers, F.struct(start.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out")), block, lambda acc: F.flatten(acc["out"]))
+    return F.when(F.size(items) > 0, whole).otherwise(none)
+
+
 def _places(text: Column, rule: Column) -> Column:
     """Word intervals that a rule matches. text has a blank on either side of each word."""
     found, between = F.regexp_extract_all(text, rule["pattern"], F.lit(0)), F.split(text, rule["pattern"], -1)
     pieces = F.zip_with(F.slice(between, 1, F.greatest(F.size(found), F.lit(1))), found, lambda b, m: F.struct(_blanks(b).alias("before"), _blanks(m).alias("inside")))
-    start = F.struct(F.lit(0).alias("blanks"), F.array().cast("array<struct<first:int,last:int,priority:int,rule:int,label:string>>").alias("out"))
 
-    def step(acc: Column, piece: Column) -> Column:
-        first = acc["blanks"] + piece["before"] - 1
-        last = first + piece["inside"]
-        hit = F.struct(first.alias("first"), last.alias("last"), rule["priority"].alias("priority"), rule["rule"].alias("rule"), rule["label"].alias("label"))
-        return F.struct((acc["blanks"] + piece["before"] + piece["inside"]).alias("blanks"), F.concat(acc["out"], F.array(hit)).alias("out"))
+    def step(blanks: Column, piece: Column) -> tuple[Column, Column]:
+        first = blanks + piece["before"] - 1
+        hit = F.struct(first.alias("first"), (first + piece["inside"]).alias("last"), rule["priority"].alias("priority"), rule["rule"].alias("rule"), rule["label"].alias("label"))
+        return blanks + piece["before"] + piece["inside"], hit
 
-    return F.when(F.size(found) > 0, F.aggregate(pieces, start, step, lambda acc: acc["out"])).otherwise(start["out"])
+    return running(pieces, F.lit(0), step, "struct<first:int,last:int,priority:int,rule:int,label:string>")
 
 
 def detections(docs: DataFrame, base: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -76,17 +100,16 @@ def detections(docs: DataFrame, base: dict[str, str] | None = None, id_col: str
     ordered = F.sort_array(F.transform("raw", lambda h: F.struct(h["first"].alias("first"), (-h["last"]).alias("end"), h["priority"].alias("priority"), h["rule"].alias("rule"), h["label"].alias("label"))))
     df = df.select("doc_id", "n_words", ordered.alias("ordered"))
     levels = max(CONFIDENCE) + 1
-    none = F.struct(F.array(*[F.lit(-1)] * levels).alias("reach"), F.array().cast("array<struct<first:int,last:int,priority:int,rule:int,label:string,kept:boolean>>").alias("out"))
 
-    def step(acc: Column, h: Column) -> Column:
+    def step(reach: Column, h: Column) -> tuple[Column, Column]:
+        """reach: how far detections of each priority have come."""
         last = -h["end"]
-        kept = (h["priority"] == 0) | (F.array_max(F.slice(acc["reach"], 1, h["priority"] + 1)) < last)
+        kept = (h["priority"] == 0) | (F.array_max(F.slice(reach, 1, h["priority"] + 1)) < last)
         hit = F.struct(h["first"].alias("first"), last.alias("last"), h["priority"].alias("priority"), h["rule"].alias("rule"), h["label"].alias("label"), kept.alias("kept"))
-        reach = F.transform(acc["reach"], lambda x, i: F.when((i == h["priority"]) & (x < last), last).otherwise(x))
-        return F.struct(reach.alias("reach"), F.concat(acc["out"], F.array(hit)).alias("out"))
+        return F.transform(reach, lambda x, i: F.when((i == h["priority"]) & (x < last), last).otherwise(x)), hit
 
-    resolved = F.aggregate("ordered", none, step, lambda acc: acc["out"])
-    return df.select("doc_id", "n_words", F.when(F.col("ordered").isNotNull(), resolved).otherwise(none["out"]).alias("hits"))
+    resolved = running(F.col("ordered"), F.array(*[F.lit(-1)] * levels), step, "struct<first:int,last:int,priority:int,rule:int,label:string,kept:boolean>")
+    return df.select("doc_id", "n_words", F.coalesce(resolved, F.array().cast("array<struct<first:int,last:int,priority:int,rule:int,label:string,kept:boolean>>")).alias("hits"))
 
 
 def summary(found: DataFrame) -> DataFrame:

@@ -5,9 +5,13 @@ table; exact record headers, with their digest, in another. Of records with one
 the response and the others revisit it; payloads under min_bytes are too small to be worth a reference. Reading
 verifies each stored payload against its digest, joins headers to payloads and gives back the records, byte for byte.
 
-Null payloads count as empty. Rows that repeat an id are records of their own, with the record id of their page; the
-first of them in no order is the response, so give ids that are unique where that matters. An empty table gives an empty
-archive. Headers name the page's url; a null url leaves the line out; line ends in it become %0D and %0A.
+Null payloads count as empty. Rows that repeat an id are records of their own, with the record id of their page; those
+that repeat the response's id are responses as well. A row without an id gives a record without an id line, which others
+don't refer to; it revisits the smallest id, and where no record of its payload has an id, it is a response. An empty
+table gives an empty archive. Headers name the page's url; a null url leaves the line out. In a url, characters that end
+a line for some reader are percent-encoded. Other columns don't matter, whatever their names.
+
+Digests travel without payloads: a payload is stored once, and verified once.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 END = "\r\n"
+#: Characters that end a line somewhere, and their percent-encoded UTF-8.
+LINE_ENDS = {"\n": "%0A", "\x0b": "%0B", "\x0c": "%0C", "\r": "%0D", "\x85": "%C2%85", "\u2028": "%E2%80%A8", "\u2029": "%E2%80%A9"}
 
 
 def record_id(page: Column) -> Column:
@@ -27,9 +33,15 @@ def archive(pages: DataFrame, path: str, min_bytes: int = 100, date: str = "2024
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
     slim = rows.select("page_id", "url", "digest", "bytes")
-    first = slim.groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    marked = slim.join(first, "digest").withColumn("refers_to", F.when((F.col("bytes") >= min_bytes) & (F.col("page_id") != F.col("first_id")), F.col("first_id")))
-    url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
+    # read back, so that the join may split a digest of many records
+    first = slim.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first.write.parquet(f"{path}/repeated")
+    first = pages.sparkSession.read.schema(first.schema).parquet(f"{path}/repeated")
+    revisits = (F.col("bytes") >= min_bytes) & F.coalesce(F.col("page_id") != F.col("first_id"), F.lit(True))
+    marked = slim.join(first, "digest", "left").withColumn("refers_to", F.when(revisits, F.col("first_id")))
+    url = F.col("url")
+    for end, code in LINE_ENDS.items():
+        url = F.replace(url, F.lit(end), F.lit(code))
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit(END))).otherwise("")
     kind = F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")
     header = F.concat(
@@ -53,8 +65,7 @@ def payload_store(spark: SparkSession, path: str) -> DataFrame:
     """(digest, payload), each verified: another digest, or two payloads under one, is an error."""
     stored = spark.read.parquet(f"{path}/payloads")
     real = F.sha2("payload", 256)
-    stored = stored.select("payload", F.when(real == F.col("digest"), real).otherwise(F.raise_error(F.concat(F.lit("payload doesn't match its digest "), F.col("digest")))).alias("digest"))
-    return stored
+    return stored.select("payload", F.when(real == F.col("digest"), real).otherwise(F.raise_error(F.concat(F.lit("payload doesn't match its digest "), F.col("digest")))).alias("digest"))
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
@@ -65,23 +76,24 @@ def reconstruct(spark: SparkSession, path: str) -> DataFrame:
     return out.select("page_id", "digest", "header", "payload", record.alias("record"))
 
 
-def field(record: Column, name: str) -> Column:
+def field(header: Column, name: str) -> Column:
     """A header field of a record, null where it has none."""
-    head = F.substring_index(record.cast("string"), END * 2, 1)
-    found = F.regexp_extract(head, rf"(?m)^{name}: ([^\r\n]*)", 1)
-    return F.nullif(found, F.lit(""))
+    lines = F.split(F.substring_index(header.cast("string"), END * 2, 1), END)
+    found = F.get(F.filter(lines, lambda x: F.startswith(x, F.lit(f"{name}: "))), F.lit(0))
+    return F.substring(found, len(name) + 3, 2**31 - 1)
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
     """What the archive says, read from its records: (page_id, payload_bytes, payload_digest, record_type, refers_to)."""
-    r = reconstruct(spark, path)
+    held = payload_store(spark, path).select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"))
+    r = spark.read.parquet(f"{path}/headers").join(held, "digest")
     header = F.col("header")
     page = F.regexp_extract(field(header, "WARC-Record-ID"), "^<urn:page:(-?[0-9]+)>$", 1)
     refers = F.regexp_extract(field(header, "WARC-Refers-To"), "^<urn:page:(-?[0-9]+)>$", 1)
     return r.select(
         page.try_cast("long").alias("page_id"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.sha2("payload", 256).alias("payload_digest"),
+        "payload_bytes",
+        F.col("digest").alias("payload_digest"),
         field(header, "WARC-Type").alias("record_type"),
         refers.try_cast("long").alias("refers_to"),
     )
