@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.expressions import flag
-from fleetlens.operators.timeseries import ID, SEQ, T, islands, series, step_seconds, up_to_here
+from fleetlens.operators.timeseries import ID, SEQ, T, from_here, islands, series, step_seconds, up_to_here
 
 
 def gap_seconds() -> Column:
@@ -32,7 +32,7 @@ def day_segments(df: DataFrame, mode: str = "mode", merge_min: float = 15, out:
     """Rows numbered by segment: inside one envelope, or between two."""
     charging = F.col(mode).startswith("CHARGING")
     before = F.last(F.when(charging, F.col(T)), True).over(up_to_here())
-    after = F.first(F.when(charging, F.col(T)), True).over(series().rowsBetween(0, Window.unboundedFollowing))
+    after = F.last(F.when(charging, F.col(T)), True).over(from_here())
     # between two charging rows that one envelope joins
     inside = charging | F.coalesce(after - before <= merge_min * 60, F.lit(False))
     return islands(df.withColumn("__in", inside), F.col("__in"), out).drop("__in")
@@ -158,7 +158,7 @@ def state_groups(df: DataFrame, key: Column) -> DataFrame:
 def cooling_response(df: DataFrame, over: float = 35) -> DataFrame:
     """Seconds from the first row above the limit to the next below it, for each entry."""
     hot = F.col("tmax") > over
-    below = F.min(F.when(F.col("tmax") < over, F.col(T))).over(series().rowsBetween(1, Window.unboundedFollowing))
+    below = F.min(F.when(F.col("tmax") < over, F.col(T))).over(from_here(1))
     df = df.withColumns({"__entry": hot & ~F.coalesce(F.lag(hot).over(series()), F.lit(False)), "exit": below}).where("__entry AND exit IS NOT NULL")
     first = df.groupBy(ID, "exit").agg(F.min(T).alias("entry"))
     return first.select(ID, "entry", "exit", (F.col("exit") - F.col("entry")).alias("seconds"))
@@ -170,13 +170,15 @@ def brake_stops(df: DataFrame, top_speed: float = 30, search_sec: int = 10) -> D
     stop = (F.col("speed") == 0) & (F.lag("speed").over(series()) > 0)
     pressed = F.min(F.when(F.col("brake") > 0, F.col(T))).over(back)
     df = df.withColumns({"__stop": stop, "__start": pressed})
-    # rows from the press to the stop, found by looking back from the stop
-    rows = F.collect_list(F.struct(T, "speed", "brake", SEQ)).over(back)
-    at = df.withColumn("__rows", rows).where("__stop AND __start IS NOT NULL")
-    inside = F.filter("__rows", lambda r: (r[T] >= F.col("__start")) & (F.struct(r[T], r[SEQ]) <= F.struct(F.col(T), F.col(SEQ))))
-    at = at.withColumn("__rows", F.array_sort(inside))
-    peak = F.array_max(F.transform("__rows", lambda r: r["speed"]))
-    return at.select(ID, F.col(T).alias("stop"), F.col("__start").alias("start"), peak.alias("peak_speed"), F.get("__rows", F.lit(0))["speed"].alias("start_speed"), F.array_max(F.transform("__rows", lambda r: r["brake"])).alias("max_brake"), F.size("__rows").alias("rows")).where(F.col("peak_speed") >= top_speed)
+    stops = df.where("__stop AND __start IS NOT NULL").select(ID, F.col(T).alias("stop"), F.col("__start").alias("start"), F.col(SEQ).alias("__seq"))
+    # the rows from the press to the stop: buckets of search_sec seconds make it an equi-join
+    bucket = lambda t: F.floor(t / max(1, search_sec))
+    buckets = F.explode(F.sequence(bucket(F.col("start")), bucket(F.col("stop"))))
+    rows = df.select(F.col(ID).alias("__id"), T, SEQ, "speed", "brake", bucket(F.col(T)).alias("__at"))
+    near = stops.withColumn("__bucket", buckets).join(rows, (F.col(ID) == F.col("__id")) & (F.col("__bucket") == F.col("__at")))
+    near = near.where((F.col(T) >= F.col("start")) & (F.struct(T, SEQ) <= F.struct("stop", "__seq")))
+    out = near.groupBy(ID, "stop", "start", "__seq").agg(F.max("speed").alias("peak_speed"), F.min_by("speed", F.struct(T, SEQ)).alias("start_speed"), F.max("brake").alias("max_brake"), F.count("*").cast("int").alias("rows"))
+    return out.where(F.col("peak_speed") >= top_speed).drop("__seq")
 
 
 def brake_metrics(stops: DataFrame, mass_kg: float = 13_500) -> DataFrame:

@@ -10,17 +10,30 @@ from pyspark.sql import functions as F
 
 from fleetlens.operators.timeseries import ID, SEQ, T
 
-RANGE_LINE = r"^\s*SG_\s+([A-Za-z0-9_]+)\s*:\s*\[([-0-9.]+)\|([-0-9.]+)\]\s*$"
-
 
 def _plain(name: Column) -> Column:
-    return F.regexp_replace(F.lower(name), "__+", "_")
+    """A name's parts between underscores, in lower case; empty parts don't count."""
+    return F.array_join(F.filter(F.split(F.lower(name), "_"), lambda part: part != ""), "_")
+
+
+def signal_of(line: Column) -> Column:
+    """(signal, lo, hi) of a signal's line in a dictionary, nulls for other lines.
+
+    Such a line is `SG_ name : layout (factor,offset) [lo|hi] "unit" receivers`; a mark of multiplexing may follow the
+    name, and all between the colon and the bracket may lack.
+    """
+    text = F.trim(line)
+    head = F.substring_index(text, ":", 1)
+    bracket = F.substring_index(F.substring_index(F.substring(text, F.length(head) + 2, F.length(text)), "]", 1), "[", -1)
+    name = F.when(F.startswith(text, F.lit("SG_ ")) & F.contains(text, F.lit(":")), F.get(F.split(F.trim(F.substring(head, 4, 2**31 - 1)), " +"), F.lit(0)))
+    bound = lambda i: F.when(name.isNotNull() & F.contains(bracket, F.lit("|")), F.trim(F.substring_index(bracket, "|", i)).try_cast("double"))
+    return F.struct(name.alias("signal"), bound(1).alias("lo"), bound(-1).alias("hi"))
 
 
 def ranges_of_lines(lines: DataFrame, line: str = "value", at: str = "n") -> DataFrame:
-    """(signal, lo, hi) of a dictionary's range lines; of lines with one name the last counts."""
-    part = lambda i: F.regexp_extract(line, RANGE_LINE, i)
-    found = lines.where(F.col(line).rlike(RANGE_LINE)).select(_plain(part(1)).alias("signal"), F.struct(part(2).try_cast("double").alias("lo"), part(3).try_cast("double").alias("hi")).alias("range"), at)
+    """(signal, lo, hi) of a dictionary's signals with a range; of lines with one name the last counts."""
+    found = lines.select(signal_of(F.col(line)).alias("s"), at).where("s.signal IS NOT NULL AND s.lo IS NOT NULL AND s.hi IS NOT NULL")
+    found = found.select(_plain(F.col("s.signal")).alias("signal"), F.struct("s.lo", "s.hi").alias("range"), at)
     return found.groupBy("signal").agg(F.max_by("range", at).alias("range")).select("signal", "range.lo", "range.hi")
 
 

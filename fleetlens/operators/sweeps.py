@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetlens.operators.signals import signal_of
 from fleetlens.operators.timeseries import ID, SEQ, T
 
 FRAME_LINE = r"^\s*([0-9]+\.[0-9]+)\s+\S+\s+([0-9A-Fa-f]+)x?\s+\S+\s+\S+\s+\S+((?:\s+[0-9A-Fa-f]{2}){8})"
@@ -36,10 +37,8 @@ def text_of_frames(frames: DataFrame, base_ms: int) -> DataFrame:
 def dbc_dictionary(lines: DataFrame, line: str = "value", at: str = "n") -> DataFrame:
     """(dbc_id, position, signal, lo, hi) from dictionary text; lines carry their number within a file."""
     frame = F.nullif(F.regexp_extract(line, r"^BO_ (\d+) ", 1), F.lit("")).try_cast("long")
-    signal = F.nullif(F.regexp_extract(line, r"^\s*SG_ (\S+)", 1), F.lit(""))
-    bound = lambda i: F.regexp_extract(line, r"\[([-0-9.eE+]+)\|([-0-9.eE+]+)\]", i).try_cast("double")
     w = Window.partitionBy("file").orderBy(at)
-    df = lines.withColumns({"dbc_id": F.last(frame, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "signal": signal, "lo": bound(1), "hi": bound(2)}).where("signal IS NOT NULL")
+    df = lines.withColumns({"dbc_id": F.last(frame, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "__signal": signal_of(F.col(line))}).select("*", "__signal.*").where("signal IS NOT NULL")
     return df.withColumn("position", F.row_number().over(Window.partitionBy("file", "dbc_id").orderBy(at)) - 1).select("dbc_id", "position", "signal", "lo", "hi")
 
 
@@ -52,7 +51,7 @@ def decode_frames(frames: DataFrame, signals: DataFrame) -> DataFrame:
     """One row for each sensor in a frame. signals: (can_id, k, kind, sensor_no); temperatures are a byte less 40, voltages two bytes in mV, low byte first."""
     at = F.col("k")
     value = F.when(F.col("kind") == "temperature", F.get("bytes", at) - 40.0).otherwise((F.get("bytes", 2 * at) + 256 * F.get("bytes", 2 * at + 1)) * 0.001)
-    return frames.join(F.broadcast(signals), "can_id").select(*[c for c in frames.columns if c != "bytes"], "kind", "sensor_no", value.alias("value"))
+    return frames.join(signals, "can_id").select(*[c for c in frames.columns if c != "bytes"], "kind", "sensor_no", value.alias("value"))
 
 
 def in_order(df: DataFrame) -> DataFrame:

@@ -19,8 +19,9 @@ def up_to_here(w: WindowSpec | None = None) -> WindowSpec:
     return (w if w is not None else series()).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def from_here(w: WindowSpec | None = None) -> WindowSpec:
-    return (w if w is not None else series()).rowsBetween(0, Window.unboundedFollowing)
+def from_here(skip: int = 0) -> WindowSpec:
+    """The row and those behind it, latest first, or those from `skip` rows on: what grows row by row is a running value, what shrinks isn't."""
+    return Window.partitionBy(ID).orderBy(F.desc(T), F.desc(SEQ)).rowsBetween(Window.unboundedPreceding, -skip)
 
 
 def step_seconds(cap: float | None = None, above: str = "zero") -> Column:
@@ -47,7 +48,7 @@ def islands(df: DataFrame, key: Column, out: str = "island", new_if: Column | No
 
 
 def fill_forward_back(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.withColumns({c: F.coalesce(F.last(c, True).over(up_to_here()), F.first(c, True).over(from_here())) for c in columns})
+    return df.withColumns({c: F.coalesce(F.last(c, True).over(up_to_here()), F.last(c, True).over(from_here())) for c in columns})
 
 
 def fill_forward_limited(df: DataFrame, limits: dict[str, int]) -> DataFrame:
@@ -62,7 +63,7 @@ def fill_forward_limited(df: DataFrame, limits: dict[str, int]) -> DataFrame:
 
 def _neighbours(c: str, position: str) -> dict[str, Column]:
     known = F.when(F.col(c).isNotNull(), F.col(position))
-    return {"__v0": F.last(c, True).over(up_to_here()), "__p0": F.last(known, True).over(up_to_here()), "__v1": F.first(c, True).over(from_here()), "__p1": F.first(known, True).over(from_here())}
+    return {"__v0": F.last(c, True).over(up_to_here()), "__p0": F.last(known, True).over(up_to_here()), "__v1": F.last(c, True).over(from_here()), "__p1": F.last(known, True).over(from_here())}
 
 
 def interpolate(df: DataFrame, c: str, by: str = "rows", limit: int | None = None, max_gap: float | None = None, edges: bool = True) -> DataFrame:
@@ -76,7 +77,7 @@ def interpolate(df: DataFrame, c: str, by: str = "rows", limit: int | None = Non
     v0, v1, p0, p1 = (F.col(x) for x in ("__v0", "__v1", "__p0", "__p1"))
     if by == "time" or max_gap is not None:
         known = F.when(F.col(c).isNotNull(), F.col(T))
-        df = df.withColumns({"__t0": F.last(known, True).over(up_to_here()), "__t1": F.first(known, True).over(from_here())})
+        df = df.withColumns({"__t0": F.last(known, True).over(up_to_here()), "__t1": F.last(known, True).over(from_here())})
     share = (F.col(T) - F.col("__t0")) / (F.col("__t1") - F.col("__t0")) if by == "time" else (F.col("__rn") - p0) / (p1 - p0)
     inside = v0 + (v1 - v0) * share
     if max_gap is not None:
@@ -98,7 +99,7 @@ def impute_odo_speed(df: DataFrame, odo: str = "odo", speed: str = "speed", dt_c
     df = df.withColumn("__step", F.coalesce(F.col(speed) * step_seconds(dt_cap) / 3600, F.lit(0.0)))
     df = df.withColumn("__known", F.count(odo).over(up_to_here()))
     inside = Window.partitionBy(ID, "__known").orderBy(T, SEQ).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumns({"__l": F.last(odo, True).over(up_to_here()), "__r": F.first(odo, True).over(from_here()), "__run": F.sum(F.when(F.col(odo).isNull(), F.col("__step")).otherwise(0.0)).over(inside)})
+    df = df.withColumns({"__l": F.last(odo, True).over(up_to_here()), "__r": F.last(odo, True).over(from_here()), "__run": F.sum(F.when(F.col(odo).isNull(), F.col("__step")).otherwise(0.0)).over(inside)})
     l, r = F.col("__l"), F.col("__r")
     moved = F.when(r < l, l).otherwise(F.least(l + F.col("__run"), r))
     value = F.when(F.col(odo).isNotNull(), F.col(odo)).when(l.isNull(), r).when(r.isNull(), l).otherwise(F.round(moved, digits))

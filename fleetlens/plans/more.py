@@ -107,7 +107,7 @@ def semi_filter_ids(spark, sf):
 def id_map_join(spark, sf):
     """Ids without an entry in the map stay, with null."""
     nation = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("k"), "n_name")
-    return events(spark, sf).withColumn("k", F.col("user_id") % 40).join(F.broadcast(nation), "k", "left").select("event_id", "n_name")
+    return events(spark, sf).withColumn("k", F.col("user_id") % 40).join(nation, "k", "left").select("event_id", "n_name")
 
 
 @query("raw_counts_merge", "SELECT id, t_sec // 3600 AS hour, count(*) AS raw, count(CASE WHEN amps IS NOT NULL AND odo IS NOT NULL THEN 1 END) AS usable FROM tel GROUP BY ALL")
@@ -156,11 +156,11 @@ def charging_events_simple(spark, sf):
     return df.groupBy("id", "event").agg(F.min("t_sec").alias("start"), F.max("t_sec").alias("end"), F.min("tmax").alias("coolest"), F.max("tmax").alias("hottest"), F.round(F.avg(F.col("tmax").cast("decimal(18,6)")).cast("double"), 4).alias("mean"))
 
 
-@query("fleet_temp_table", _METRICS + ", h AS (SELECT s.id, CAST(g AS bigint) AS session, 100.0 * avg(CASE WHEN tmax > 35 THEN 1 ELSE 0 END) AS p FROM s GROUP BY s.id, g) SELECT m.id, count(*) AS sessions, count(CASE WHEN p > 40 THEN 1 END) AS hot, round(100.0 * count(CASE WHEN p > 40 THEN 1 END) / count(*), 2) AS hot_pct FROM m JOIN h ON m.id = h.id AND m.session = h.session GROUP BY m.id")
+@query("fleet_temp_table", _METRICS + ", h AS (SELECT s.id, CAST(g AS bigint) AS session, 100.0 * avg(CASE WHEN tmax > 35 THEN 1 ELSE 0 END) AS p FROM s GROUP BY s.id, g) SELECT m.id, count(*) AS sessions, count(CASE WHEN p > 40 THEN 1 END) AS hot, round(100.0 * count(CASE WHEN p > 40 THEN 1 END) / count(*), 2) AS hot_pct, round(avg(CAST(p AS DECIMAL(18,6))), 2) AS mean_pct FROM m JOIN h ON m.id = h.id AND m.session = h.session GROUP BY m.id")
 def fleet_temp_table(spark, sf):
     df = E.mode_gap_sessions(tel(spark, sf).withColumn("mode", S.activity_state()), F.col("mode"))
     one = df.groupBy("id", "session").agg(F.count("*").alias("n"), (100 * F.avg((F.col("tmax") > 35).cast("int"))).alias("p")).where("n >= 2")
-    return one.groupBy("id").agg(F.count("*").alias("sessions"), F.count_if(F.col("p") > 40).alias("hot"), F.round(100 * F.count_if(F.col("p") > 40) / F.count("*"), 2).alias("hot_pct"))
+    return one.groupBy("id").agg(F.count("*").alias("sessions"), F.count_if(F.col("p") > 40).alias("hot"), F.round(100 * F.count_if(F.col("p") > 40) / F.count("*"), 2).alias("hot_pct"), F.round(F.avg(F.col("p").cast("decimal(18,6)")).cast("double"), 2).alias("mean_pct"))
 
 
 @query("charging_param_stats", _ENV + ", w AS (SELECT id, envelope, min(s) AS s, max(e) AS e FROM v GROUP BY ALL) SELECT t.id, CAST(w.envelope AS bigint) AS envelope, min(volts) AS volts_min, max(volts) AS volts_max, round(avg(CAST(tmax AS DECIMAL(18,6))), 4) AS tmax_mean FROM tel t JOIN w ON t.id = w.id AND t.t_sec BETWEEN w.s AND w.e GROUP BY ALL")
@@ -251,12 +251,12 @@ def soc_bucket_alloc(spark, sf):
     return b.groupBy("band").agg(F.round(F.sum(F.col("minutes") * F.col("part")), 2).alias("minutes"), F.round(F.sum(F.col("kwh_out") * F.col("part")), 2).alias("kwh"))
 
 
-@query("reaggregate")
+@query("reaggregate", "WITH q AS (" + reports._mileage(900, 0.01) + ") SELECT period // 86400 AS day, CASE period % 3600 // 900 WHEN 0 THEN 'Q0' WHEN 1 THEN 'Q1' WHEN 2 THEN 'Q2' ELSE 'Q4' END AS quarter, round(sum(CAST(km AS DECIMAL(18,6))), 2) AS km_sum, round(max(km), 3) AS km_max, round(median(kwh_per_km), 3) AS rate_median FROM q GROUP BY ALL")
 def reaggregate(spark, sf):
     """Quarter hours summed by day and quarter of the hour."""
     q = reports.mileage_energy_15min(spark, sf)
     quarter = F.element_at(F.array(*map(F.lit, ("Q0", "Q1", "Q2", "Q4"))), (F.floor(F.col("period") % 3600 / 900) + 1).cast("int"))
-    return q.groupBy(F.floor(F.col("period") / 86400).alias("day"), quarter.alias("quarter")).agg(F.round(F.sum("km"), 2).alias("km_sum"), F.round(F.max("km"), 3).alias("km_max"), F.round(F.median("kwh_per_km"), 3).alias("rate_median"))
+    return q.groupBy(F.floor(F.col("period") / 86400).alias("day"), quarter.alias("quarter")).agg(F.round(F.sum(F.col("km").cast("decimal(18,6)")), 2).cast("double").alias("km_sum"), F.round(F.max("km"), 3).alias("km_max"), F.round(F.median("kwh_per_km"), 3).alias("rate_median"))
 
 
 @query("brake_velocity_stats", _STOPS + "SELECT CAST(floor(start_speed / 20) * 20 AS bigint) AS speed, count(*) AS n, median(max_brake) AS pedal_p50, round(quantile_cont(stop - start, 0.95), 4) AS sec_p95 FROM b GROUP BY 1")
@@ -272,10 +272,16 @@ def before_after(spark, sf):
     return b.groupBy("id").agg(F.count_if(early).alias("n_before"), F.count_if(~early).alias("n_after"), F.round(F.avg(F.when(early, F.col("max_brake"))), 4).alias("pedal_before"), F.round(F.avg(F.when(~early, F.col("max_brake"))), 4).alias("pedal_after"))
 
 
-@query("bucket_focus", _STOPS + ", c AS (SELECT id, max_brake // 10 * 10 AS pedal, count(*) AS n FROM b GROUP BY ALL) SELECT id, pedal, n FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, pedal) AS r FROM c) WHERE r = 1")
+FOCUS = list(range(0, 110, 10))
+
+
+@query("bucket_focus", _STOPS + ", c AS (SELECT id, max_brake // 10 * 10 AS pedal FROM b), t AS (SELECT id, " + ", ".join(f"count(CASE WHEN pedal = {x} THEN 1 END) AS b{x}" for x in FOCUS) + " FROM c GROUP BY id), n AS (SELECT id, pedal, count(*) AS n FROM c GROUP BY ALL), f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, pedal) AS r FROM n) SELECT f.id, f.pedal, f.n, " + ", ".join(f"b{x}" for x in FOCUS) + " FROM f JOIN t ON f.id = t.id WHERE r = 1")
 def bucket_focus(spark, sf):
-    b = E.brake_stops(tel(spark, sf), search_sec=120)
-    return Q.top_values(b, ["id"], F.floor(F.col("max_brake") / 10) * 10, 1).select("id", F.col("value").alias("pedal"), "n")
+    """Each vehicle's fullest bucket, and its row of vehicle by bucket."""
+    b = E.brake_stops(tel(spark, sf), search_sec=120).withColumn("pedal", F.floor(F.col("max_brake") / 10) * 10)
+    by = b.groupBy("id").agg(*(F.count_if(F.col("pedal") == x).alias(f"b{x}") for x in FOCUS))
+    top = Q.top_values(b, ["id"], F.col("pedal"), 1).select("id", F.col("value").alias("pedal"), "n")
+    return top.join(by, "id")
 
 
 @query("bucket_vehicle_lists", f"WITH p AS (SELECT id, 100.0 * avg(CASE WHEN tmax > 35 THEN 1 ELSE 0 END) AS hot, 100.0 * avg(CASE WHEN tmax - tmin > 5 THEN 1 ELSE 0 END) AS spread FROM tel GROUP BY id) SELECT id FROM p WHERE hot BETWEEN 35 AND 100 OR spread BETWEEN 45 AND 100")

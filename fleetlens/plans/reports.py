@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions import expressions as X
@@ -153,12 +154,21 @@ def _events_prev(spark, sf):
     from pyspark.sql import Window
 
     e = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "event_id", "ts", "event_type")
-    return e.select(F.col("event_type").alias("cur"), F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("prev")).where("prev IS NOT NULL")
+    return e.select("ts", F.col("event_type").alias("cur"), F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("prev")).where("prev IS NOT NULL")
 
 
-@query("transition_counts", f"SELECT prev, cur, count(*) AS n FROM {_PREV} WHERE prev IS NOT NULL GROUP BY ALL")
+@query("transition_counts", """WITH p AS (SELECT event_type AS cur, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev, hour(ts) AS h FROM events),
+c AS (SELECT prev, cur, h, count(*) AS k FROM p WHERE prev IS NOT NULL GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY prev, cur ORDER BY k DESC, h) AS place FROM c)
+SELECT prev, cur, CAST(sum(k) AS bigint) AS n, string_agg(h || ':' || k, ',' ORDER BY h) AS by_hour, string_agg(CASE WHEN place <= 3 THEN CAST(h AS varchar) END, ',' ORDER BY place) AS top_hours FROM r GROUP BY prev, cur""")
 def transition_counts(spark, sf):
-    return _events_prev(spark, sf).groupBy("prev", "cur").agg(F.count("*").alias("n"))
+    """Changes of state, when in the day they happen, and the three hours in which most do."""
+    w = Window.partitionBy("prev", "cur").orderBy(F.desc("k"), "h")
+    by = _events_prev(spark, sf).groupBy("prev", "cur", F.hour("ts").alias("h")).agg(F.count("*").alias("k")).withColumn("place", F.row_number().over(w))
+    listed = lambda x: F.array_join(F.transform(F.array_sort(F.collect_list(x)), lambda y: y["text"]), ",")
+    hours = listed(F.struct("h", F.concat_ws(":", "h", "k").alias("text")))
+    top = listed(F.when(F.col("place") <= 3, F.struct("place", F.col("h").cast("string").alias("text"))))
+    return by.groupBy("prev", "cur").agg(F.sum("k").alias("n"), hours.alias("by_hour"), top.alias("top_hours"))
 
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -181,18 +191,26 @@ def distinct_count(spark, sf):
     return tel(spark, sf).agg(F.count_distinct("id").alias("vehicles"), F.count_distinct("tmax_no").alias("sensors"), F.count_distinct("tms_mode").alias("modes"))
 
 
-COLS = ["amps", "volts", "soc", "tmax"]
+COLS = ["amps", "volts", "soc", "tmax", "tmin", "speed", "odo"]
 
 
-@query("correlation_matrix", "WITH x AS (SELECT * FROM tel) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM x" for i, a in enumerate(COLS) for b in COLS[i + 1 :]))
+@query("correlation_matrix", "WITH x AS (SELECT * FROM tel), c AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM x" for i, a in enumerate(COLS) for b in COLS[i + 1 :]) + ") SELECT a, b, r, coalesce(abs(r) > 0.5 AND abs(r) < 1, false) AS strong FROM c")
 def correlation_matrix(spark, sf):
-    return Q.correlations(tel(spark, sf), COLS)
+    """strong: the pairs that a report names."""
+    r = F.abs(F.col("r"))
+    return Q.correlations(tel(spark, sf), COLS).withColumn("strong", F.coalesce((r > 0.5) & (r < 1), F.lit(False)))
 
 
-@query("mean_ci", "SELECT event_type, round(avg(CAST(value AS DECIMAL(18,6))), 6) AS mean, round(2.807 * stddev_samp(value) / sqrt(count(*)), 4) AS half FROM events GROUP BY event_type")
+#: The normal quantile of a two-sided 99.5 % interval.
+Z995 = 2.807033768343804
+_T995 = f"({Z995} + {(Z995**3 + Z995) / 4} / v + {(5 * Z995**5 + 16 * Z995**3 + 3 * Z995) / 96} / v ** 2 + {(3 * Z995**7 + 19 * Z995**5 + 17 * Z995**3 - 15 * Z995) / 384} / v ** 3 + {(79 * Z995**9 + 776 * Z995**7 + 1482 * Z995**5 - 1920 * Z995**3 - 945 * Z995) / 92160} / v ** 4)"
+
+
+@query("mean_ci", f"WITH g AS (SELECT id, t_sec - lag(t_sec) OVER (PARTITION BY id ORDER BY t_sec) AS cycle FROM tel WHERE tmax_no = 1), a AS (SELECT id, count(cycle) AS n, nullif(count(cycle) - 1, 0) AS v, avg(CAST(cycle AS DECIMAL(18,6))) AS m, stddev_samp(cycle) AS s FROM g GROUP BY id) SELECT id, n, round(m, 6) AS mean, round({_T995} * s / sqrt(n), 4) AS half FROM a")
 def mean_ci(spark, sf):
-    e = spark.read.parquet(f"{sf}/events.parquet")
-    return e.groupBy("event_type").agg(F.round(F.avg(F.col("value").cast("decimal(18,6)")).cast("double"), 6).alias("mean"), F.round(2.807 * F.stddev_samp("value") / F.sqrt(F.count("*")), 4).alias("half"))
+    """Cycle lengths: seconds from one sample of the first sensor to the next."""
+    df = tel(spark, sf).where("tmax_no = 1")
+    return Q.mean_interval(df.withColumn("cycle", F.col("t_sec") - F.lag("t_sec").over(Window.partitionBy("id").orderBy("t_sec"))), ["id"], F.col("cycle"), Z995)
 
 
 @query("threshold_compliance", f"SELECT {CM} AS mode, round(100.0 * avg(CASE WHEN tmax > CASE WHEN {GUN} THEN 30 ELSE 35 END THEN 1 ELSE 0 END), 4) AS over_pct, median(tmax) AS median_t FROM tel WHERE tms_mode <> 'Off' GROUP BY 1")
@@ -209,10 +227,17 @@ def time_in_band(spark, sf):
     return df.groupBy("id").agg(pct(F.col("x") < 5).alias("below"), pct(F.col("x").between(5, 8)).alias("inside"), pct(F.col("x") > 8).alias("above"))
 
 
-@query("bpp_buckets", _STOPS + "SELECT max_brake // 5 * 5 AS pedal, count(*) AS n FROM b GROUP BY 1")
+@query("bpp_buckets", _STOPS + """, c AS (SELECT max_brake // 5 * 5 AS pedal, count(*) AS n FROM b GROUP BY 1), e AS (SELECT unnest(range(0, CAST(max(pedal) AS bigint) + 5, 5)) AS pedal FROM c)
+SELECT CAST(e.pedal AS bigint) AS pedal, coalesce(n, 0) AS n, e.pedal = (SELECT arg_max(pedal, (n, -pedal)) FROM c) AS is_mode, (SELECT mode(max_brake ORDER BY max_brake) FROM b) AS mode_value FROM e LEFT JOIN c ON e.pedal = c.pedal""")
 def bpp_buckets(spark, sf):
+    """Buckets of five up to the hardest braking, empty ones too; the fullest one, and the most frequent value."""
     b = E.brake_stops(tel(spark, sf), search_sec=120)
-    return b.groupBy((F.floor(F.col("max_brake") / 5) * 5).alias("pedal")).agg(F.count("*").alias("n"))
+    n = b.groupBy((F.floor(F.col("max_brake") / 5) * 5).alias("pedal")).agg(F.count("*").alias("n"))
+    # one row: the pedal goes to 100
+    all_of = n.agg(F.max("pedal").alias("most"), F.max_by("pedal", F.struct("n", -F.col("pedal"))).alias("fullest"))
+    value = b.agg(F.mode("max_brake", True).alias("mode_value"))
+    each = all_of.where("most IS NOT NULL").crossJoin(F.broadcast(value)).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("most"), F.lit(5).cast("long"))).alias("pedal"), "fullest", "mode_value")
+    return each.join(n, "pedal", "left").select("pedal", F.coalesce("n", F.lit(0)).alias("n"), (F.col("pedal") == F.col("fullest")).alias("is_mode"), "mode_value")
 
 
 @query("brake_bucket_stats", _STOPS + 'SELECT max_brake // 10 * 10 AS pedal, median(start_speed) AS speed_p50, round(quantile_cont(start_speed, 0.95), 4) AS speed_p95, round(median(stop - start), 4) AS sec_p50 FROM b GROUP BY 1')

@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-COPY_LINE = r"^COPY\s+(?:\w+\.)?(\w+)\s*\((.*?)\)\s+FROM\s+stdin;"
+#: What a header consists of: names (in double quotes, or without blanks and punctuation) and the bracket before the columns.
+HEADER_PARTS = r'"(?:[^"]|"")*"|[(]|[^\s,().";]+'
+
+
+def copy_header(line: Column) -> Column:
+    """(table, names) of a line `COPY schema.table (name, ...) FROM stdin;`, null for other lines. The schema may lack, names may be quoted."""
+    parts = F.regexp_extract_all(line, F.lit(HEADER_PARTS), F.lit(0))
+    bracket = F.array_position(parts, "(").cast("int")
+    end = F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), F.lit(2))
+    plain = lambda name: F.when(F.startswith(name, F.lit('"')), F.replace(F.substring(name, F.lit(2), F.length(name) - 2), F.lit('""'), F.lit('"'))).otherwise(name)
+    names = F.transform(F.slice(parts, bracket + 1, F.greatest(F.size(parts) - 2 - bracket, F.lit(0))), plain)
+    header = F.struct(plain(F.get(parts, bracket - 2)).alias("table"), names.alias("names"))
+    return F.when(F.startswith(line, F.lit("COPY ")) & (bracket > 2) & (F.array_join(end, " ") == "FROM stdin"), header)
 
 
 def scan_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -20,17 +32,18 @@ def scan_dump_tables(lines: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
     in `skip` (personal data) are left out. Values stay text; `dump_table` types them.
     """
     value = F.col("value")
-    mark = F.when(value.rlike(COPY_LINE), value).when(F.trim(value) == "\\.", "")
+    # a header, or the end of a table, which has no name
+    end = F.struct(F.lit("").alias("table"), F.array().cast("array<string>").alias("names"))
+    mark = F.coalesce(copy_header(value), F.when(F.trim(value) == "\\.", end))
     marked = lines.withColumn("mark", mark)
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = marked.groupBy("file", "block").agg(F.max_by("mark", F.when(F.col("mark").isNotNull(), F.col("n"))).alias("last"))
     blocks = blocks.select("file", "block", F.last("last", True).over(before).alias("carried"))
     so_far = Window.partitionBy("file", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     header = F.coalesce(F.last("mark", True).over(so_far), "carried")
-    rows = marked.join(blocks, ["file", "block"]).withColumn("header", header).where("mark IS NULL AND header <> ''")
-    names = F.transform(F.split(F.regexp_extract("header", COPY_LINE, 2), ","), lambda c: F.trim(c))
+    rows = marked.join(blocks, ["file", "block"]).withColumn("header", header).where("mark IS NULL AND header.table <> ''")
     values = F.transform(F.split(value, "\t", -1), lambda v: F.when(v != "\\N", v))
-    out = rows.select("file", "block", "n", F.regexp_extract("header", COPY_LINE, 1).alias("table"), names.alias("names"), values.alias("values"))
+    out = rows.select("file", "block", "n", "header.table", "header.names", values.alias("values"))
     return out.where(~F.col("table").isin(*skip)) if skip else out
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+import re
+from datetime import date, datetime, timedelta, timezone
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,11 +63,37 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def scan_local_day(df: DataFrame, day: str, tz: str = "Asia/Kolkata", ts_col: str = "ts", dt_col: str | None = None) -> DataFrame:
-    """Rows of one local calendar day; on a table with a UTC day column only that day's partition and the one before are read."""
-    d = date.fromisoformat(day)
+    """Rows of one local calendar day, whose bounds reach the scan; on a table with a UTC day column only that day's partition and its neighbours are read."""
+    d, zone = date.fromisoformat(day), ZoneInfo(tz)
+    low, high = (datetime(x.year, x.month, x.day, tzinfo=zone).astimezone(timezone.utc) for x in (d, d + timedelta(1)))
     if dt_col:
-        df = df.where(F.col(dt_col).isin(d, d - timedelta(1)))
-    return df.where(F.to_date(F.from_utc_timestamp(F.col(ts_col).cast("timestamp"), tz)) == F.lit(d))
+        df = df.where(F.col(dt_col).between(F.lit(low.date()), F.lit(high.date())))
+    naive = df.schema[ts_col].dataType.typeName() == "timestamp_ntz"
+    bound = lambda x: F.lit(x.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz") if naive else F.lit(x)
+    return df.where((F.col(ts_col) >= bound(low)) & (F.col(ts_col) < bound(high)))
+
+
+def reorder_columns(df: DataFrame, order: list[str]) -> DataFrame:
+    """The columns named first, those that are there, in that order; others behind them."""
+    first = [c for c in order if c in df.columns]
+    return df.select(*first, *(c for c in df.columns if c not in first))
+
+
+def regex_columns(df: DataFrame, pattern: str, always: tuple[str, ...] = ()) -> DataFrame:
+    """The columns in `always`, and those whose name holds the pattern."""
+    return df.select(*(c for c in df.columns if c in always or re.search(pattern, c)))
+
+
+def stage_checkpoint(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Writes a state once, as Parquet in a folder that all executors share, and reads it back; later stages start from there.
+
+    A folder that a stage has completed before is read, not written again.
+    """
+    spark = df.sparkSession
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    return spark.read.parquet(path)
 
 
 def scan_utc_window(df: DataFrame, day: str, days: int = 31, offset_minutes: int = 330, ts_col: str = "ts") -> DataFrame:
