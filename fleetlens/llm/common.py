@@ -57,10 +57,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def buckets_for(texts: DataFrame, each: int, text_col: str = "text") -> int:
-    """How many buckets hold about `each` bytes of the texts, and at least so many as a shuffle has partitions."""
+def buckets_for(texts: DataFrame, each: int, least: int | None = None, text_col: str = "text") -> int:
+    """How many buckets hold about `each` bytes of the texts, and at least `least`, or so many as a shuffle has partitions."""
     total = texts.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    return max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // each))
+    return max(least or int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // each))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

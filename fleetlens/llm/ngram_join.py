@@ -100,6 +100,8 @@ def bands(percent: int, up_to: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     spare, weak = np.zeros(len(need), np.int64), np.full(len(need), -1)
     for i, (size, k) in enumerate(zip(low, need.tolist())):
         for most, allowed in ((1, k // 4), (0, k // 2)):
+            if k * np.exp(-size / k) * (1 + most * size / k) < 0.05:
+                continue  # hardly any set has one
             s = 0
             for _ in range(8):  # a set's weak parts, rarely more
                 mean = (k + s) * np.exp(-size / (k + s)) * (1 + most * size / (k + s))
@@ -338,7 +340,7 @@ def _routed(texts: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
 
 
 def _met(routed: DataFrame) -> DataFrame:
-    """(hub, block): hubs of different chunks that share a signature, under the smallest of them."""
+    """(hub, block): hubs of different chunks that share a signature with a smaller one, and the smallest of them."""
     import pandas as pd
 
     def bucket(g: pd.DataFrame) -> pd.DataFrame:
@@ -347,8 +349,7 @@ def _met(routed: DataFrame) -> DataFrame:
         sig, hub = sig[order], hub[order]
         first, length = groups_of(sig)
         block = np.repeat(hub[first], length)
-        several = np.repeat((length > 1) & (hub[first + length - 1] != hub[first]), length)
-        pair = np.unique(np.stack([hub[several], block[several]], 1), axis=0)
+        pair = np.unique(np.stack([hub[hub != block], block[hub != block]], 1), axis=0)
         return pd.DataFrame({"hub": pair[:, 0], "block": pair[:, 1]})
 
     return routed.where("kind = 'signature'").select("bucket", "sigs", "hubs").groupBy("bucket").applyInPandas(bucket, "hub long, block long").distinct()
@@ -357,13 +358,14 @@ def _met(routed: DataFrame) -> DataFrame:
 def links(docs: DataFrame, routed: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b): links enough to connect every component. docs: doc_id, text (binary)."""
     local = routed.where("kind = 'local'").select(F.col("a").alias("doc_id"), F.col("b").alias("hub")).distinct()
-    met = _met(routed)
+    met = written(_met(routed), "met")
     follows = local.join(met, "hub").select("doc_id", "block")
     blocks = (
         local.select("doc_id", F.col("hub").alias("block"))
         .unionByName(local.select(F.col("hub").alias("doc_id"), F.col("hub").alias("block")))
         .unionByName(follows)
         .unionByName(met.select(F.col("hub").alias("doc_id"), "block"))
+        .unionByName(met.select(F.col("block").alias("doc_id"), "block"))
         .distinct()
     )
     size = routed.where("kind = 'size'").groupBy(F.col("a").alias("doc_id")).agg(F.sum("b").alias("n"))
@@ -424,7 +426,8 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     spark = docs.sparkSession
     ship_package(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    buckets = buckets_for(texts, BUCKET_BYTES)
+    # a pair that shares many signatures is found once a bucket, so there are no more of them than bytes ask for
+    buckets = buckets_for(texts, BUCKET_BYTES, least=8)
     routed = written(_routed(texts, k, percent, buckets), "ngrams")
     edges = links(texts, routed, k, percent).unionByName(routed.where("kind = 'same'").select("a", "b"))
     component = connected_components(edges)
