@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.llm import bpe, exact_dedup, fingerprints, licenses, ngram_join, packing, sharding, substring_dedup, toxicity, warc, wordcodes
-from fleetlens.llm.queries import QUERIES, byte_bpe
+from fleetlens.llm.queries import ORACLES, QUERIES, byte_bpe
 
 ODD = [
     (1, None), (2, ""), (3, "a"), (4, "a"), (5, " \t\n "), (6, "one two three four five"), (7, "x" * 5000), (8, "äö 中文 \U0001f600 <|endoftext|> tail"),
@@ -418,3 +418,110 @@ def test_queries_and_pipeline_run(spark, data):
         assert docs.columns == columns
         assert 0 < docs.count() <= before
     assert corpus_pipeline.run(spark, data).count() > 0
+
+
+def test_scores_equal_plain_sums(spark, odd, docs):
+    df = odd.select("doc_id", "text").unionByName(docs.select("doc_id", "text"))
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+    def names(text):
+        words = set(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(lower)))
+        return words | {f"{w[:k]}~{k}" for w in words for k in toxicity.STEMS}
+
+    rows = df.collect()
+    every = sorted(set().union(*(names(r.text) for r in rows)))
+    rng = np.random.default_rng(5)
+    chain = []
+    for i, (name, _) in enumerate(toxicity.CATEGORIES):
+        chosen = [every[j] for j in sorted(rng.choice(len(every), 200, replace=False))]
+        chain.append((name, float(rng.normal()), rng.normal(size=i).tolist(), chosen, rng.normal(size=200).tolist()))
+    want = collections.defaultdict(list)
+    for r in rows:
+        has, p = names(r.text), []
+        for _, constant, earlier, chosen, weights in chain:
+            z = constant + sum(a * b for a, b in zip(p, earlier)) + sum(w for f, w in zip(chosen, weights) if f in has)
+            p.append(1 / (1 + np.exp(-z)))
+        want[r.doc_id].append(p)
+    for r in toxicity.score(df, chain).collect():
+        assert any(np.allclose([r[f"p_{name}"] for name, _ in toxicity.CATEGORIES], p) for p in want[r.doc_id])
+
+
+def test_chain_is_fitted_out_of_fold():
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    features = [f"f{i}" for i in range(12)]
+    hits = [[f for f in features if rng.random() < 0.4] for _ in range(240)]
+    rows = pd.DataFrame({"fold": rng.integers(0, 3, 240), "hits": hits})
+    for i, (name, _) in enumerate(toxicity.CATEGORIES):
+        rows[f"y_{name}"] = [float((features[i] in h) ^ (rng.random() < 0.1)) for h in hits]
+    chosen = {(name, k): features[: 10 + k] for name, _ in toxicity.CATEGORIES for k in range(-1, 3)}
+    chain = toxicity.fit_chain(rows, chosen, 0.01)
+    marks = lambda names: np.array([[float(f in h) for f in names] for h in hits])
+    earlier = np.zeros((240, 0))
+    for name, constant, before, names, weights in chain:
+        y, x = rows[f"y_{name}"].to_numpy(), np.hstack([earlier, marks(names)])
+        # the weights are where the penalised likelihood is level
+        p = 1 / (1 + np.exp(-(x @ np.array([*before, *weights]) + constant)))
+        level = x.T @ (p - y) / 240 + 0.01 * np.array([*before, *weights])
+        assert np.abs(level).max() < 1e-4 and abs((p - y).mean()) < 1e-4
+        held = np.zeros(240)
+        for k in range(3):
+            seen, fold_x = (rows["fold"] != k).to_numpy(), np.hstack([earlier, marks(chosen[name, k])])
+            w = toxicity.fit_linear(fold_x[seen], y[seen], np.ones(seen.sum(), bool), 0.01)
+            held[~seen] = (1 / (1 + np.exp(-(fold_x @ w[:-1] + w[-1]))))[~seen]
+        earlier = np.hstack([earlier, held[:, None]])
+
+
+def test_near_copies_and_passages_by_brute_force(spark, docs):
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    first = sorted(r.doc_id for r in ngram_join.keep_first(docs, 5, 80).collect())
+    assert first == sorted(g[0][0] for g in brute_first(rows, 5, 80))
+    want = brute_passages(rows, 50)
+    for r in substring_dedup.without_repeats(docs, 50).collect():
+        n, gone, text = want[r.doc_id]
+        assert r.text == (text if gone else dict(rows)[r.doc_id]) and r.n_chars == len(r.text or "")
+
+
+def test_rows_of_one_id_keep_what_only_they_have(spark):
+    a, b = words_of("a", 30), words_of("b", 30)
+    got = sorted((r.doc_id, r.n_removed, r.kept_text) for r in substring_dedup.substring_dedup(spark.createDataFrame([(1, b), (2, a), (2, b), (None, b), (None, words_of("c", 25))], "doc_id long, text string"), 20).collect() if r.doc_id)
+    assert got == [(1, 0, b), (2, 0, a), (2, 30, "")]
+
+
+def test_warc_urls_with_line_ends(spark, tmp_path):
+    ends = ["\u2028", "\u2029", "\x85", "\r\n", "\n", "\x0b", "\x0c"]
+    pages = [(i, f"u{e}WARC-Refers-To: <urn:page:99>{e}WARC-Type: revisit", f"page {i} " * 40) for i, e in enumerate(ends)]
+    pages += [(50, "x", "again " * 40), (50, "y", "again " * 40), (51, "z", "again " * 40), (None, "n", "again " * 40), (None, "n", "alone " * 40)]
+    warc.archive(spark.createDataFrame(pages, "page_id long, url string, html string"), str(tmp_path / "u"))
+    got = sorted(((r.page_id, r.record_type, r.refers_to) for r in warc.records(spark, str(tmp_path / "u")).collect()), key=str)
+    want = [(i, "response", None) for i in range(len(ends))] + [(50, "response", None)] * 2 + [(51, "revisit", 50), (None, "revisit", 50), (None, "response", None)]
+    assert got == sorted(want, key=str)
+
+
+def test_license_scan_of_very_many_detections(spark):
+    import time
+
+    df = spark.createDataFrame([(1, "gpl license " * 20_000), (2, "all rights reserved " * 30_000)], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in licenses.license_scan(df).collect()}
+    assert time.time() - began < 40
+    assert got[1].n_words == 40_000 and "gpl" in got[1].labels and got[1].n_kept >= 20_000
+    assert (got[2].n_base, got[2].first_word, got[2].last_word) == (30_000, 0, 89_997)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_queries_match_their_sql(spark, data, name):
+    import glob
+    import os
+
+    import duckdb
+
+    c = duckdb.connect()
+    for path in glob.glob(f"{data}/*.parquet"):
+        c.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
+    want = c.execute(ORACLES[name])
+    columns = [d[0] for d in want.description]
+    got = QUERIES[name](spark, data)
+    assert sorted(got.columns) == sorted(columns)
+    assert collections.Counter(tuple(r) for r in got.select(columns).collect()) == collections.Counter(want.fetchall())
