@@ -15,7 +15,7 @@ from fleetlens.llm.queries import byte_bpe
 #: Words of a passage that may stand once in the corpus.
 PASSAGE_WORDS = 50
 
-#: SQL can't express the classifier; tests hold the stages against brute force.
+#: SQL can't express the classifier; tests hold its sums, near copies and passages against brute force.
 ORACLE_SQL = None
 
 
