@@ -49,6 +49,11 @@ def _blanks(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value made once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def running(items: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
     """The outputs (of type kind) of step, which takes a state and an item and gives the next state and an output.
 
@@ -61,13 +66,16 @@ def running(items: Column, start: Column, step: Callable[[Column, Column], tuple
         state, out = step(acc["state"], item)
         return F.struct(state.alias("state"), F.concat(acc["out"], F.array(out)).alias("out"))
 
-    def block(acc: Column, i: Column) -> Column:
-        inner = F.aggregate(F.slice(items, i * BLOCK + 1, F.lit(BLOCK)), F.struct(acc["state"].alias("state"), none.alias("out")), one)
-        return F.struct(inner["state"].alias("state"), F.concat(acc["out"], F.array(inner["out"])).alias("out"))
+    def block(held: Column, acc: Column, i: Column) -> Column:
+        inner = F.aggregate(F.slice(held, i * BLOCK + 1, F.lit(BLOCK)), F.struct(acc["state"].alias("state"), none.alias("out")), one)
+        return bound(inner, lambda x: F.struct(x["state"].alias("state"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+    def whole(held: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(held) - 1) / BLOCK).cast("int"))
+        begin = F.struct(start.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        return F.when(F.size(held) > 0, F.aggregate(numbers, begin, lambda acc, i: block(held, acc, i), lambda acc: F.flatten(acc["out"]))).otherwise(none)
 
-    numbers = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int"))
-    whole = F.aggregate(numbers, F.struct(start.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out")), block, lambda acc: F.flatten(acc["out"]))
-    return F.when(F.size(items) > 0, whole).otherwise(none)
+    return bound(items, whole)
 
 
 def _places(text: Column, rule: Column) -> Column:
