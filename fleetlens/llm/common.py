@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Characters that end a word where words are runs of non-blank text.
 BLANKS = " \t\n\x0b\x0c\r"
+#: Rows that Arrow hands to a Python worker at once: the setting, Spark's default, the number for texts.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -19,10 +21,13 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Lets Python workers import this package wherever the driver was started."""
+    """Lets Python workers import this package wherever the driver was started, and deals texts to them in small batches."""
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = f"{root}:{env['PYTHONPATH']}" if env.get("PYTHONPATH") else root
+    # a batch of whole texts stands in the JVM and twice in a worker; a session that asks for another number keeps it
+    if spark.conf.get(BATCH_ROWS[0]) == BATCH_ROWS[1]:
+        spark.conf.set(BATCH_ROWS[0], BATCH_ROWS[2])
 
 
 def lower_ascii(text: Column) -> Column:

@@ -345,6 +345,11 @@ def _met(routed: DataFrame) -> DataFrame:
 
     def bucket(g: pd.DataFrame) -> pd.DataFrame:
         sig, hub = np.frombuffer(b"".join(g["sigs"]), "<u4"), np.frombuffer(b"".join(g["hubs"]), np.int64)
+        # most signatures stand once: only the others are worth copies
+        order = np.argsort(sig, kind="stable")
+        same = sig[order[1:]] == sig[order[:-1]]
+        order = order[np.append(same, False) | np.insert(same, 0, False)] if len(order) else order
+        sig, hub = sig[order], hub[order]
         order = np.lexsort((hub, sig))
         sig, hub = sig[order], hub[order]
         first, length = groups_of(sig)
