@@ -241,6 +241,18 @@ def words_of(text: Column, special: list[str]) -> Column:
     return F.when(some, mixed).otherwise(cut(text))
 
 
+def regrouped(batches: Iterator[pa.RecordBatch], rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """Batches joined to about so many rows: the more texts are encoded together, the more words they share."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(map(len, held)) >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def map_encoded(docs: DataFrame, path: str, schema: str, rows: Callable[[Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]], Iterator[pa.RecordBatch]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Runs rows over the encoded slices of each partition: (batch, first row, ids, bounds)."""
     ship_package(docs.sparkSession)
@@ -248,7 +260,7 @@ def map_encoded(docs: DataFrame, path: str, schema: str, rows: Callable[[Iterato
     cut = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col), special).alias("words"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return rows((b, *x) for b in batches for x in encoded_batches(path, b))
+        return rows((b, *x) for b in regrouped(batches) for x in encoded_batches(path, b))
 
     return cut.mapInArrow(task, schema)
 
