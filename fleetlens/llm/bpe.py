@@ -255,7 +255,7 @@ def regrouped(batches: Iterator[pa.RecordBatch], rows: int = 10_000) -> Iterator
 
 def map_encoded(docs: DataFrame, path: str, schema: str, rows: Callable[[Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]], Iterator[pa.RecordBatch]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Runs rows over the encoded slices of each partition: (batch, first row, ids, bounds)."""
-    ship_package(docs.sparkSession)
+    ship_package(docs.sparkSession, small=False)
     special = list(vocabulary(path).special)
     cut = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col), special).alias("words"))
 

@@ -20,13 +20,13 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Lets Python workers import this package wherever the driver was started, and deals texts to them in small batches."""
+def ship_package(spark: SparkSession, small: bool = True) -> None:
+    """Lets Python workers import this package wherever the driver was started; small: texts are dealt to them in small batches."""
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = f"{root}:{env['PYTHONPATH']}" if env.get("PYTHONPATH") else root
     # a batch of whole texts stands in the JVM and twice in a worker; a session that asks for another number keeps it
-    if spark.conf.get(BATCH_ROWS[0]) == BATCH_ROWS[1]:
+    if small and spark.conf.get(BATCH_ROWS[0]) == BATCH_ROWS[1]:
         spark.conf.set(BATCH_ROWS[0], BATCH_ROWS[2])
 
 
