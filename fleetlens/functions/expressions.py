@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,6 +49,26 @@ def destination(lat: Column, lon: Column, bearing: Column, meters: Column) -> tu
     return F.degrees(p2), F.degrees(l2)
 
 
+def folded(items: Column, start: Column, step: Callable[[Column, Column], Column], kind: str, block: int = 256) -> Column:
+    """The states (of type kind) after each item: step takes the state before it and the item.
+
+    States are gathered block by block, as an array is copied whenever one is appended; items is a column, since it is named more than once.
+    """
+    none = F.array().cast(f"array<{kind}>")
+    named = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def one(acc: Column, item: Column) -> Column:
+        return named(step(acc["state"], item), lambda new: F.struct(new.alias("state"), F.concat(acc["out"], F.array(new)).alias("out")))
+
+    def part(acc: Column, i: Column) -> Column:
+        inner = F.aggregate(F.slice(items, i * block + 1, F.lit(block)), F.struct(acc["state"].alias("state"), none.alias("out")), one)
+        return named(inner, lambda x: F.struct(x["state"].alias("state"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+    begin = F.struct(start.cast(kind).alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    parts = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / block).cast("int"))
+    return F.when(F.size(items) > 0, F.aggregate(parts, begin, part, lambda acc: F.flatten(acc["out"]))).otherwise(none)
+
+
 def hms(seconds: Column) -> Column:
     """hh:mm:ss; hours may pass 24. Null stays null."""
     s = F.floor(seconds).cast("long")

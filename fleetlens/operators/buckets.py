@@ -63,18 +63,28 @@ def extremes_side_by_side(df: DataFrame, sensor_max: str, sensor_min: str) -> Da
     return df.select(each.alias("x")).where("x.sensor IS NOT NULL").groupBy(F.col("x.sensor").alias("sensor")).agg(F.sum("x.hi").alias("max_n"), F.sum("x.lo").alias("min_n"))
 
 
-def mileage_energy(df: DataFrame, period_sec: int, least_km: float = 0.1, dt_cap: float = 300, regen: float = 0.8) -> DataFrame:
-    """Distance and energy of each vehicle and period; periods begin at multiples of period_sec."""
-    dt = F.coalesce(F.col(T) - F.lag(T).over(series()), F.lit(0))
-    df = df.withColumns({"__dt": F.when(dt <= dt_cap, dt).otherwise(0), "__km": F.greatest(F.col("odo") - F.lag("odo").over(series()), F.lit(0.0)), "__dv": F.col("speed") - F.lag("speed").over(series())})
-    kwh = F.col("volts") * F.col("amps") / 1000 * F.col("__dt") / 3600
+def mileage_steps(df: DataFrame) -> DataFrame:
+    """step_sec, step_km and step_speed: time, odometer and speed since the vehicle's sample before; no distance is negative."""
+    before = {c: F.lag(c).over(series()) for c in (T, "odo", "speed")}
+    return df.withColumns({"step_sec": F.coalesce(F.col(T) - before[T], F.lit(0)), "step_km": F.greatest(F.col("odo") - before["odo"], F.lit(0.0)), "step_speed": F.col("speed") - before["speed"]})
+
+
+def mileage_totals(steps: DataFrame, by: list[Column | str], period_sec: int, least_km: float = 0.1, dt_cap: float = 300, regen: float = 0.8) -> DataFrame:
+    """(by..., km, used_kwh, ...) of samples with their steps. by names the vehicle and the period; works on streams as well."""
+    seconds = F.when(F.col("step_sec") <= dt_cap, F.col("step_sec")).otherwise(0)
+    kwh = F.col("volts") * F.col("amps") / 1000 * seconds / 3600
     total = lambda cond, x: F.coalesce(F.sum(F.when(cond, x).cast("decimal(18,6)")).cast("double"), F.lit(0.0))
-    out = df.groupBy(ID, (F.floor(F.col(T) / period_sec) * period_sec).alias("period")).agg(
-        total(F.lit(True), F.col("__km")).alias("km"), total((kwh > 0) & (F.col("speed") > 0), kwh).alias("used"), (regen * total((kwh < 0) & (F.col("__dv") < 0), -kwh)).alias("regen"),
+    out = steps.groupBy(*by).agg(
+        total(F.lit(True), F.col("step_km")).alias("km"), total((kwh > 0) & (F.col("speed") > 0), kwh).alias("used"), (regen * total((kwh < 0) & (F.col("step_speed") < 0), -kwh)).alias("regen"),
         total((kwh > 0) & (F.col("speed") == 0), kwh).alias("idle"), F.count("*").alias("rows"), F.count_if(F.col("amps").isNotNull() & F.col("odo").isNotNull()).alias("usable"),
     )
     net = F.col("used") - F.col("regen")
     return out.select(
-        ID, "period", F.round("km", 3).alias("km"), F.round("used", 3).alias("used_kwh"), F.round("regen", 3).alias("regen_kwh"), F.round("idle", 3).alias("idle_kwh"), F.round(net, 3).alias("net_kwh"),
+        *out.columns[: len(by)], F.round("km", 3).alias("km"), F.round("used", 3).alias("used_kwh"), F.round("regen", 3).alias("regen_kwh"), F.round("idle", 3).alias("idle_kwh"), F.round(net, 3).alias("net_kwh"),
         F.round(F.when(F.col("km") >= least_km, net / F.col("km")), 3).alias("kwh_per_km"), F.round(100 * F.col("rows") / period_sec, 3).alias("rows_pct"), F.round(100 * F.col("usable") / period_sec, 3).alias("usable_pct"),
     )
+
+
+def mileage_energy(df: DataFrame, period_sec: int, least_km: float = 0.1, dt_cap: float = 300, regen: float = 0.8) -> DataFrame:
+    """Distance and energy of each vehicle and period; periods begin at multiples of period_sec."""
+    return mileage_totals(mileage_steps(df), [ID, (F.floor(F.col(T) / period_sec) * period_sec).alias("period")], period_sec, least_km, dt_cap, regen)

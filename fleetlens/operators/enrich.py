@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.functions.expressions import EARTH_M, flag
-from fleetlens.operators.timeseries import ID, SEQ, T, islands, series, step_seconds, up_to_here
+from fleetlens.functions.expressions import bearing_deg, destination, flag, folded
+from fleetlens.operators.timeseries import ID, SEQ, T, from_here, islands, series, step_seconds, up_to_here
 
 
 def enrich_sessions(df: DataFrame, session: str = "session", max_kmph: float = 120, tolerance: float = 1.3, net_over_km: float = 20) -> DataFrame:
@@ -52,39 +49,24 @@ def impute_odo_deadreckon(df: DataFrame, odo: str = "odo", dt_cap: float = 60) -
 def gps_deadreckon(df: DataFrame) -> DataFrame:
     """(id, sequence, lat, lon): between two fixes, points go on along the bearing from the first to the second, by speed and time.
 
-    A vehicle's sorted rows pass through one task, batch by batch; each brings the next fix with it.
+    The rows between two fixes are a group of their own; its steps are folded one after the other, as each begins where the
+    one before ended. Rows before the first fix and behind the last stay as they are.
     """
-    import numpy as np
-
-    from fleetlens.operators.sweeps import in_order
-
-    def go_on(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key: object = ...
-        for b in batches:
-            lat, lon = b["lat"].to_numpy(float).copy(), b["lon"].to_numpy(float).copy()
-            to_lat, to_lon = b["__lat"].to_numpy(float), b["__lon"].to_numpy(float)
-            times, v = b[T].to_numpy(float), b["speed"].fillna(0).to_numpy(float)
-            for i, vehicle in enumerate(b[ID]):
-                if vehicle != key:
-                    key, p, before = vehicle, None, None
-                if not np.isnan(lat[i]) and not np.isnan(lon[i]):
-                    p, q = np.radians(lat[i]), np.radians(lon[i])
-                    p2, d = np.radians(to_lat[i]), np.radians(to_lon[i] - lon[i])
-                    bearing = np.arctan2(np.sin(d) * np.cos(p2), np.cos(p) * np.sin(p2) - np.sin(p) * np.cos(p2) * np.cos(d))
-                elif p is not None and not np.isnan(to_lat[i]):
-                    r = v[i] / 3.6 * (times[i] - before) / EARTH_M
-                    new = np.arcsin(np.sin(p) * np.cos(r) + np.cos(p) * np.sin(r) * np.cos(bearing))
-                    q += np.arctan2(np.sin(bearing) * np.sin(r) * np.cos(p), np.cos(r) - np.sin(p) * np.sin(new))
-                    p = new
-                    lat[i], lon[i] = np.degrees(p), np.degrees(q)
-                before = times[i]
-            yield pd.DataFrame({ID: b[ID], SEQ: b[SEQ], "lat": lat, "lon": lon})
-
-    backward = Window.partitionBy(ID).orderBy(F.desc(T), F.desc(SEQ)).rowsBetween(Window.unboundedPreceding, -1)
     fix = F.coalesce(~F.isnan("lat") & ~F.isnan("lon"), F.lit(False)) & F.col("lat").isNotNull() & F.col("lon").isNotNull()
-    rows = df.select(ID, T, SEQ, "speed", "lat", "lon", F.last(F.when(fix, F.struct("lat", "lon")), True).over(backward).alias("__to"))
-    rows = rows.select(ID, T, SEQ, "speed", "lat", "lon", F.col("__to.lat").alias("__lat"), F.col("__to.lon").alias("__lon"))
-    return in_order(rows).mapInPandas(go_on, f"{ID} string, {SEQ} long, lat double, lon double")
+    at = F.when(fix, F.struct("lat", "lon"))
+    meters = F.coalesce(F.nanvl("speed", F.lit(0.0)), F.lit(0.0)) / 3.6 * step_seconds()
+    rows = df.select(ID, T, SEQ, "lat", "lon", fix.alias("fix"), meters.alias("m"), F.count(at).over(up_to_here()).alias("gap"), F.last(at, True).over(up_to_here()).alias("from"), F.last(at, True).over(from_here(1)).alias("to"))
+    lost = ~F.col("fix") & F.col("from").isNotNull() & F.col("to").isNotNull()
+    gaps = rows.where(lost).groupBy(ID, "gap").agg(F.first("from").alias("from"), F.first("to").alias("to"), F.sort_array(F.collect_list(F.struct(T, SEQ, "m"))).alias("steps"))
+    gaps = gaps.withColumn("bearing", bearing_deg(F.col("from.lat"), F.col("from.lon"), F.col("to.lat"), F.col("to.lon")))
+
+    def onward(place: Column, step: Column) -> Column:
+        lat, lon = destination(place["lat"], place["lon"], F.col("bearing"), step["m"])
+        return F.struct(lat.alias("lat"), lon.alias("lon"))
+
+    places = folded(F.col("steps"), F.struct(F.col("from.lat").alias("lat"), F.col("from.lon").alias("lon")), onward, "struct<lat:double,lon:double>")
+    found = gaps.select(ID, F.explode(F.arrays_zip("steps", places.alias("places"))).alias("x")).select(ID, f"x.steps.{SEQ}", "x.places.lat", "x.places.lon")
+    return rows.where(~lost).select(ID, SEQ, "lat", "lon").unionByName(found)
 
 
 def stop_to_stop_trips(df: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetlens.functions.student import t_column
 from fleetlens.operators.timeseries import ID, SEQ, T
 
 
@@ -106,22 +107,8 @@ def top_values(df: DataFrame, by: list[str], value: Column, k: int) -> DataFrame
     return counted.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def t_quantile(z: float, df: Column) -> Column:
-    """Student's t quantile for df degrees of freedom, from the normal one: the known expansion in powers of 1 / df, good from about 5 on."""
-    terms = [
-        (z**3 + z) / 4,
-        (5 * z**5 + 16 * z**3 + 3 * z) / 96,
-        (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
-        (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
-    ]
-    out = F.lit(z)
-    for i, g in enumerate(terms, 1):
-        out = out + F.lit(g) / F.pow(df, F.lit(i))
-    return out
-
-
-def mean_interval(df: DataFrame, keys: list[str], value: Column, z: float) -> DataFrame:
-    """(keys, n, mean, half): the mean of a value and half the width of its t interval; null for fewer than two values."""
+def mean_interval(df: DataFrame, keys: list[str], value: Column, level: float = 0.995) -> DataFrame:
+    """(keys, n, mean, half): the mean of a value and half the width of its t interval, for each group and (keys null) for all; half is null for fewer than two values."""
     n = F.count(value)
-    half = t_quantile(z, F.nullif(n - 1, F.lit(0))) * F.stddev_samp(value) / F.sqrt(n)
-    return df.groupBy(*keys).agg(n.alias("n"), F.round(F.avg(value.cast("decimal(18,6)")).cast("double"), 6).alias("mean"), F.round(half, 4).alias("half"))
+    half = t_column((1 + level) / 2, n - 1) * F.stddev_samp(value) / F.sqrt(n)
+    return df.rollup(*keys).agg(n.alias("n"), F.round(F.avg(value.cast("decimal(18,6)")).cast("double"), 6).alias("mean"), F.round(half, 3).alias("half"))

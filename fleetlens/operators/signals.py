@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.operators.timeseries import ID, SEQ, T
+from fleetlens.operators.covers import CHUNK_SEC, covers
+from fleetlens.operators.timeseries import ID, T
+from fleetlens.operators.trips import rows_in_intervals
 
 
 def _plain(name: Column) -> Column:
@@ -72,33 +71,19 @@ def signal_byte_search(frames: DataFrame, values: DataFrame, tolerance_ms: int =
     return found.select("id", "name", "f.can_id", "f.position", F.when(F.col("f.big") == 1, "BE").otherwise("LE").alias("endian"), "hits")
 
 
-def segment_sweeps(df: DataFrame, segments: int, group: int = 8, sensors: str = "sensors") -> DataFrame:
+def segment_sweeps(df: DataFrame, segments: int, group: int = 8, sensors: str = "sensors", chunk_sec: int = CHUNK_SEC) -> DataFrame:
     """(id, cycle, start, end, since, counts): from the first row with a sensor until each segment of `group` sensors has reported, then anew.
 
-    sensors: array of the sensor numbers (from 1) that a row holds. counts: rows in which each segment reported. A
-    vehicle's rows pass in order through one task, which holds a batch and the counts.
+    sensors: array of the sensor numbers (from 1) that a row holds. counts: rows in which each segment reported.
     """
     number = F.filter(F.col(sensors), lambda s: s.isNotNull() & (s > 0) & (s <= segments * group))
     seen = F.array_distinct(F.transform(number, lambda s: F.floor((s - 1) / group).cast("int")))
-
-    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key: object = ...
-        for b in batches:
-            out = []
-            for vehicle, t, found in zip(b[ID], b[T], b["seen"]):
-                if vehicle != key:
-                    key, cycle, start, before, counts = vehicle, 0, None, None, [0] * segments
-                start = t if start is None else start
-                for s in found:
-                    counts[s] += 1
-                if all(counts):
-                    cycle += 1
-                    out.append((vehicle, cycle, start, t, None if before is None else start - before, counts))
-                    start, before, counts = None, t, [0] * segments
-            yield pd.DataFrame(out, columns=["id", "cycle", "start", "end", "since", "counts"]).astype({"since": "Int64"})
-
-    rows = df.select(ID, T, SEQ, seen.alias("seen")).where(F.size("seen") > 0).repartition(ID).sortWithinPartitions(ID, T, SEQ)
-    return rows.mapInPandas(sweep, "id string, cycle long, start long, end long, since long, counts array<long>")
+    found, rows = covers(df.where(F.size(seen) > 0), seen, segments, chunk_sec=chunk_sec)
+    spans = found.select(ID, "cycle", "first", "last")
+    # a row meets its cover by rank, as it would an interval of time
+    within = rows_in_intervals(rows.select(ID, F.col("rank").alias(T), F.explode("items").alias("segment")), spans, "first", "last", 4096)
+    counts = within.groupBy(ID, "cycle", "segment").agg(F.count("*").alias("n")).groupBy(ID, "cycle").agg(F.transform(F.sort_array(F.collect_list(F.struct("segment", "n"))), lambda x: x["n"]).alias("counts"))
+    return found.join(counts, [ID, "cycle"]).select(ID, "cycle", "start", "end", "since", "counts")
 
 
 def fleet_filter_view(vehicles: DataFrame, device_map: DataFrame, devices: DataFrame, operator_map: DataFrame, organizations: DataFrame, route_map: DataFrame, routes: DataFrame, cities: DataFrame, now: Column) -> DataFrame:

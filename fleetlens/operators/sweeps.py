@@ -1,20 +1,13 @@
-"""Raw bus frames, sensor sweeps, and the steps that must look at a series one sample at a time.
-
-Cycles and stops pass a vehicle's sorted rows through one task, batch by batch, with the state carried over;
-micro_blip_smooth is a grouped map of one vehicle and day.
-"""
+"""Raw bus frames, sensor sweeps, and steps in which a sample depends on what became of those before."""
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetlens.operators.covers import CHUNK_SEC, covers
 from fleetlens.operators.signals import signal_of
-from fleetlens.operators.timeseries import ID, SEQ, T
+from fleetlens.operators.timeseries import ID, SEQ, T, from_here, series, up_to_here
 
 FRAME_LINE = r"^\s*([0-9]+\.[0-9]+)\s+\S+\s+([0-9A-Fa-f]+)x?\s+\S+\s+\S+\s+\S+((?:\s+[0-9A-Fa-f]{2}){8})"
 
@@ -54,71 +47,42 @@ def decode_frames(frames: DataFrame, signals: DataFrame) -> DataFrame:
     return frames.join(signals, "can_id").select(*[c for c in frames.columns if c != "bytes"], "kind", "sensor_no", value.alias("value"))
 
 
-def in_order(df: DataFrame) -> DataFrame:
-    """Each vehicle's rows in one task, sorted; the sort spills."""
-    return df.repartition(ID).sortWithinPartitions(ID, T, SEQ)
-
-
-def sweep_cycles(df: DataFrame, sensors: int, sensor: str = "sensor") -> DataFrame:
-    """(id, cycle, start, end, rows, since): rows until all sensors were seen, then anew. State is a set of sensors."""
-
-    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key: object = ...
-        for b in batches:
-            out = []
-            for vehicle, t, s in zip(b[ID], b[T], b[sensor]):
-                if vehicle != key:
-                    key, cycle, seen, start, rows, before = vehicle, 0, set(), None, 0, None
-                start = t if start is None else start
-                rows += 1
-                if s is not None and s == s:
-                    seen.add(int(s))
-                if len(seen) == sensors:
-                    cycle += 1
-                    out.append((vehicle, cycle, start, t, rows, None if before is None else start - before))
-                    seen, start, rows, before = set(), None, 0, t
-            yield pd.DataFrame(out, columns=["id", "cycle", "start", "end", "rows", "since"]).astype({"since": "Int64"})
-
-    return in_order(df.select(ID, T, SEQ, sensor)).mapInPandas(sweep, "id string, cycle long, start long, end long, rows long, since long")
-
+def sweep_cycles(df: DataFrame, sensors: int, sensor: str = "sensor", chunk_sec: int = CHUNK_SEC) -> DataFrame:
+    """(id, cycle, start, end, rows, since): rows until all sensors (0 to sensors - 1) were seen, then anew. Other numbers count as rows alone."""
+    found, _ = covers(df, F.array(F.col(sensor).cast("int")), sensors, chunk_sec=chunk_sec)
+    return found.drop("first", "last")
 
-def micro_blip_smooth(df: DataFrame, mode: str = "mode", blip_sec: float = 60) -> DataFrame:
-    """One sample of the other domain between two of one takes that domain's active mode; later samples see the change."""
 
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([T, SEQ])
-        modes, times = list(g[mode]), list(g[T])
-        domain = [m.split("_")[0] for m in modes]
-        for i in range(1, len(modes) - 1):
-            if domain[i - 1] == domain[i + 1] != domain[i] and times[i] - times[i - 1] <= blip_sec:
-                domain[i] = domain[i - 1]
-                modes[i] = f"{domain[i]}_ACTIVE"
-        return pd.DataFrame({ID: g[ID], SEQ: g[SEQ], "smoothed": modes})
+def micro_blip_smooth(df: DataFrame, mode: str = "mode", blip_sec: float = 60, domains: tuple[str, str] = ("CHARGING", "DISCHARGING")) -> DataFrame:
+    """One sample of the other domain between two of one takes that domain's active mode; later samples see the change.
 
-    day = F.floor(F.col(T) / 86_400).alias("day")
-    return df.select(ID, T, SEQ, mode, day).groupBy(ID, "day").applyInPandas(one, f"{ID} string, {SEQ} long, smoothed string")
+    With d the domain before a sample, as changed, such a sample keeps d, be it the sample's own or the next one's: it
+    passes on what it gets. Every other sample sets its own domain. So the changed domain is that of the last sample that
+    sets one: a running value instead of a walk. Modes outside both domains are left alone and stand between no blip.
+    """
+    domain = F.when(F.col("__d").isin(*domains), F.col("__d"))
+    df = df.select(ID, T, SEQ, F.col(mode).alias("__mode"), F.split(F.col(mode), "_")[0].alias("__d")).withColumn("__d", domain)
+    w = series()
+    nearby = F.col(T) - F.lag(T).over(w) <= blip_sec
+    passes = nearby & F.lag("__d").over(w).isNotNull() & (F.lead("__d").over(w) != F.col("__d"))
+    df = df.withColumn("__sets", ~F.coalesce(passes, F.lit(False)))
+    changed = F.last(F.when(F.col("__sets"), F.struct("__d")), True).over(up_to_here(w))["__d"]
+    df = df.withColumn("__changed", changed)
+    return df.select(ID, SEQ, F.when(~F.col("__sets") & (F.col("__changed") != F.col("__d")), F.concat("__changed", F.lit("_ACTIVE"))).otherwise(F.col("__mode")).alias("smoothed"))
 
 
 def brake_to_stop(df: DataFrame, within_sec: float = 60, moving: float = 1.0, still: float = 0.1) -> DataFrame:
-    """From a press while moving to the first standstill within the time; the next search begins behind it."""
-
-    def stops(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key: object = ...
-        for b in batches:
-            out = []
-            for vehicle, t, v, brake in zip(b[ID], b[T], b["speed"], b["brake"]):
-                if vehicle != key:
-                    key, presses = vehicle, deque()
-                while presses and t - presses[0][0] > within_sec:
-                    presses.popleft()
-                if presses and v <= still:
-                    out.append((vehicle, presses[0][0], t, presses[0][1]))
-                    presses.clear()
-                elif brake > 0 and v > moving:
-                    presses.append((t, v))
-            yield pd.DataFrame(out, columns=["id", "start", "stop", "start_speed"])
-
-    return in_order(df.select(ID, T, SEQ, "speed", "brake")).mapInPandas(stops, "id string, start long, stop long, start_speed double")
+    """From a press while moving to the first standstill within the time; the next search begins behind it.
+
+    Every press before a standstill leads to it or to none, so that the presses of one standstill are a group, whose
+    first one within the time begins the stop; stops then don't overlap.
+    """
+    speed = F.when(~F.isnan("speed"), F.col("speed"))
+    df = df.select(ID, T, SEQ, speed.alias("speed"), "brake")
+    stop = F.last(F.when(F.col("speed") <= still, F.struct(F.col(T).alias("t"), F.col(SEQ).alias("n"))), True).over(from_here(1))
+    presses = df.withColumn("__stop", stop).where((F.col("brake") > 0) & (F.col("speed") > moving) & (F.col("__stop.t") - F.col(T) <= within_sec))
+    first = F.min_by(F.struct(T, "speed"), F.struct(T, SEQ))
+    return presses.groupBy(ID, "__stop").agg(first.alias("f")).select(ID, F.col(f"f.{T}").alias("start"), F.col("__stop.t").alias("stop"), F.col("f.speed").alias("start_speed"))
 
 
 def sensor_health(long: DataFrame, low: float, high: float) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.operators import signals as G
 from fleetlens.plans.registry import query
-from fleetlens.plans.sequences import _frames
+from fleetlens.plans.sequences import CHUNK, _frames, cycles_sql
 from fleetlens.sources import tables as B
 from fleetlens.sources.telemetry import telemetry as tel
 
@@ -92,6 +92,8 @@ def signal_byte_search(spark, sf):
     return G.signal_byte_search(frames, a.union(b).toDF("id", "name", "ts_ms", "value"))
 
 
-@query("segment_sweeps")
+@query("segment_sweeps", cycles_sql("list_distinct([(tmax_no - 1) // 8, (tmin_no - 1) // 8])", 14) + """, ct AS (SELECT cy.id, cycle, g, count(*) AS k FROM cy JOIN (SELECT id, n, unnest(s) AS g FROM ra) u ON u.id = cy.id AND u.n BETWEEN f AND l GROUP BY ALL)
+SELECT cy.id, cy.cycle, start, "end", since, string_agg(k, ',' ORDER BY g) AS counts FROM cy JOIN ct ON ct.id = cy.id AND ct.cycle = cy.cycle GROUP BY ALL""")
 def segment_sweeps(spark, sf):
-    return G.segment_sweeps(tel(spark, sf).withColumn("sensors", F.array("tmax_no", "tmin_no")), segments=14)
+    found = G.segment_sweeps(tel(spark, sf).withColumn("sensors", F.array("tmax_no", "tmin_no")), segments=14, chunk_sec=CHUNK)
+    return found.withColumn("counts", F.array_join(F.transform("counts", lambda n: n.cast("string")), ","))

@@ -13,6 +13,7 @@ from fleetlens.operators import trips as R
 from fleetlens.operators.timeseries import series
 from fleetlens.plans import sessions
 from fleetlens.plans.registry import query
+from fleetlens.plans.sequences import CHUNK, SENSOR_CYCLES
 from fleetlens.plans.series import GUN
 from fleetlens.plans.sessions import _METRICS, _NEAR, _SESS, runs
 from fleetlens.sources.telemetry import telemetry as tel
@@ -35,9 +36,16 @@ def impute_odo_deadreckon(spark, sf):
     return N.impute_odo_deadreckon(tel(spark, sf)).select("id", "sequence", F.round(F.col("odo") + 0.000001, 2).alias("odo"))
 
 
-@query("gps_deadreckon")
+@query("gps_deadreckon", """WITH RECURSIVE a AS (SELECT id, sequence, lat, lon, row_number() OVER ({o}) AS n, coalesce(speed, 0) / 3.6 * greatest(coalesce(t_sec - lag(t_sec) OVER ({o}), 0), 0) / 6371000.0 AS s, CASE WHEN lat IS NOT NULL AND lon IS NOT NULL THEN {'lat': lat, 'lon': lon} END AS fix FROM tel),
+b AS (SELECT *, first_value(fix IGNORE NULLS) OVER (PARTITION BY id ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM a),
+c AS (SELECT *, CASE WHEN fix IS NOT NULL AND nxt IS NOT NULL THEN atan2(sin(radians(nxt.lon - lon)) * cos(radians(nxt.lat)), cos(radians(lat)) * sin(radians(nxt.lat)) - sin(radians(lat)) * cos(radians(nxt.lat)) * cos(radians(nxt.lon - lon))) END AS bearing FROM b),
+r AS (SELECT id, n, radians(fix.lat) AS p, radians(fix.lon) AS q, bearing FROM c WHERE n = 1
+      UNION ALL SELECT id, n, CASE WHEN fix IS NOT NULL THEN radians(fix.lat) ELSE p2 END, CASE WHEN fix IS NOT NULL THEN radians(fix.lon) ELSE q + atan2(sin(bearing) * sin(s) * cos(p), cos(s) - sin(p) * sin(p2)) END, CASE WHEN fix IS NOT NULL THEN own ELSE bearing END
+      FROM (SELECT c.id, c.n, c.fix, c.s, c.bearing AS own, r.p, r.q, r.bearing, asin(sin(p) * cos(s) + cos(p) * sin(s) * cos(r.bearing)) AS p2 FROM r JOIN c ON c.id = r.id AND c.n = r.n + 1))
+SELECT c.id, sequence, round(CASE WHEN fix IS NULL AND nxt IS NOT NULL AND p IS NOT NULL THEN degrees(p) ELSE lat END, 6) AS lat, round(CASE WHEN fix IS NULL AND nxt IS NOT NULL AND p IS NOT NULL THEN degrees(q) ELSE lon END, 6) AS lon FROM c JOIN r ON r.id = c.id AND r.n = c.n""")
 def gps_deadreckon(spark, sf):
-    return N.gps_deadreckon(tel(spark, sf))
+    """Gaps are folded by themselves; the SQL goes from sample to sample."""
+    return N.gps_deadreckon(tel(spark, sf)).select("id", "sequence", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
 @query("stop_to_stop_trips", _NEAR + ", q AS (" + runs("CASE WHEN speed = 0 AND site <> 'NONE' THEN site ELSE 'ON_ROAD' END", of="n") + """), r AS (SELECT id, g, min(k) AS place, min(t_sec) AS start, max(t_sec) AS "end", count(*) AS rows FROM q GROUP BY id, g),
@@ -62,10 +70,10 @@ def drive_charge_idle(spark, sf):
     return tel(spark, sf).groupBy("id", N.drive_charge_idle().alias("state")).agg(F.count("*").alias("n"))
 
 
-@query("sweep_values")
+@query("sweep_values", SENSOR_CYCLES + """ SELECT cy.id, cycle, ra.s[1] AS sensor, arg_max(ra.tmax, row(ra.t_sec, ra.sequence)) AS value FROM cy JOIN ra ON ra.id = cy.id AND ra.t_sec BETWEEN cy.start AND cy."end" WHERE ra.tmax IS NOT NULL GROUP BY ALL""")
 def sweep_values(spark, sf):
     df = tel(spark, sf).withColumn("sensor", F.col("tmax_no") % 8)
-    return N.sweep_values(df, W.sweep_cycles(df, 8), "sensor", "tmax")
+    return N.sweep_values(df, W.sweep_cycles(df, 8, chunk_sec=CHUNK), "sensor", "tmax")
 
 
 @query("comissing_pairs", "WITH f AS (SELECT CAST(lat IS NULL AS int) AS a, CAST(lon IS NULL AS int) AS b FROM tel) SELECT 'lat' AS a, 'lon' AS b, round(corr(f.a, f.b), 6) AS r FROM f")

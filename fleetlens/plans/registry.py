@@ -20,8 +20,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         QUERIES[name] = f
         if sql:
             body = sql.strip()
-            body = body.removeprefix("WITH ")
-            text = f"WITH tel AS ({VIEW}), {body}" if sql.strip().startswith("WITH ") else f"WITH tel AS ({VIEW}) {body}" if "tel" in sql else body
+            recursive = "RECURSIVE " if body.startswith("WITH RECURSIVE ") else ""
+            body = body.removeprefix("WITH ").removeprefix(recursive)
+            text = f"WITH {recursive}tel AS ({VIEW}), {body}" if sql.strip().startswith("WITH ") else f"WITH tel AS ({VIEW}) {body}" if "tel" in sql else body
             ORACLES[name] = text.replace("{o}", "PARTITION BY id ORDER BY t_sec, sequence").replace("{up}", "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW").replace("{down}", "ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING")
         return f
 

@@ -12,7 +12,9 @@ from fleetlens.operators import quality as Q
 from fleetlens.operators import sessions as E
 from fleetlens.operators import states as S
 from fleetlens.operators.timeseries import series, step_seconds
+from fleetlens.plans import sequences
 from fleetlens.plans.registry import query
+from fleetlens.plans.sequences import SENSOR_CYCLES
 from fleetlens.plans.series import GUN
 from fleetlens.plans.sessions import _SESS, _STOPS
 from fleetlens.sources.telemetry import telemetry as tel
@@ -201,16 +203,23 @@ def correlation_matrix(spark, sf):
     return Q.correlations(tel(spark, sf), COLS).withColumn("strong", F.coalesce((r > 0.5) & (r < 1), F.lit(False)))
 
 
-#: The normal quantile of a two-sided 99.5 % interval.
-Z995 = 2.807033768343804
-_T995 = f"({Z995} + {(Z995**3 + Z995) / 4} / v + {(5 * Z995**5 + 16 * Z995**3 + 3 * Z995) / 96} / v ** 2 + {(3 * Z995**7 + 19 * Z995**5 + 17 * Z995**3 - 15 * Z995) / 384} / v ** 3 + {(79 * Z995**9 + 776 * Z995**7 + 1482 * Z995**5 - 1920 * Z995**3 - 945 * Z995) / 92160} / v ** 4)"
+#: Student's t quantiles of a two-sided 99.5 % interval for 1 to 40 degrees of freedom: fixed values, for the SQL alone.
+T995 = """
+127.3213364689, 14.0890472756, 7.4533185052, 5.5975683671, 4.7733406049, 4.3168271036, 4.0293371776, 3.8325186853, 3.6896623923, 3.5814062021,
+3.4966141733, 3.4284442423, 3.3724679410, 3.3256958178, 3.2860385709, 3.2519928744, 3.2224499114, 3.1965742223, 3.1737245308, 3.1534005329,
+3.1352062454, 3.1188242069, 3.1039969631, 3.0905135487, 3.0781994605, 3.0669091164, 3.0565201089, 3.0469287751, 3.0380467448, 3.0297982236,
+3.0221178343, 3.0149488884, 3.0082419901, 3.0019539015, 2.9960466119, 2.9904865724, 2.9852440597, 2.9802926467, 2.9756087578, 2.9711712949"""
+#: Beyond 40 degrees: the normal quantile and what the first powers of 1 / df add to it.
+_BEYOND = "2.807033768343804 + 6.23122098212844 / v + 12.850915758205604 / v ** 2 + 20.220685853121086 / v ** 3 + 23.150431330724107 / v ** 4"
 
 
-@query("mean_ci", f"WITH g AS (SELECT id, t_sec - lag(t_sec) OVER (PARTITION BY id ORDER BY t_sec) AS cycle FROM tel WHERE tmax_no = 1), a AS (SELECT id, count(cycle) AS n, nullif(count(cycle) - 1, 0) AS v, avg(CAST(cycle AS DECIMAL(18,6))) AS m, stddev_samp(cycle) AS s FROM g GROUP BY id) SELECT id, n, round(m, 6) AS mean, round({_T995} * s / sqrt(n), 4) AS half FROM a")
+@query("mean_ci", SENSOR_CYCLES + f""", q AS (SELECT unnest(range(1, 41)) AS v, unnest([{T995.strip()}]) AS t), g AS (SELECT id, count(*) AS n, avg(CAST("end" - start AS DECIMAL(18,6))) AS m, stddev_samp("end" - start) AS s FROM cy GROUP BY ROLLUP (id)),
+h AS (SELECT *, CAST(n - 1 AS double) AS v FROM g)
+SELECT coalesce(id, 'ALL') AS id, n, round(m, 6) AS mean, round(CASE WHEN h.v >= 1 THEN coalesce(q.t, __BEYOND__) END * s / sqrt(n), 3) AS half FROM h LEFT JOIN q ON q.v = h.v""".replace("__BEYOND__", _BEYOND.replace("/ v", "/ h.v")))
 def mean_ci(spark, sf):
-    """Cycle lengths: seconds from one sample of the first sensor to the next."""
-    df = tel(spark, sf).where("tmax_no = 1")
-    return Q.mean_interval(df.withColumn("cycle", F.col("t_sec") - F.lag("t_sec").over(Window.partitionBy("id").orderBy("t_sec"))), ["id"], F.col("cycle"), Z995)
+    """Lengths of sweep cycles: an interval for each vehicle and one over all."""
+    cycles = sequences.sweep_cycles(spark, sf)
+    return Q.mean_interval(cycles, ["id"], F.col("end") - F.col("start")).na.fill("ALL", ["id"])
 
 
 @query("threshold_compliance", f"SELECT {CM} AS mode, round(100.0 * avg(CASE WHEN tmax > CASE WHEN {GUN} THEN 30 ELSE 35 END THEN 1 ELSE 0 END), 4) AS over_pct, median(tmax) AS median_t FROM tel WHERE tms_mode <> 'Off' GROUP BY 1")

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+
+from fleetlens.operators.buckets import mileage_totals
 
 
 def stream_alert_periods(df: DataFrame, alert: Column, apart: str = "2 minutes", late: str = "10 minutes", min_sec: int = 300) -> DataFrame:
@@ -48,9 +53,79 @@ def stream_mode_sessions(df: DataFrame, max_gap_sec: int = 300, late: str = "10
     )
 
 
-def stream_counts_15min(df: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Rows and mean speed of each vehicle and quarter of an hour."""
-    return df.withWatermark("ts", late).groupBy("id", F.window("ts", "15 minutes").alias("w")).agg(F.count("*").alias("rows"), F.avg("speed").alias("speed")).select("id", F.col("w.start").alias("start"), "rows", "speed")
+class StepProcessor(StatefulProcessor):
+    """The steps of each sample, as the vehicle's sample before it gives them, whatever order samples arrive in.
+
+    State of a vehicle: its last sample that was given out, and the samples that the watermark hasn't reached. A timer
+    stands at the earliest of these; when the watermark reaches it, samples up to the watermark leave in their order.
+    """
+
+    HELD = "ts timestamp, t_sec long, sequence long, odo double, speed double, volts double, amps double"
+    OUT = f"id string, {HELD}, step_sec long, step_km double, step_speed double"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "t_sec long, odo double, speed double")
+        self.held = handle.getListState("held", self.HELD)
+
+    def wait_for(self, earliest: int | None) -> None:
+        """One timer at a time, in milliseconds."""
+        timers = list(self.handle.listTimers())
+        for t in timers:
+            if t != earliest:
+                self.handle.deleteTimer(t)
+        if earliest is not None and earliest not in timers:
+            self.handle.registerTimer(earliest)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        new = [r for b in rows for r in b[["ts", "t_sec", "sequence", "odo", "speed", "volts", "amps"]].itertuples(index=False, name=None)]
+        self.held.appendList([tuple(None if x is None or x != x else x for x in r) for r in new])
+        earliest = min(_millis(r[0]) for r in new)
+        self.wait_for(min([earliest, *self.handle.listTimers()]))
+        return iter([])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        rows = sorted((tuple(r) for r in self.held.get()), key=lambda r: (r[1], r[2]))
+        ready, rest = [r for r in rows if _millis(r[0]) <= now], [r for r in rows if _millis(r[0]) > now]
+        last = self.last.get() if self.last.exists() else None
+        out = []
+        for r in ready:
+            _, t, _, odo, speed, *_ = r
+            before_t, before_odo, before_speed = last or (t, None, None)
+            km = max(odo - before_odo, 0.0) if odo is not None and before_odo is not None else 0.0
+            out.append((key[0], *r, t - before_t, km, speed - before_speed if speed is not None and before_speed is not None else None))
+            last = t, odo, speed
+        if ready:
+            self.last.update(last)
+            self.held.clear()
+            if rest:
+                self.held.put(rest)
+        self.wait_for(min((_millis(r[0]) for r in rest), default=None))
+        if out:
+            yield pd.DataFrame(out, columns=["id", "ts", "t_sec", "sequence", "odo", "speed", "volts", "amps", "step_sec", "step_km", "step_speed"])
+
+    def close(self) -> None:
+        pass
+
+
+def _millis(ts: datetime | pd.Timestamp) -> int:
+    ts = pd.Timestamp(ts)
+    return (ts.tz_localize("UTC") if ts.tzinfo is None else ts).value // 1_000_000
+
+
+def stream_mileage_15min(df: DataFrame, late: str = "10 minutes", period_sec: int = 900, least_km: float = 0.01, dt_cap: float = 300, regen: float = 0.8) -> DataFrame:
+    """(id, period, km, used_kwh, regen_kwh, idle_kwh, ...) of each vehicle and quarter of an hour, as mileage_energy gives it for the whole table.
+
+    df: id, ts, t_sec, sequence, odo, speed, volts, amps; rows come in any order within the lateness. Two stateful operators in a
+    chain: steps between a vehicle's samples, then tumbling windows over them, which close in the batch whose watermark
+    passes their end. The session must keep state in RocksDB (spark.sql.streaming.stateStore.providerClass) and its time
+    zone at UTC.
+    """
+    rows = df.select("id", "ts", "t_sec", "sequence", "odo", "speed", "volts", "amps").withWatermark("ts", late)
+    steps = rows.groupBy("id").transformWithStateInPandas(StepProcessor(), StepProcessor.OUT, "Append", "EventTime", eventTimeColumnName="ts")
+    out = mileage_totals(steps, ["id", F.window("ts", f"{period_sec} seconds").alias("w")], period_sec, least_km, dt_cap, regen)
+    return out.withColumn("period", F.unix_seconds("w.start")).drop("w")
 
 
 def stream_sweep_cycles(df: DataFrame, sensors: int, sensor: str = "sensor") -> DataFrame:
