@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,22 +14,40 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Characters that end a word where words are runs of non-blank text.
 BLANKS = " \t\n\x0b\x0c\r"
-#: Rows that Arrow hands to a Python worker at once: the setting, Spark's default, the number for texts.
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"
+#: Rows that Arrow hands to a Python worker at once.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship_package(spark: SparkSession, small: bool = True) -> None:
-    """Lets Python workers import this package wherever the driver was started; small: texts are dealt to them in small batches."""
+def ship_package(spark: SparkSession) -> None:
+    """Lets Python workers import this package wherever the driver was started; on a cluster it lies at the driver's path on every executor."""
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = f"{root}:{env['PYTHONPATH']}" if env.get("PYTHONPATH") else root
-    # a batch of whole texts stands in the JVM and twice in a worker; a session that asks for another number keeps it
-    if small and spark.conf.get(BATCH_ROWS[0]) == BATCH_ROWS[1]:
-        spark.conf.set(BATCH_ROWS[0], BATCH_ROWS[2])
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that run inside hand their rows to Python in batches of at most so many; the session's own setting comes back."""
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+
+
+def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[DataFrame], DataFrame]]:
+    """(docs with columns c0, c1, ..., the new name of each column, what gives the columns their names back).
+
+    Operators that keep a table's columns work on these names, which none of their own clashes with.
+    """
+    names = docs.columns
+    plain = {c: f"c{i}" for i, c in enumerate(names)}
+    return docs.toDF(*plain.values()), plain, lambda df: df.select(*(F.col(plain[c]).alias(c) for c in names))
 
 
 def lower_ascii(text: Column) -> Column:

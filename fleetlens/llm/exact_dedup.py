@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import written
+from fleetlens.llm.common import renamed, written
 
 #: Bits that mark hashes of several rows, 8 MB of them.
 MARKS = 1 << 26
@@ -76,14 +76,14 @@ def keep_one(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", te
 
     Rows whose hash no other row has stay where they are.
     """
+    docs, name, back = renamed(docs)
+    id_col, text_col = name[id_col], name[text_col]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    # names that the table doesn't have
-    hash_, sha, mine, kept = (next(n for i in range(len(docs.columns) + 1) if (n := f"__{k}_{i}") not in docs.columns) for k in ("hash", "sha", "id", "keep"))
+    hash_, sha, mine, kept = "__hash", "__sha", "__id", "__keep"
     bitmaps = _bitmaps(_digests(docs, id_col, text_col))
     rows = _marked(docs.withColumn(hash_, F.md5(text)), bitmaps, hash_)
     g = groups(docs, keep, id_col, text_col, bitmaps).select(F.col("hash128").alias("g_hash"), F.col("text_sha256").alias("g_sha"), F.col("keep_id").alias(kept))
     again = rows.where("__shared").withColumns({sha: F.sha2(text, 256), mine: F.col(id_col)})
     # the id is part of the key: it spreads the rows of one text
     again = again.join(g, (F.col(hash_) == F.col("g_hash")) & (F.col(sha) == F.col("g_sha")) & F.col(mine).eqNullSafe(F.col(kept)), "left_semi").dropDuplicates([hash_, sha, mine])
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return rows.where("NOT __shared").select(*columns).unionByName(again.select(*columns))
+    return back(rows.where("NOT __shared")).unionByName(back(again))

@@ -168,7 +168,7 @@ def _index_task(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator
 
 def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int | None = None) -> None:
     """Writes the index of all documents as a Parquet table."""
-    ship_package(docs.sparkSession, small=False)
+    ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col))
     rows.mapInArrow(partial(_index_task, shard_bytes=shard_bytes or SHARD_BYTES), INDEX).write.parquet(path)
 
@@ -282,7 +282,7 @@ def _search_shard(table: pa.Table, scale: Scale, k: int) -> pa.Table:
 
 def search(queries: DataFrame, spark: SparkSession, path: str, k: int = 50, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(item_id, rank, doc_id, score): the k best documents of each query in the index at path."""
-    ship_package(spark, small=False)
+    ship_package(spark)
     index = spark.read.parquet(path)
     totals = index.where(F.col("term") == DOCUMENTS).agg(F.sum("df"), F.sum("total")).first()
     scale = Scale(int(totals[0] or 0), int(totals[1] or 0))

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import buckets_for, connected_components, ship_package, written
+from fleetlens.llm.common import batches_of, buckets_for, connected_components, renamed, ship_package, written
 from fleetlens.llm.words import byte_table, split, translated
 from fleetlens.llm.wordcodes import BASE, chunks, groups_of, mix, pack, run_codes, word_codes
 
@@ -57,6 +57,8 @@ CHUNK_BYTES, PART_GRAMS = 6_000_000, 600_000
 CROWD = 64
 #: Text whose signatures fall into one bucket, on average.
 BUCKET_BYTES = 48_000_000
+#: Rows of texts that a worker gets at once.
+TEXT_ROWS = 2000
 #: DivideSkip's weight of a merged posting against a probe.
 MU = 0.0085
 
@@ -193,19 +195,21 @@ def may_link(bits: list[bytes], n: np.ndarray, percent: int, group: Group) -> np
     return back
 
 
-def blockwise(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
-    """(block, i, j) and its rows (the other columns), for batches sorted by those."""
-    held: list[tuple] = []
-    key = None
+def blockwise(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], pa.Table]]:
+    """(block, i, j) and its rows, for batches sorted by those; blocks of one row are left out. Rows stay in Arrow."""
+    held: list[pa.RecordBatch] = []
+    key: tuple[int, int, int] | None = None
     for b in batches:
-        for r in zip(*(b.column(c).to_pylist() for c in ("block", "i", "j", *columns))):
-            if r[:3] != key:
-                if len(held) > 1:
-                    yield key, held
-                key, held = r[:3], []
-            held.append(r[3:])
-    if len(held) > 1:
-        yield key, held
+        places = np.stack([b.column(c).to_numpy() for c in ("block", "i", "j")], 1)
+        first = np.flatnonzero(np.append(True, (places[1:] != places[:-1]).any(1))) if len(places) else []
+        for begin, end in zip(first, [*first[1:], len(places)]):
+            if (mine := tuple(places[begin].tolist())) != key:
+                if sum(map(len, held)) > 1:
+                    yield key, pa.Table.from_batches(held)
+                key, held = mine, []
+            held.append(b.slice(begin, end - begin))
+    if sum(map(len, held)) > 1:
+        yield key, pa.Table.from_batches(held)
 
 
 class Forest:
@@ -394,21 +398,21 @@ def compared(docs: DataFrame, routed: DataFrame, members: DataFrame, k: int, per
     tasks = placed.select("doc_id", "block", "label", "home", "part", other).select("doc_id", "block", "label", "home", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part")
     bits = routed.where("kind = 'size'").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), "bits")
 
-    def group(key: tuple, held: list[tuple]) -> Group:
-        """held: part, label, home, ..."""
-        return Group(np.array([r[0] for r in held]) if key[1] != key[2] else None, np.array([r[1] for r in held]), np.array([r[2] for r in held], bool))
+    def group(key: tuple, held: pa.Table) -> Group:
+        return Group(held["part"].to_numpy() if key[1] != key[2] else None, held["label"].to_numpy(), held["home"].to_numpy())
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, held in blockwise(batches, ("part", "label", "home", "doc_id", "n", "bits")):
-            stay = [held[i] for i in np.flatnonzero(may_link([r[5] for r in held], np.array([r[4] for r in held]), percent, group(key, held)))]
-            if stay:
-                columns = [*([k] * len(stay) for k in key), *zip(*(r[:4] for r in stay))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["block", "i", "j", "part", "label", "home", "doc_id"])
+        for key, held in blockwise(batches):
+            stay = may_link(held["bits"].to_pylist(), held["n"].to_numpy(), percent, group(key, held))
+            if stay.any():
+                names = ["block", "i", "j", "part", "label", "home", "doc_id"]
+                long = pa.schema([(c, pa.bool_() if c == "home" else pa.int64()) for c in names])
+                yield from held.select(names).filter(pa.array(stay)).cast(long).to_batches()
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = byte_table()
-        for key, held in blockwise(batches, ("part", "label", "home", "text")):
-            codes, n = gram_sets(*split(translated(pa.array([r[3] for r in held], pa.binary()), table)), k)
+        for key, held in blockwise(batches):
+            codes, n = gram_sets(*split(translated(pa.concat_arrays(held["text"].chunks), table)), k)
             ends = np.cumsum(n)
             known = group(key, held)
             component = search([codes[a:b] for a, b in zip((ends - n).tolist(), ends.tolist())], percent, known)
@@ -433,9 +437,11 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     # a pair that shares many signatures is found once a bucket, so there are no more of them than bytes ask for
     buckets = buckets_for(texts, BUCKET_BYTES, least=8)
-    routed = written(_routed(texts, k, percent, buckets), "ngrams")
-    edges = links(texts, routed, k, percent).unionByName(routed.where("kind = 'same'").select("a", "b"))
-    component = connected_components(edges)
+    # a batch of whole texts stands in the JVM and in a worker; all jobs with Python in them end in here
+    with batches_of(spark, TEXT_ROWS):
+        routed = written(_routed(texts, k, percent, buckets), "ngrams")
+        edges = links(texts, routed, k, percent).unionByName(routed.where("kind = 'same'").select("a", "b"))
+        component = connected_components(edges)
     return (
         routed.where("kind = 'size'")
         .select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
@@ -446,9 +452,11 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, that are first in their component: by id, null ids last, then by the row's code."""
+    docs, name, back = renamed(docs)
+    id_col, text_col = name[id_col], name[text_col]
     row = F.xxhash64(F.col(id_col), F.col(text_col))
     named = docs.select(row.alias("__row"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     nodes = ngram_join(named, k, percent, "__row", "__text").select(F.col("doc_id").alias("__row"), "component_id")
     order = F.struct(F.col("__id").isNull().alias("none"), "__id", "__row")
     stay = nodes.join(named.select("__row", "__id").distinct(), "__row").groupBy("component_id").agg(F.min(order)["__row"].alias("__stays")).select("__stays")
-    return docs.join(stay, row == F.col("__stays"), "left_semi")
+    return back(docs.join(stay, row == F.col("__stays"), "left_semi"))

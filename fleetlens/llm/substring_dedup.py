@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import buckets_for, ship_package, written
+from fleetlens.llm.common import buckets_for, renamed, ship_package, written
 from fleetlens.llm.wordcodes import chunks, groups_of, mix, pack, run_codes, sliding_min, word_codes
 from fleetlens.llm.words import byte_table, joined, split, translated
 
@@ -290,13 +290,14 @@ def without_repeats(docs: DataFrame, k: int = 50, id_col: str = "doc_id", text_c
     def cut(texts: pa.Array, runs: pa.Array) -> pa.Array:
         return kept(texts, runs, k)[2]
 
+    docs, name, back = renamed(docs)
+    id_col, text_col, length_col = name[id_col], name[text_col], name.get(length_col)
     some = F.col("__runs").isNotNull()
     # texts without repeats don't travel to Python
     out = _with_runs(docs, k, id_col, text_col).withColumn("__cut", F.when(some, cut(F.when(some, F.col(text_col)), "__runs")).otherwise(F.col(text_col)))
-    new = {text_col: F.col("__cut")}
-    if length_col in docs.columns:
-        new[length_col] = F.when(some, F.length("__cut").cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col))
-    return out.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
+    if length_col:
+        out = out.withColumn(length_col, F.when(some, F.length("__cut").cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
+    return back(out.withColumn(text_col, F.col("__cut")))
 
 
 def substring_dedup(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from fleetlens.llm.common import ship_package, written
+from fleetlens.llm.common import renamed, ship_package, written
 from fleetlens.llm.words import byte_table, split, translated
 
 #: Name of each category, in chain order, and its condition on the labels. The last one decides.
@@ -189,7 +189,7 @@ def weight_sums(texts: pa.Array, index: dict[str, int], table: np.ndarray) -> np
 
 
 def scored(df: DataFrame, chain: Chain, text: Column, prefix: str = "p_") -> DataFrame:
-    """df with a probability for each category."""
+    """df with a probability for each category; columns of these names give way to them. text reads df."""
     every = sorted({f for link in chain for f in link[3]})
     n = len(chain)
     weight = {f: [0.0] * n for f in every}
@@ -197,6 +197,9 @@ def scored(df: DataFrame, chain: Chain, text: Column, prefix: str = "p_") -> Dat
         for f, w in zip(names, weights):
             weight[f][i] = w
     columns = df.columns
+    # the text goes along as a last column, and all of them under names that clash with none of these
+    docs = df.select(*(F.col(f"`{c}`") for c in columns), text).toDF(*(f"c{i}" for i in range(len(columns) + 1)))
+    df, text = docs, F.col(docs.columns[-1])
     if every:
         table, index = np.array([weight[f] for f in every]), {f: i for i, f in enumerate(every)}
 
@@ -213,9 +216,10 @@ def scored(df: DataFrame, chain: Chain, text: Column, prefix: str = "p_") -> Dat
         logit = F.get("__sums", F.lit(i)) + F.lit(constant)
         for p, w in zip(done, earlier):
             logit = logit + F.col(p) * F.lit(w)
-        df = df.withColumn(f"{prefix}{name}", 1 / (1 + F.exp(-logit)))
-        done.append(f"{prefix}{name}")
-    return df.select(*(F.col(f"`{c}`") for c in columns), *done)
+        df = df.withColumn(f"__p_{name}", 1 / (1 + F.exp(-logit)))
+        done.append(f"__p_{name}")
+    new = [f"{prefix}{name}" for name, *_ in chain]
+    return df.select(*(F.col(plain).alias(c) for plain, c in zip(docs.columns[:-1], columns) if c not in new), *(F.col(p).alias(n) for p, n in zip(done, new)))
 
 
 def score(docs: DataFrame, chain: Chain, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,5 +230,6 @@ def score(docs: DataFrame, chain: Chain, threshold: float = 0.5, id_col: str = "
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **settings) -> DataFrame:
     """The rows of docs, all columns, that aren't toxic."""
-    rows = scored(docs, train(docs, labels, **settings), F.col("text"), "__p_")
-    return rows.where(F.col(f"__p_{CATEGORIES[-1][0]}") <= threshold).select(*(F.col(f"`{c}`") for c in docs.columns))
+    chain = train(docs, labels, **settings)
+    docs, name, back = renamed(docs)
+    return back(scored(docs, chain, F.col(name["text"])).where(F.col(f"p_{CATEGORIES[-1][0]}") <= threshold))
