@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.student import t_column
 from fleetlens.operators.timeseries import ID, SEQ, T
+from fleetlens.operators.trips import rows_in_intervals
 
 
 def long_form(df: DataFrame, columns: list[str], keep: list[str] = (), kind: str = "double") -> DataFrame:
@@ -55,6 +56,23 @@ def missing_rates(df: DataFrame, columns: list[str]) -> DataFrame:
     return long_form(one, columns).select("column", F.round(100 * F.col("value"), 4).alias("null_pct"))
 
 
+def described(df: DataFrame, by: list[str], value: Column, name: str) -> DataFrame:
+    """(by..., <name>_n, _mean, _std, _min, _25, _50, _75, _max) of a value."""
+    q = F.percentile(value, [0.25, 0.5, 0.75])
+    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.round(F.avg(value.cast("decimal(18,6)")).cast("double"), 4).alias("mean"), F.round(F.stddev_samp(value), 4).alias("std"), F.min(value).alias("min"), q.alias("q"), F.max(value).alias("max"))
+    return out.select(*by, *(F.col(c).alias(f"{name}_{c}") for c in ("n", "mean", "std", "min")), *(F.round(F.get("q", F.lit(i)), 4).alias(f"{name}_{p}") for i, p in enumerate((25, 50, 75))), F.col("max").alias(f"{name}_max"))
+
+
+def gap_diagnosis(df: DataFrame, gaps: DataFrame, nulls: list[str], ids: str, flags: list[str]) -> DataFrame:
+    """(id, gap, rows, null_pct, mean_ids, <flag>_mode...): what the rows inside each gap (id, gap, start, end) look like.
+
+    null_pct is over all columns in nulls; the mode of a flag is its commonest value, the smallest of equally common ones.
+    """
+    rows = rows_in_intervals(df, gaps.select(ID, "gap", "start", "end"))
+    missing = sum((F.col(c).isNull().cast("int") for c in nulls[1:]), F.col(nulls[0]).isNull().cast("int"))
+    return rows.groupBy(ID, "gap").agg(F.count("*").alias("rows"), F.round(100 * F.avg(missing / len(nulls)), 2).alias("null_pct"), F.round(F.avg(F.col(ids).cast("decimal(18,6)")).cast("double"), 4).alias("mean_ids"), *(F.mode(c, True).alias(f"{c}_mode") for c in flags))
+
+
 def schema_summary(df: DataFrame) -> DataFrame:
     kinds = dict(df.dtypes)
     one = df.agg(*(F.count(c).alias(c) for c in df.columns))

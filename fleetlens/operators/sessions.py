@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.expressions import flag
-from fleetlens.operators.timeseries import ID, SEQ, T, from_here, islands, series, step_seconds, up_to_here
+from fleetlens.operators.timeseries import ID, SEQ, T, fill_forward_back, from_here, islands, series, step_seconds, up_to_here
+from fleetlens.operators.trips import rows_in_intervals
 
 
 def gap_seconds() -> Column:
@@ -105,6 +106,40 @@ def charging_sessions(df: DataFrame, on: Column, merge_min: float = 5, merge_soc
     return out.withColumn("soc_kwh", F.round(F.abs(F.col("soc_end") - F.col("soc_start")) / 100 * capacity_kwh, 3))
 
 
+def charging_by_contactor(df: DataFrame, contactor: str, full: float = 100, capacity_kwh: float = 423) -> DataFrame:
+    """(id, session, start, end, soc_start, soc_end, seconds, full_sec, kwh, soc_kwh, apart_pct) of sessions that a charging contactor drives.
+
+    Rows with the current's sentinel go, zero charge and voltage are filled, a missing current counts 0, rows without the contactor
+    don't count. seconds, kwh and full_sec (time until the charge is full, for sessions that end so) are those of
+    the plugged rows; apart_pct compares both energies to their mean. Sessions that end with the charge they began with are left out.
+    """
+    df = df.where(~F.abs(F.col("amps")).eqNullSafe(F.lit(3200.0)))
+    df = fill_forward_back(df.withColumns({c: F.nullif(F.col(c), F.lit(0.0)) for c in ("soc", "volts")}), ["soc", "volts"])
+    df = df.withColumn("amps", F.coalesce("amps", F.lit(0.0))).na.drop(subset=["soc", "volts", contactor])
+    found = charging_sessions(df, F.col(contactor) == 1, capacity_kwh=capacity_kwh).select(ID, "session", "start", "end", "soc_start", "soc_end", "soc_kwh").where("soc_start <> soc_end")
+    plugged = rows_in_intervals(df.where(flag("gun")), found.select(ID, "session", "start", "end"))
+    w = Window.partitionBy(ID, "session").orderBy(T, SEQ)
+    power = F.col("volts") * F.abs("amps") / 1000
+    plugged = plugged.withColumn("__kwh", (power + F.lag(power).over(w)) / 2 * (F.col(T) - F.lag(T).over(w)) / 3600)
+    sums = plugged.groupBy(ID, "session").agg((F.max(T) - F.min(T)).alias("seconds"), (F.min(F.when(F.col("soc") >= full, F.col(T))) - F.min(T)).alias("full_sec"), F.sum(F.col("__kwh").cast("decimal(18,6)")).cast("double").alias("kwh"))
+    out = found.join(sums, [ID, "session"], "left").withColumn("kwh", F.coalesce("kwh", F.lit(0.0)))
+    # the charge may fall while plugged: the change counts with its sign
+    soc_kwh = (F.col("soc_end") - F.col("soc_start")) * capacity_kwh / 100
+    both = F.col("kwh") + soc_kwh
+    return out.select(
+        ID, "session", "start", "end", "soc_start", "soc_end", F.coalesce("seconds", F.lit(0)).cast("long").alias("seconds"), F.when(F.col("soc_end") >= full, F.col("full_sec")).alias("full_sec"),
+        F.round("kwh", 3).alias("kwh"), F.round(soc_kwh, 3).alias("soc_kwh"), F.round(F.when(both != 0, 100 * F.abs(F.col("kwh") - soc_kwh) / (both / 2)).otherwise(0.0), 2).alias("apart_pct"),
+    )
+
+
+def mode_sessions_report(df: DataFrame, mode: Column, buckets: dict[str, tuple[Column, list[str]]]) -> DataFrame:
+    """(id, session, mode, start, end, minutes, <name>_<i>...) of each run of a mode; <name>_<i> is the share of the rows with a bucket that the i-th label of it holds, in per cent."""
+    df = islands(df.withColumn("mode", mode), F.col("mode"), "session")
+    df = df.withColumns({f"__{name}": bucket for name, (bucket, _) in buckets.items()})
+    shares = [F.round(100 * F.count_if(F.col(f"__{name}") == label) / F.nullif(F.count(f"__{name}"), F.lit(0)), 2).alias(f"{name}_{i}") for name, (_, labels) in buckets.items() for i, label in enumerate(labels)]
+    return df.groupBy(ID, "session").agg(F.min("mode").alias("mode"), F.min(T).alias("start"), F.max(T).alias("end"), F.round((F.max(T) - F.min(T)) / 60, 2).alias("minutes"), *shares)
+
+
 def soc_accuracy_sessions(df: DataFrame, mode: Column, capacity_kwh: float = 423, max_gap_sec: float = 300, active: float = 10, dt_cap: float = 60) -> DataFrame:
     """Energy by state of charge against measured energy, for each session with two rows and an active one."""
     df = mode_gap_sessions(df.withColumn("mode", mode), F.col("mode"), max_gap_sec)

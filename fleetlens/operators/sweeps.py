@@ -85,6 +85,19 @@ def brake_to_stop(df: DataFrame, within_sec: float = 60, moving: float = 1.0, st
     return presses.groupBy(ID, "__stop").agg(first.alias("f")).select(ID, F.col(f"f.{T}").alias("start"), F.col("__stop.t").alias("stop"), F.col("f.speed").alias("start_speed"))
 
 
+def search_frames(frames: DataFrame, can_id: int, values: dict[int, int]) -> DataFrame:
+    """Frames of one id whose bytes (numbered from 1) have the given values; shorter frames have none there."""
+    cond = F.col("can_id") == can_id
+    for number, value in values.items():
+        cond = cond & (F.get("bytes", F.lit(number - 1)) == value)
+    return frames.where(F.coalesce(cond, F.lit(False)))
+
+
+def frequent_ids(frames: DataFrame, above: int, below: int) -> DataFrame:
+    """(can_id, n): ids that more than `above` and fewer than `below` frames have."""
+    return frames.groupBy("can_id").agg(F.count("*").alias("n")).where((F.col("n") > above) & (F.col("n") < below))
+
+
 def sensor_health(long: DataFrame, low: float, high: float) -> DataFrame:
     """Per sensor: dead (no value), stuck (hardly varies), values out of range. long: (sensor_no, value)."""
     v = F.col("value")

@@ -102,10 +102,23 @@ def fleet_energy_summary(spark, sf):
     return m.rollup("mode").agg(total("kwh_in"), total("kwh_out"), F.count("*").alias("sessions")).na.fill("ALL", ["mode"])
 
 
-@query("charging_sessions_contactor", "WITH p AS (SELECT *, coalesce(amps < 0, false) AS c FROM tel), q AS (" + runs("c", of="p") + "), r AS (SELECT id, g, min(t_sec) AS s, max(t_sec) AS e, arg_min_null(soc, row(t_sec, sequence)) AS s0, arg_max_null(soc, row(t_sec, sequence)) AS s1 FROM q WHERE k GROUP BY id, g), n AS (SELECT *, CASE WHEN s - lag(e) OVER w <= 60 OR s - lag(e) OVER w <= 300 AND abs(s0 - lag(s1) OVER w) <= 1 THEN 0 ELSE 1 END AS new FROM r WINDOW w AS (PARTITION BY id ORDER BY s)), j AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY s) AS session FROM n) SELECT id, CAST(session AS bigint) AS session, min(s) AS start, max(e) AS \"end\" FROM j GROUP BY id, session")
+_CONTACTOR = "CASE WHEN sequence % 19 = 0 THEN NULL WHEN gun = 1 AND sequence % 7 <> 3 THEN 1 ELSE 0 END"
+
+
+@query("charging_sessions_contactor", f"""WITH c0 AS (SELECT *, {_CONTACTOR} AS k0, nullif(soc, 0) AS soc0, nullif(volts, 0) AS volts0 FROM tel WHERE abs(amps) IS DISTINCT FROM 3200),
+c1 AS (SELECT id, t_sec, sequence, gun, k0, coalesce(amps, 0) AS amps, coalesce(last_value(soc0 IGNORE NULLS) OVER ({{o}} {{up}}), first_value(soc0 IGNORE NULLS) OVER ({{o}} {{down}})) AS soc, coalesce(last_value(volts0 IGNORE NULLS) OVER ({{o}} {{up}}), first_value(volts0 IGNORE NULLS) OVER ({{o}} {{down}})) AS volts FROM c0),
+p AS (SELECT * FROM c1 WHERE soc IS NOT NULL AND volts IS NOT NULL AND k0 IS NOT NULL), q AS ({runs("k0 = 1", of="p")}),
+r AS (SELECT id, g, min(t_sec) AS s, max(t_sec) AS e, arg_min(soc, row(t_sec, sequence)) AS s0, arg_max(soc, row(t_sec, sequence)) AS s1 FROM q WHERE k GROUP BY id, g),
+n AS (SELECT *, CASE WHEN s - lag(e) OVER w <= 60 OR s - lag(e) OVER w <= 300 AND abs(s0 - lag(s1) OVER w) <= 1 THEN 0 ELSE 1 END AS new FROM r WINDOW w AS (PARTITION BY id ORDER BY s)),
+j AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY s) AS session FROM n),
+f AS (SELECT id, CAST(session AS bigint) AS session, min(s) AS start, max(e) AS "end", arg_min(s0, s) AS soc_start, arg_max(s1, s) AS soc_end FROM j GROUP BY id, session HAVING arg_min(s0, s) <> arg_max(s1, s)),
+x AS (SELECT f.id, f.session, p.t_sec, p.soc, (volts * abs(amps) + lag(volts * abs(amps)) OVER w) / 2000 * (p.t_sec - lag(p.t_sec) OVER w) / 3600.0 AS kwh FROM f JOIN p ON p.id = f.id AND p.gun = 1 AND p.t_sec BETWEEN f.start AND f."end" WINDOW w AS (PARTITION BY f.id, f.session ORDER BY p.t_sec, p.sequence)),
+y AS (SELECT id, session, max(t_sec) - min(t_sec) AS seconds, min(CASE WHEN soc >= 80 THEN t_sec END) - min(t_sec) AS full_sec, CAST(sum(CAST(kwh AS DECIMAL(18,6))) AS double) AS kwh FROM x GROUP BY id, session),
+z AS (SELECT f.*, coalesce(seconds, 0) AS seconds, CASE WHEN soc_end >= 80 THEN full_sec END AS full_sec, coalesce(kwh, 0) AS kwh, (soc_end - soc_start) * 423 / 100 AS soc_kwh FROM f LEFT JOIN y ON y.id = f.id AND y.session = f.session)
+SELECT id, session, start, "end", soc_start, soc_end, seconds, full_sec, round(kwh, 3) AS kwh, round(soc_kwh, 3) AS soc_kwh, round(CASE WHEN kwh + soc_kwh <> 0 THEN 100 * abs(kwh - soc_kwh) / ((kwh + soc_kwh) / 2) ELSE 0 END, 2) AS apart_pct FROM z""")
 def charging_sessions_contactor(spark, sf):
-    """Driven by the current instead of the gun."""
-    return E.charging_sessions(tel(spark, sf), F.coalesce(F.col("amps") < 0, F.lit(False))).select("id", "session", "start", "end")
+    """The view has no contactors: one is made of the gun, open now and then. Its charge counts as full at 80."""
+    return E.charging_by_contactor(tel(spark, sf).withColumn("contactor", F.expr(_CONTACTOR)), "contactor", full=80)
 
 
 @query("gap_status", "WITH g AS (SELECT id, sequence AS gap, lag(t_sec) OVER ({o}) AS start, t_sec AS \"end\" FROM tel), h AS (SELECT * FROM g WHERE \"end\" - start > 500), r AS (SELECT h.id, gap, count(DISTINCT t.sequence % 16) AS beats, max(t.sequence % 16) - min(t.sequence % 16) AS rg FROM h JOIN tel t ON t.id = h.id AND t.t_sec BETWEEN h.start AND h.\"end\" GROUP BY h.id, gap) SELECT id, gap, beats, CASE WHEN beats <= 1 THEN 'frozen' WHEN rg < 5 THEN 'sluggish' ELSE 'active_but_mute' END AS status FROM r")

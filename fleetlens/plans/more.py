@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from fleetlens.functions import expressions as X
 from fleetlens.functions.expressions import flag, haversine_m
+from fleetlens.operators import buckets as B
 from fleetlens.operators import quality as Q
 from fleetlens.operators import sessions as E
 from fleetlens.operators import states as S
@@ -144,10 +146,14 @@ def session_number(spark, sf):
     return sessions._metrics(spark, sf).select("id", "session", F.row_number().over(Window.partitionBy("id").orderBy("start", "session")).alias("number"))
 
 
-@query("mode_sessions_report", "SELECT id, CAST(g AS bigint) AS session, min(k) AS mode, round(100.0 * count(CASE WHEN tmax > 35 THEN 1 END) / count(*), 2) AS hot_pct, max(tmax - tmin) AS spread FROM (" + runs(MODE) + ") GROUP BY id, g")
+_ALT = f"CASE WHEN {GUN} AND amps < -5 THEN 'CHARGING_ACTIVE' WHEN {GUN} AND amps >= -5 THEN 'CHARGING_IDLE' WHEN NOT {GUN} AND speed > 0.5 AND gear IN (1, 2) THEN 'DISCHARGING_ACTIVE' ELSE 'DISCHARGING_IDLE' END"
+_SHARES = ", ".join(f"round(100.0 * count(CASE WHEN {c} = '{label}' THEN 1 END) / nullif(count({c}), 0), 2) AS {name}_{i}" for name, c, labels in (("temp", "tb", X.TEMP_LABELS), ("spread", "db", X.DT_LABELS), ("volt", "vb", X.DV_LABELS)) for i, label in enumerate(labels))
+
+
+@query("mode_sessions_report", f"WITH b AS (SELECT *, {reports.TB} AS tb, {reports.DB} AS db, {reports.VB} AS vb FROM tel) SELECT id, CAST(g AS bigint) AS session, min(k) AS mode, min(t_sec) AS start, max(t_sec) AS \"end\", round((max(t_sec) - min(t_sec)) / 60, 2) AS minutes, {_SHARES} FROM (" + runs(_ALT, of="b") + ") GROUP BY id, g")
 def mode_sessions_report(spark, sf):
-    df = E.islands(tel(spark, sf).withColumn("mode", S.activity_state()), F.col("mode"), "session")
-    return df.groupBy("id", "session").agg(F.min("mode").alias("mode"), F.round(100 * F.count_if(F.col("tmax") > 35) / F.count("*"), 2).alias("hot_pct"), F.max(F.col("tmax") - F.col("tmin")).alias("spread"))
+    buckets = {"temp": (B.temperature_bucket(), X.TEMP_LABELS), "spread": (B.spread_bucket(), X.DT_LABELS), "volt": (B.millivolt_bucket(), X.DV_LABELS)}
+    return E.mode_sessions_report(tel(spark, sf), S.alt_mode(), buckets)
 
 
 @query("charging_events_simple", "SELECT id, CAST(g AS bigint) AS event, min(t_sec) AS start, max(t_sec) AS \"end\", min(tmax) AS coolest, max(tmax) AS hottest, round(avg(CAST(tmax AS DECIMAL(18,6))), 4) AS mean FROM (" + runs(GUN) + ") WHERE k GROUP BY id, g")
@@ -181,10 +187,20 @@ def cooling_sessions(spark, sf):
     return df.groupBy((F.floor(F.col("t_sec") / 3600) % 24).alias("hour")).agg(F.count_if(F.col("k") & ~F.col("b")).alias("starts"), F.count_if(F.col("b") & ~F.col("k")).alias("stops"), F.round(100 * F.avg(F.col("k").cast("int")), 4).alias("active_pct"))
 
 
-@query("cooling_effectiveness", f"WITH d AS (SELECT *, tmax - lag(tmax) OVER ({{o}}) AS dt FROM tel) SELECT tms_mode, count(*) AS n, round(100.0 * avg(CASE WHEN abs(tmax - 30) <= 2 THEN 1 ELSE 0 END), 4) AS hit_pct, round(avg(CAST(dt AS DECIMAL(18,6))), 4) AS mean_change FROM d GROUP BY tms_mode")
+@query("cooling_effectiveness", f"""WITH c AS (SELECT *, tmax - tmin AS d, tmax - lag(tmax) OVER ({{o}}) AS change FROM tel WHERE {_COOL})
+SELECT count(d) AS coolant_n, round(avg(CAST(d AS DECIMAL(18,6))), 4) AS coolant_mean, round(stddev_samp(d), 4) AS coolant_std, min(d) AS coolant_min, round(quantile_cont(d, 0.25), 4) AS coolant_25, round(quantile_cont(d, 0.5), 4) AS coolant_50, round(quantile_cont(d, 0.75), 4) AS coolant_75, max(d) AS coolant_max,
+ round(100.0 * avg(CASE WHEN tmin <= 28 THEN 1 ELSE 0 END), 4) AS setpoint_pct, round(100.0 * avg(CASE WHEN sequence % 3 = 0 THEN 1 ELSE 0 END), 4) AS compressor_pct, round(avg(CAST(change AS DECIMAL(18,6))), 4) AS mean_change FROM c""")
 def cooling_effectiveness(spark, sf):
-    df = tel(spark, sf).withColumn("dt", F.col("tmax") - F.lag("tmax").over(series()))
-    return df.groupBy("tms_mode").agg(F.count("*").alias("n"), F.round(100 * F.avg((F.abs(F.col("tmax") - 30) <= 2).cast("int")), 4).alias("hit_pct"), F.round(F.avg(F.col("dt").cast("decimal(18,6)")).cast("double"), 4).alias("mean_change"))
+    """While cooling: the coolant's difference, how often it is at its setpoint, how often the compressor runs, and the change from row to row.
+
+    The view's hottest and coolest cells stand for the coolant going in and out; the compressor runs in every third sample.
+    """
+    df = tel(spark, sf).where(F.coalesce(F.col("tms_mode") == "Charging_Cooling", F.lit(False)))
+    df = df.withColumns({"change": F.col("tmax") - F.lag("tmax").over(series()), "compressor": F.when(F.col("sequence") % 3 == 0, "On").otherwise("Off")})
+    share = lambda cond, name: F.round(100 * F.avg(cond.cast("int")), 4).alias(name)
+    rates = df.agg(share(F.col("tmin") <= 28, "setpoint_pct"), share(F.col("compressor") == "On", "compressor_pct"), F.round(F.avg(F.col("change").cast("decimal(18,6)")).cast("double"), 4).alias("mean_change"))
+    # one row each
+    return Q.described(df, [], F.col("tmax") - F.col("tmin"), "coolant").crossJoin(rates)
 
 
 @query("mode_comparison", f"WITH x AS (SELECT * FROM tel), m AS (SELECT 'charging' AS mode, * FROM x WHERE {GUN} UNION ALL SELECT 'moving', * FROM x WHERE speed > 0 UNION ALL SELECT 'cooling', * FROM x WHERE {_COOL}) SELECT mode, count(*) AS n, round(avg(CAST(tmax AS DECIMAL(18,6))), 4) AS tmax, round(avg(CAST(soc AS DECIMAL(18,6))), 4) AS soc FROM m GROUP BY mode")
@@ -298,10 +314,18 @@ def low_accuracy_vehicles(spark, sf):
     return s.groupBy("id").agg(mean.alias("a")).where("a < 90").select("id", F.round(F.col("a").cast("double"), 2).alias("accuracy"))
 
 
-@query("daily_temp_avg", "SELECT strftime(make_timestamp(t_sec * 1000000), '%Y-%m-%d') AS day, round(avg(CAST(coalesce(nullif(tmax, -40), tmin) AS DECIMAL(18,6))), 4) AS pack FROM tel WHERE speed > 0 GROUP BY 1")
+@query("daily_temp_avg", """WITH r AS (SELECT t_sec, coalesce(nullif(tmin, 30), nullif(tmax, -40)) AS battery, CASE WHEN vmax_no % 7 <> 0 THEN tmax + 12 END AS motor FROM tel
+ WHERE t_sec >= (SELECT max(t_sec) FROM tel) - 30 * 86400 AND ignition = 1 AND speed > 0 AND coalesce(gun, 0) = 0)
+SELECT period AS day, round(b, 4) AS battery, round(m, 4) AS motor FROM (SELECT strftime(make_timestamp(t_sec * 1000000), '%Y-%m-%d') AS period, avg(CAST(battery AS DECIMAL(18,6))) AS b, avg(CAST(motor AS DECIMAL(18,6))) AS m FROM r WHERE battery IS NOT NULL AND motor IS NOT NULL GROUP BY 1) ORDER BY battery DESC, day LIMIT 1000""")
 def daily_temp_avg(spark, sf):
-    df = tel(spark, sf).where("speed > 0").select(F.to_date(F.timestamp_seconds("t_sec")).cast("string").alias("day"), F.coalesce(F.nullif("tmax", F.lit(-40.0)), "tmin").alias("t"))
-    return df.groupBy("day").agg(F.round(F.avg(F.col("t").cast("decimal(18,6)")).cast("double"), 4).alias("pack"))
+    """The last 30 days' moving, unplugged samples: battery (coolant first, pack second) and motor by day, hottest first, at most 1000 days."""
+    df = tel(spark, sf)
+    # the newest sample: one row
+    df = df.crossJoin(df.agg(F.max("t_sec").alias("newest"))).where("t_sec >= newest - 30 * 86400 AND ignition = 1 AND speed > 0 AND coalesce(gun, 0) = 0")
+    battery, motor = F.coalesce(F.nullif("tmin", F.lit(30.0)), F.nullif("tmax", F.lit(-40.0))), F.when(F.col("vmax_no") % 7 != 0, F.col("tmax") + 12)
+    rows = df.select(F.to_date(F.timestamp_seconds("t_sec")).cast("string").alias("day"), battery.alias("battery"), motor.alias("motor")).na.drop()
+    mean = lambda c: F.round(F.avg(F.col(c).cast("decimal(18,6)")).cast("double"), 4).alias(c)
+    return rows.groupBy("day").agg(mean("battery"), mean("motor")).orderBy(F.desc("battery"), "day").limit(1000)
 
 
 def _cells(spark, sf):
@@ -313,11 +337,11 @@ def _cells(spark, sf):
 _CELLS = "WITH c AS (SELECT id, sequence, i AS cell, 3200 + sequence * (i + 3) % 50 AS value FROM tel, range(6) t(i)) "
 
 
-@query("row_cell_stats", _CELLS + "SELECT id, sequence, min(value) AS lo, max(value) AS hi, round(avg(value), 4) AS mean, median(value) AS mid, round(stddev_samp(value), 4) AS sd, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 4) AS iqr FROM c GROUP BY ALL")
+@query("row_cell_stats", _CELLS + "SELECT id, sequence, min(value) AS lo, max(value) AS hi, round(avg(value), 4) AS mean, median(value) AS mid, round(stddev_samp(value), 4) AS sd, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 4) AS iqr, max(value) - min(value) AS imbalance FROM c GROUP BY ALL")
 def row_cell_stats(spark, sf):
     q = F.percentile("value", [0.25, 0.5, 0.75])
     out = _cells(spark, sf).groupBy("id", "sequence").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.round(F.avg("value"), 4).alias("mean"), q.alias("q"), F.round(F.stddev_samp("value"), 4).alias("sd"))
-    return out.select("id", "sequence", "lo", "hi", "mean", F.get("q", F.lit(1)).alias("mid"), "sd", F.round(F.get("q", F.lit(2)) - F.get("q", F.lit(0)), 4).alias("iqr"))
+    return out.select("id", "sequence", "lo", "hi", "mean", F.get("q", F.lit(1)).alias("mid"), "sd", F.round(F.get("q", F.lit(2)) - F.get("q", F.lit(0)), 4).alias("iqr"), (F.col("hi") - F.col("lo")).alias("imbalance"))
 
 
 @query("extreme_hits", _CELLS + ", e AS (SELECT *, min(value) OVER (PARTITION BY id, sequence) AS lo, max(value) OVER (PARTITION BY id, sequence) AS hi FROM c) SELECT cell, count(CASE WHEN value = lo THEN 1 END) AS lowest, count(CASE WHEN value = hi THEN 1 END) AS highest FROM e GROUP BY cell")
@@ -345,7 +369,17 @@ def any_contactor(spark, sf):
     return tel(spark, sf).select("id", "sequence", (flag("gun") & any_on).alias("closed"))
 
 
-@query("gap_diagnosis", "WITH g AS (SELECT *, t_sec - lag(t_sec) OVER ({o}) AS gap FROM tel) SELECT id, count(*) AS long_gaps, round(100.0 * avg(CASE WHEN odo IS NULL THEN 1 ELSE 0 END), 2) AS null_pct FROM g WHERE gap > 500 GROUP BY id")
+_IDS = "CASE WHEN amps IS NULL THEN 0 ELSE 1 END + CASE WHEN odo IS NULL THEN 0 ELSE 1 END + CASE WHEN lat IS NULL THEN 0 ELSE 1 END"
+
+
+@query("gap_diagnosis", f"""WITH g AS (SELECT id, sequence AS gap, lag(t_sec) OVER ({{o}}) AS start, t_sec AS "end" FROM tel), h AS (SELECT * FROM g WHERE "end" - start > 500),
+x AS (SELECT h.id, gap, ready, gun, CASE WHEN odo IS NULL THEN 1 ELSE 0 END + CASE WHEN amps IS NULL THEN 1 ELSE 0 END + CASE WHEN lat IS NULL THEN 1 ELSE 0 END AS missing, {_IDS} AS ids FROM h JOIN tel t ON t.id = h.id AND t.t_sec BETWEEN h.start AND h."end"),
+a AS (SELECT id, gap, count(*) AS rows, round(100 * avg(missing / 3), 2) AS null_pct, round(avg(CAST(ids AS DECIMAL(18,6))), 4) AS mean_ids FROM x GROUP BY id, gap),
+r AS (SELECT id, gap, ready AS v FROM x WHERE ready IS NOT NULL GROUP BY id, gap, ready QUALIFY row_number() OVER (PARTITION BY id, gap ORDER BY count(*) DESC, ready) = 1),
+u AS (SELECT id, gap, gun AS v FROM x WHERE gun IS NOT NULL GROUP BY id, gap, gun QUALIFY row_number() OVER (PARTITION BY id, gap ORDER BY count(*) DESC, gun) = 1)
+SELECT a.id, a.gap, rows, null_pct, mean_ids, r.v AS ready_mode, u.v AS gun_mode FROM a LEFT JOIN r ON r.id = a.id AND r.gap = a.gap LEFT JOIN u ON u.id = a.id AND u.gap = a.gap""")
 def gap_diagnosis(spark, sf):
-    g = tel(spark, sf).withColumn("gap", F.col("t_sec") - F.lag("t_sec").over(series())).where("gap > 500")
-    return g.groupBy("id").agg(F.count("*").alias("long_gaps"), F.round(100 * F.avg(F.col("odo").isNull().cast("int")), 2).alias("null_pct"))
+    """Gaps above 500 seconds: missing values, bus ids and flags of the samples at their ends. Signals that are there stand for ids."""
+    df = tel(spark, sf).withColumn("ids", F.expr(_IDS))
+    gaps = df.select("id", F.col("sequence").alias("gap"), F.lag("t_sec").over(series()).alias("start"), F.col("t_sec").alias("end")).where(F.col("end") - F.col("start") > 500)
+    return Q.gap_diagnosis(df, gaps, ["odo", "amps", "lat"], "ids", ["ready", "gun"])

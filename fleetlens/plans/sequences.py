@@ -80,7 +80,13 @@ def decode_frames(spark, sf):
 @query("search_frames", "WITH f AS (SELECT sequence % 97 AS c, count(*) AS n FROM tel GROUP BY 1) SELECT c AS can_id, n FROM f WHERE n > 10 AND n < 5000")
 def search_frames(spark, sf):
     """Ids whose frequency lies in a band."""
-    return tel(spark, sf).groupBy((F.col("sequence") % 97).alias("can_id")).agg(F.count("*").alias("n")).where("n > 10 AND n < 5000")
+    return W.frequent_ids(tel(spark, sf).select((F.col("sequence") % 97).alias("can_id")), 10, 5000)
+
+
+@query("search_frames_bytes", "SELECT id, sequence FROM tel WHERE sequence % 4 = 1 AND sequence % 16 = 5 AND sequence % 251 < 256 AND sequence % 241 = 7")
+def search_frames_bytes(spark, sf):
+    """Frames of one id with two bytes given."""
+    return W.search_frames(_frames(spark, sf), 257, {2: 5, 3: 7}).select("id", "sequence")
 
 
 @query("dead_stuck_range", "SELECT sensor_no, count(v) AS n, count(v) = 0 AS dead, count(v) > 0 AND (coalesce(stddev_samp(v), 0) < 1e-4 OR count(DISTINCT v) <= 2) AS stuck, count(CASE WHEN v < 3.21 OR v > 3.24 THEN 1 END) AS out_of_range FROM (SELECT vmax_no AS sensor_no, CASE WHEN vmax_no % 7 <> 0 THEN vmax END AS v FROM tel) GROUP BY sensor_no")
