@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.student import t_column
+from fleetlens.operators.quantiles import with_quantiles
 from fleetlens.operators.timeseries import ID, SEQ, T
 from fleetlens.operators.trips import rows_in_intervals
 
@@ -37,8 +38,8 @@ QUANTILES = (0.01, 0.05, 0.5, 0.95, 0.99)
 
 def profile_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     long = long_form(df, columns)
-    q = F.percentile("value", list(QUANTILES))
-    out = long.groupBy("column").agg(F.round(100 * F.count("value") / F.count("*"), 2).alias("filled_pct"), F.min("value").alias("least"), q.alias("q"), F.max("value").alias("most"))
+    out = long.groupBy("column").agg(F.round(100 * F.count("value") / F.count("*"), 2).alias("filled_pct"), F.min("value").alias("least"), F.max("value").alias("most"))
+    out = with_quantiles(out, long, ["column"], F.col("value"), list(QUANTILES))
     return out.select("column", "filled_pct", "least", *(F.round(F.get("q", F.lit(i)), 6).alias(f"p{int(100 * p):02d}") for i, p in enumerate(QUANTILES)), "most")
 
 
@@ -47,7 +48,9 @@ def gap_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     long = long_form(df, columns, [ID, T, SEQ]).where("value IS NOT NULL")
     w = Window.partitionBy("column", ID).orderBy(T, SEQ)
     long = long.withColumn("gap", (F.col(T) - F.lag(T).over(w)).cast("double")).where("gap IS NOT NULL")
-    return long.groupBy("column").agg(F.count("*").alias("n"), F.round(F.avg("gap"), 4).alias("mean"), F.round(F.stddev_samp("gap"), 4).alias("std"), F.min("gap").alias("least"), F.max("gap").alias("most"), F.round(F.percentile("gap", 0.5), 4).alias("p50"), F.round(F.percentile("gap", 0.95), 4).alias("p95"))
+    out = long.groupBy("column").agg(F.count("*").alias("n"), F.round(F.avg("gap"), 4).alias("mean"), F.round(F.stddev_samp("gap"), 4).alias("std"), F.min("gap").alias("least"), F.max("gap").alias("most"))
+    out = with_quantiles(out, long, ["column"], F.col("gap"), [0.5, 0.95])
+    return out.select("column", "n", "mean", "std", "least", "most", F.round(F.get("q", F.lit(0)), 4).alias("p50"), F.round(F.get("q", F.lit(1)), 4).alias("p95"))
 
 
 def missing_rates(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from fleetlens.operators import sessions as E
 from fleetlens.operators import states as S
 from fleetlens.operators import sweeps as W
 from fleetlens.operators import trips as R
+from fleetlens.operators.quantiles import with_quantiles
 from fleetlens.operators.timeseries import series, step_seconds
 from fleetlens.plans import reports, sessions
 from fleetlens.plans.registry import query
@@ -222,7 +223,9 @@ def tms_kpis(spark, sf):
 def imbalance_by_state(spark, sf):
     state = F.when(flag("gun"), "charge").when(F.col("speed") > 0, "drive").otherwise("idle")
     x = F.col("vmax") - F.col("vmin")
-    return tel(spark, sf).groupBy(state.alias("state")).agg(F.count("*").alias("n"), F.round(F.avg(x.cast("decimal(18,6)")).cast("double"), 6).alias("mean"), F.round(F.percentile(x, 0.95), 6).alias("p95"))
+    df = tel(spark, sf).select(state.alias("state"), x.alias("x"))
+    out = df.groupBy("state").agg(F.count("*").alias("n"), F.round(F.avg(F.col("x").cast("decimal(18,6)")).cast("double"), 6).alias("mean"))
+    return with_quantiles(out, df, ["state"], F.col("x"), [0.95]).select("state", "n", "mean", F.round(F.get("q", F.lit(0)), 6).alias("p95"))
 
 
 _DT = "least(coalesce(t_sec - lag(t_sec) OVER ({o}), 0), 300)"

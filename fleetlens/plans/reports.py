@@ -11,6 +11,7 @@ from fleetlens.operators import buckets as B
 from fleetlens.operators import quality as Q
 from fleetlens.operators import sessions as E
 from fleetlens.operators import states as S
+from fleetlens.operators.quantiles import with_quantiles
 from fleetlens.operators.timeseries import series, step_seconds
 from fleetlens.plans import sequences
 from fleetlens.plans.registry import query
@@ -117,7 +118,10 @@ def outer_join_minmax(spark, sf):
 def high_dv_by_soc(spark, sf):
     dv = (F.col("vmax") - F.col("vmin")) * 1000
     df = tel(spark, sf).where(flag("gun") & (dv > 20) & (F.col("soc") > 0))
-    return df.groupBy(B.soc_bucket().alias("band")).agg(F.round(F.median(dv), 4).alias("dv_median"), F.round(F.percentile(dv, 0.95), 4).alias("dv_p95"), F.median(F.abs("amps")).alias("amps_median"), F.max(F.abs("amps")).alias("amps_max"), F.count_distinct("id").alias("vehicles"))
+    df = df.select("id", B.soc_bucket().alias("band"), dv.alias("dv"), F.abs("amps").alias("amps"))
+    out = df.groupBy("band").agg(F.max("amps").alias("amps_max"), F.count_distinct("id").alias("vehicles"))
+    out = with_quantiles(with_quantiles(out, df, ["band"], F.col("dv"), [0.5, 0.95]), df, ["band"], F.col("amps"), [0.5], "a")
+    return out.select("band", F.round(F.get("q", F.lit(0)), 4).alias("dv_median"), F.round(F.get("q", F.lit(1)), 4).alias("dv_p95"), F.get("a", F.lit(0)).alias("amps_median"), "amps_max", "vehicles")
 
 
 def _mileage(sec: int, least: float) -> str:
@@ -184,8 +188,8 @@ def transition_crosstab(spark, sf):
 @query("value_distribution", "SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
 def value_distribution(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet")
-    q = F.percentile("value", [0.25, 0.5, 0.95])
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), q.alias("q")).select("event_type", "n", *(F.round(F.get("q", F.lit(i)), 6).alias(c) for i, c in enumerate(("p25", "p50", "p95"))))
+    out = with_quantiles(e.groupBy("event_type").agg(F.count("*").alias("n")), e, ["event_type"], F.col("value"), [0.25, 0.5, 0.95])
+    return out.select("event_type", "n", *(F.round(F.get("q", F.lit(i)), 6).alias(c) for i, c in enumerate(("p25", "p50", "p95"))))
 
 
 @query("distinct_count", "SELECT count(DISTINCT id) AS vehicles, count(DISTINCT tmax_no) AS sensors, count(DISTINCT tms_mode) AS modes FROM tel")
