@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from datetime import datetime, timezone
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,22 +13,44 @@ from fleetlens.operators.covers import CHUNK_SEC, covers
 from fleetlens.operators.signals import signal_of
 from fleetlens.operators.timeseries import ID, SEQ, T, from_here, series, up_to_here
 
-FRAME_LINE = r"^\s*([0-9]+\.[0-9]+)\s+\S+\s+([0-9A-Fa-f]+)x?\s+\S+\s+\S+\s+\S+((?:\s+[0-9A-Fa-f]{2}){8})"
+#: Time, channel, id, direction, kind, length, then as many bytes.
+FRAME_LINE = r"^\s*([0-9]+\.[0-9]+)\s+\S+\s+([0-9A-Fa-f]+)x?\s+\S+\s+\S+\s+[0-9]+((?:\s+[0-9A-Fa-f]{2}){1,8})(?:\s|$)"
 
 
 def frames_of_text(lines: DataFrame, base_ms: int, line: str = "value") -> DataFrame:
-    """(ts_ms, can_id, bytes) from the lines of a bus log that hold a frame."""
+    """(ts_ms, can_id, bytes) from the lines of a bus log that hold a frame; bytes that a shorter frame lacks are 0."""
     part = lambda i: F.regexp_extract(line, FRAME_LINE, i)
     found = lines.where(F.col(line).rlike(FRAME_LINE))
     number = F.transform(F.split(F.trim(part(3)), r"\s+"), lambda b: F.conv(b, 16, 10).cast("int"))
-    return found.select((F.lit(base_ms) + F.round(part(1).cast("double") * 1000).cast("long")).alias("ts_ms"), F.conv(part(2), 16, 10).cast("long").alias("can_id"), number.alias("bytes"))
+    full = F.slice(F.concat(number, F.array_repeat(F.lit(0), 8)), 1, 8)
+    return found.select((F.lit(base_ms) + F.round(part(1).cast("double") * 1000).cast("long")).alias("ts_ms"), F.conv(part(2), 16, 10).cast("long").alias("can_id"), full.alias("bytes"))
+
+
+def frame_lines(frames: DataFrame, base_ms: int, places: list[int] | None = None) -> DataFrame:
+    """frames and `value`, the log line of each. places: where in `bytes` (from 0) the first, second, ... byte of the line stands."""
+    data = F.array(*(F.get("bytes", F.lit(i)) for i in places)) if places else F.col("bytes")
+    hexes = F.array_join(F.transform(data, lambda b: F.lower(F.lpad(F.hex(b), 2, "0"))), " ")
+    return frames.withColumn("value", F.concat(F.format_string("%.6f 1 %08xx Rx d ", (F.col("ts_ms") - base_ms) / 1000, F.col("can_id")), F.size(data).cast("string"), F.lit(" "), hexes))
+
+
+def text_of_frames(frames: DataFrame, base_ms: int, places: list[int] | None = None) -> DataFrame:
+    """A log's lines in order of time and sequence (where frames have one)."""
+    order = [c for c in ("ts_ms", SEQ) if c in frames.columns]
+    return frame_lines(frames, base_ms, places).orderBy(*order).select("value")
+
+
+def write_asc_frames(frames: DataFrame, path: str, base_ms: int, places: list[int] | None = None) -> None:
+    """The log as text files, whose names follow its order; the first lines of each file are the format's head."""
+    head = [f"date {datetime.fromtimestamp(base_ms / 1000, timezone.utc):%a %b %d  %I:%M:%S %p %Y}", "base hex timestamps absolute"]
+    lines = text_of_frames(frames, base_ms, places)
 
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, b in enumerate(batches):
+            if not i:
+                yield pa.RecordBatch.from_arrays([pa.array(head).cast(b.schema.field(0).type)], schema=b.schema)
+            yield b
 
-def text_of_frames(frames: DataFrame, base_ms: int) -> DataFrame:
-    """Log lines of frames, in order."""
-    hexes = F.array_join(F.transform("bytes", lambda b: F.lpad(F.hex(b), 2, "0")), " ")
-    line = F.concat(F.format_string("%.6f 1  %08X", (F.col("ts_ms") - base_ms) / 1000, F.col("can_id")), F.lit("x Rx d 8 "), hexes)
-    return frames.orderBy("ts_ms").select(line.alias("value"))
+    lines.mapInArrow(headed, "value string").write.text(path)
 
 
 def dbc_dictionary(lines: DataFrame, line: str = "value", at: str = "n") -> DataFrame:

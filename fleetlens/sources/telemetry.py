@@ -84,16 +84,17 @@ def regex_columns(df: DataFrame, pattern: str, always: tuple[str, ...] = ()) ->
     return df.select(*(c for c in df.columns if c in always or re.search(pattern, c)))
 
 
-def stage_checkpoint(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def stage_checkpoint(df: DataFrame, path: str, key: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Writes a state once, as Parquet in a folder that all executors share, and reads it back; later stages start from there.
 
-    A folder that a stage has completed before is read, not written again.
+    key names what the state was made from (a day, a version of the input): under another key it is written anew. A
+    folder that a stage has completed before is read, not written again.
     """
-    spark = df.sparkSession
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    spark, place = df.sparkSession, f"{path}/{re.sub(r'[^0-9A-Za-z_.-]', '_', key)}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/_SUCCESS")
     if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
-        df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    return spark.read.parquet(path)
+        df.write.mode("overwrite").partitionBy(*partition_by).parquet(place)
+    return spark.read.parquet(place)
 
 
 def scan_utc_window(df: DataFrame, day: str, days: int = 31, offset_minutes: int = 330, ts_col: str = "ts") -> DataFrame:
@@ -118,14 +119,6 @@ def scan_parquet_window(spark: SparkSession, path: str, columns: list[str], low:
     return (df.where(F.col(id_col).isin(ids)) if ids else df).select(*columns)
 
 
-def scan_csv_conform(spark: SparkSession, path: str, schema: T.StructType, ts_col: str = "ts") -> DataFrame:
-    """CSV with a header: names stripped and lower-cased, bad timestamps dropped."""
-    df = spark.read.csv(path, header=True)
-    df = df.toDF(*(c.strip().lower() for c in df.columns))
-    df = df.withColumn(ts_col, F.try_to_timestamp(F.col(ts_col))) if ts_col in df.columns else df
-    return conform(df, schema).where(F.col(ts_col).isNotNull())
-
-
 def typed_projection(df: DataFrame, types: dict[str, str]) -> DataFrame:
     """Casts by name; UNMAPPED keeps the type; values that don't fit are null."""
     return df.select(*(F.col(c) if t == "UNMAPPED" else F.col(c).try_cast(t).alias(c) for c, t in types.items()))
@@ -148,6 +141,8 @@ def sink_partitioned(df: DataFrame, path: str, partition_by: str = "date") -> No
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path)
 
 
-def sink_csv_report(df: DataFrame, path: str) -> None:
-    """A report is small; it is written as one file."""
-    df.coalesce(1).write.mode("overwrite").csv(path, header=True)
+def sink_csv_report(df: DataFrame, path: str, most_rows: int = 1_000_000) -> int:
+    """Writes a report of at most most_rows rows as one file with a header; a larger one in parts, each with the header. Gives the number of rows."""
+    n = df.limit(most_rows + 1).count()
+    (df.coalesce(1) if n <= most_rows else df).write.mode("overwrite").csv(path, header=True)
+    return n if n <= most_rows else df.count()

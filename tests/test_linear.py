@@ -51,9 +51,11 @@ def test_columns_and_stages(spark, tmp_path):
     assert telemetry.reorder_columns(df, ["a", "z", "b"]).columns == ["a", "b", "pack_temperature1"]
     assert telemetry.regex_columns(df, "^pack_temperature", ("a",)).columns == ["pack_temperature1", "a"]
     path = str(tmp_path / "stage")
-    assert telemetry.stage_checkpoint(df, path).collect() == df.collect()
+    assert telemetry.stage_checkpoint(df, path, "day 1").collect() == df.collect()
     # a stage that is done isn't run again
-    assert telemetry.stage_checkpoint(df.where("a = 0"), path).collect() == df.collect()
+    assert telemetry.stage_checkpoint(df.where("a = 0"), path, "day 1").collect() == df.collect()
+    # another input has another key
+    assert telemetry.stage_checkpoint(df.where("a = 0"), path, "day 2").count() == 0
 
 
 def test_local_days_reach_the_scan(spark, data):

@@ -46,4 +46,4 @@ def test_query_matches_sql(spark, duck, data, name):
 
 def test_every_query_runs(spark, data):
     for name in sorted(set(QUERIES) - set(ORACLES)):
-        assert QUERIES[name](spark, data).schema is not None
+        assert QUERIES[name](spark, data).count() > 0, name

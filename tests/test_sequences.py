@@ -9,6 +9,7 @@ from fleetlens.operators import enrich as N
 from fleetlens.operators import quality as Q
 from fleetlens.operators import sweeps as W
 from fleetlens.operators.covers import covers
+from fleetlens.sources import dialects
 from fleetlens.sources import telemetry as S
 from fleetlens.streaming import jobs
 
@@ -187,7 +188,7 @@ def test_scans(spark, tmp_path):
     assert S.scan_utc_window(df, "2024-01-02", 1).count() == 1
     df.withColumn("n", F.lit("7")).withColumn("bad", F.lit("x")).write.csv(str(tmp_path / "c"), header=True)
     schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("ts", T.TimestampType()), T.StructField("n", T.IntegerType()), T.StructField("gone", T.DoubleType())])
-    got = S.scan_csv_conform(spark, str(tmp_path / "c"), schema)
+    got = dialects.scan_csv_conform(spark, str(tmp_path / "c"), schema)
     assert got.schema == schema and got.count() == 3
     text = spark.createDataFrame([("1", "2024-01-01", "x"), ("2.5", "?", "y")], "a string, b string, c string")
     assert {r.column: r.kind for r in S.infer_column_types(text).collect()} == {"a": "number", "b": "timestamp", "c": "string"}
