@@ -48,11 +48,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import batches_of, buckets_for, connected_components, renamed, ship_package, written
-from fleetlens.llm.words import byte_table, split, translated
+from fleetlens.llm.words import byte_table, split, tidy, translated
 from fleetlens.llm.wordcodes import BASE, chunks, groups_of, mix, pack, run_codes, word_codes
 
 #: Bytes of text that a task groups at once, and n-grams in one part of a block.
-CHUNK_BYTES, PART_GRAMS = 6_000_000, 600_000
+CHUNK_BYTES, PART_GRAMS = 4_000_000, 600_000
 #: Documents of a chunk that may share a signature before one of them stands for all.
 CROWD = 64
 #: Text whose signatures fall into one bucket, on average.
@@ -408,6 +408,7 @@ def compared(docs: DataFrame, routed: DataFrame, members: DataFrame, k: int, per
                 names = ["block", "i", "j", "part", "label", "home", "doc_id"]
                 long = pa.schema([(c, pa.bool_() if c == "home" else pa.int64()) for c in names])
                 yield from held.select(names).filter(pa.array(stay)).cast(long).to_batches()
+        tidy()
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = byte_table()
@@ -422,6 +423,7 @@ def compared(docs: DataFrame, routed: DataFrame, members: DataFrame, k: int, per
             pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
             if len(pairs):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        tidy()
 
     in_blocks = lambda df: df.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "doc_id")
     some = in_blocks(bits.join(tasks.hint("shuffle_hash"), "doc_id")).mapInArrow(likely, "block long, i long, j long, part long, label long, home boolean, doc_id long").distinct()

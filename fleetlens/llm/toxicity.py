@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from fleetlens.llm.common import renamed, ship_package, written
-from fleetlens.llm.words import byte_table, split, translated
+from fleetlens.llm.words import byte_table, split, tidy, translated
 
 #: Name of each category, in chain order, and its condition on the labels. The last one decides.
 CATEGORIES = (("low_quality", "quality = 0"), ("toxic_low_quality", "toxic = 1 AND quality = 0"), ("toxic", "toxic = 1"))
@@ -185,6 +185,7 @@ def weight_sums(texts: pa.Array, index: dict[str, int], table: np.ndarray) -> np
         has = np.zeros((len(out[i : i + ROWS]), len(table) + 1), bool)  # the last column takes what isn't known
         has[row[told, None], known[place[told]]] = True
         out[i : i + ROWS] = has[:, :-1] @ table
+    tidy()
     return out
 
 

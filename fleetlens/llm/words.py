@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
+def tidy() -> None:
+    """Gives memory that Arrow and numpy have freed back to the system: a worker that waits for its next task, beside others at work, then holds little."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def translated(texts: pa.Array, table: np.ndarray) -> pa.Array:
     """texts with each byte replaced by table's entry for it; nulls become empty. The table keeps ASCII within ASCII and other bytes as they are."""
     texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
@@ -60,10 +69,14 @@ def slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Ar
             size += int(ends[stop - 1]) - done
             row = stop
             if size >= most:
-                yield tuple(pa.concat_arrays(x) for x in zip(*held))
-                held, size = [], 0
+                full, held, size = tuple(pa.concat_arrays(x) for x in zip(*held)), [], 0
+                yield full
+                del full
+                tidy()
     if held:
         yield tuple(pa.concat_arrays(x) for x in zip(*held))
+    held = []
+    tidy()
 
 
 def joined(words: pa.Array, ends: np.ndarray) -> pa.Array:
