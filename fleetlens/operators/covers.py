@@ -9,20 +9,21 @@ A vehicle's series is cut into chunks of time, and chunks are worked on by thems
 3. Those runs, a small table, are followed from chunk to chunk for each vehicle: where its covers enter each chunk.
 4. Each chunk gives out the covers that begin in it.
 
-Only step 3 takes a vehicle as a whole.
+Only step 3 takes a vehicle as a whole, and passes its runs by in order, without holding them.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.operators.timeseries import ID, SEQ, T
-from fleetlens.sources.shared import written_once
+from fleetlens.sources.shared import ship_package, written_once
 
 NEVER = 1 << 62
 CHUNK_SEC = 86_400
@@ -46,26 +47,43 @@ def _next_places(rows: DataFrame, items: int) -> DataFrame:
     grid = grid.join(firsts, [ID, "chunk", "item"], "left")
     grid = grid.withColumn("next", F.last(F.when(F.col("rank").isNotNull(), F.struct("rank", T)), True).over(behind))
     places = F.transform(F.sort_array(F.collect_list(F.struct("item", F.col("next.rank").alias("rank"), F.col("next.t_sec").alias("at")))), lambda x: F.struct(x["rank"], x["at"]))
-    # columns of their own, as the same rows stand on the other side of the cogroup
-    return grid.groupBy(ID, "chunk").agg(places.alias("places")).select(F.col(ID).alias(ID), F.col("chunk").alias("chunk"), "places")
-
-
-def _links(rows: pd.DataFrame, places: list, items: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    return grid.groupBy(ID, "chunk").agg(places.alias("places"))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each chunk, for batches sorted by vehicle, chunk and rank; each chunk begins with its head, of rank -1."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        heads = np.flatnonzero(b.column("rank").to_numpy() == -1).tolist()
+        starts = set(heads)
+        for begin, end in zip([0, *heads], [*heads, len(b)]):
+            if held and begin in starts:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            if end > begin:
+                held.append(b.slice(begin, end - begin))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _links(chunk: pa.Table, items: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """(rank of the first row, times, rank and time of the row that ends a cover begun at each row) of one chunk."""
-    rows = rows.sort_values("rank")
-    first, times = int(rows["rank"].iloc[0]), rows[T].to_numpy(np.int64)
-    places = [(NEVER, NEVER) if p["rank"] is None else (int(p["rank"]), int(p["at"])) for p in places]
-    n = [len(x) for x in rows["items"]]
-    at, item = np.repeat(np.arange(len(rows)), n), np.fromiter((i for x in rows["items"] for i in x), np.int64, sum(n))
-    end = np.zeros(len(rows), np.int64)
+    places = [(NEVER, NEVER) if p["rank"] is None else (p["rank"], p["at"]) for p in chunk["places"][0].as_py()]
+    rows = chunk.slice(1)
+    first, times = rows["rank"][0].as_py(), rows[T].to_numpy()
+    lists = pa.concat_arrays(rows["items"].chunks)
+    item, at = lists.flatten().to_numpy(), pc.list_parent_indices(lists).to_numpy()
+    end = np.zeros(len(times), np.int64)
     for i in range(items):
-        seen = np.full(len(rows), places[i][0])
-        seen[at[item == i]] = first + at[item == i]
+        seen = np.full(len(times), places[i][0])
+        has = at[item == i]
+        seen[has] = first + has
         end = np.maximum(end, np.minimum.accumulate(seen[::-1])[::-1])
-    here = end < first + len(rows)
+    here = end < first + len(times)
     until = np.where(here, times[np.where(here, end - first, 0)], NEVER)
     for rank, t in places:
-        until[end == rank] = t if rank != NEVER else NEVER
+        if rank != NEVER:
+            until[end == rank] = t
     return first, times, end, until
 
 
@@ -74,52 +92,66 @@ def covers(df: DataFrame, items: Column, n: int, keep: dict[str, Column] | None
 
     items: an array of numbers; those from 0 to n - 1 count. rows: as `numbered`, with items and keep.
     """
+    ship_package(df.sparkSession)
     inside = F.filter(F.coalesce(items, F.array().cast("array<int>")), lambda i: i.isNotNull() & (i >= 0) & (i < n))
     rows = written_once(numbered(df, {"items": inside.cast("array<int>"), **(keep or {})}, chunk_sec), "rows")
-    places = _next_places(rows, n)
     slim = rows.select(ID, "chunk", T, "rank", "items")
-
-    def ways_out(key: tuple, chunk: pd.DataFrame, behind: pd.DataFrame) -> pd.DataFrame:
-        first, times, end, until = _links(chunk, behind["places"].iloc[0], n)
-        m = len(times)
-        out = np.full(m, -1, np.int64)
-        at = np.full(m, -1, np.int64)
-        for i in range(m - 1, -1, -1):
-            e = int(end[i])
-            if e >= first + m - 1:
-                out[i], at[i] = (-1, -1) if e == NEVER else (e, until[i])
-            else:
-                out[i], at[i] = out[e + 1 - first], at[e + 1 - first]
-        last = np.flatnonzero(np.append(out[1:] != out[:-1], True))
-        return pd.DataFrame({ID: key[0], "chunk": key[1], "upto": first + last, "exit": out[last], "at": at[last]})
-
-    runs = slim.groupBy(ID, "chunk").cogroup(places.groupBy(ID, "chunk")).applyInPandas(ways_out, f"{ID} string, chunk long, upto long, exit long, at long")
-
-    def entries(key: tuple, runs: pd.DataFrame) -> pd.DataFrame:
-        runs = runs.sort_values("upto")
-        upto, chunks, exits, times = (runs[c].tolist() for c in ("upto", "chunk", "exit", "at"))
-        out, entry, before = [], 0, None
-        while (i := bisect_left(upto, entry)) < len(upto):
-            out.append((key[0], chunks[i], entry, before))
-            if exits[i] < 0:
-                break
-            entry, before = exits[i] + 1, times[i]
-        return pd.DataFrame(out, columns=[ID, "chunk", "entry", "before"]).astype({"before": "Int64"})
-
-    entered = runs.groupBy(ID).applyInPandas(entries, f"{ID} string, chunk long, entry long, before long")
-
-    def replay(key: tuple, chunk: pd.DataFrame, behind: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(behind):
-            first, times, end, until = _links(chunk, behind["places"].iloc[0], n)
-            i, before = int(behind["entry"].iloc[0]) - first, behind["before"].iloc[0]
-            before = None if pd.isna(before) else int(before)
+    heads = written_once(_next_places(rows, n), "places")
+
+    def by_chunk(heads: DataFrame) -> DataFrame:
+        """Each chunk's head, then its rows in order."""
+        both = slim.unionByName(heads.withColumn("rank", F.lit(-1).cast("long")), allowMissingColumns=True)
+        return both.repartition(ID, "chunk").sortWithinPartitions(ID, "chunk", "rank")
+
+    def ways_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(batches):
+            first, times, end, until = _links(chunk, n)
+            m = len(times)
+            out, at, ends, untils = [-1] * m, [-1] * m, end.tolist(), until.tolist()
+            for i in range(m - 1, -1, -1):
+                e = ends[i]
+                if e < first + m - 1:
+                    out[i], at[i] = out[e + 1 - first], at[e + 1 - first]
+                elif e != NEVER:
+                    out[i], at[i] = e, untils[i]
+            exits = np.array(out)
+            last = np.flatnonzero(np.append(exits[1:] != exits[:-1], True))
+            size = len(last)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk[ID][0].as_py()] * size, pa.string()), pa.array([chunk["chunk"][0].as_py()] * size, pa.int64()), pa.array(first + last), pa.array(exits[last]), pa.array(np.array(at)[last])], [ID, "chunk", "upto", "exit", "at"])
+
+    runs = by_chunk(heads).mapInArrow(ways_out, f"{ID} string, chunk long, upto long, exit long, at long")
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of a vehicle come in order; the first that isn't before the entry holds it, and its exit gives the next one."""
+        vehicle: object = ...
+        for b in batches:
+            out = []
+            for v, chunk, upto, leaves, at in zip(*(b.column(c).to_pylist() for c in (ID, "chunk", "upto", "exit", "at"))):
+                if v != vehicle:
+                    vehicle, entry, before = v, 0, None
+                if upto >= entry:
+                    out.append((v, chunk, entry, before))
+                    entry, before = (NEVER, None) if leaves < 0 else (leaves + 1, at)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), pa.int64()))], [ID, "chunk", "entry", "before"])
+
+    entered = runs.repartition(ID).sortWithinPartitions(ID, "upto").mapInArrow(entries, f"{ID} string, chunk long, entry long, before long")
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(batches):
+            entry, before, out = chunk["entry"][0].as_py(), chunk["before"][0].as_py(), []
+            if entry is None:
+                continue
+            first, times, end, until = _links(chunk, n)
+            i = entry - first
             while i < len(times) and end[i] != NEVER:
-                out.append((key[0], int(times[i]), int(until[i]), int(end[i]) - first - i + 1, None if before is None else int(times[i]) - before, first + i, int(end[i])))
+                start = int(times[i])
+                out.append((start, int(until[i]), int(end[i]) - first - i + 1, None if before is None else start - before, first + i, int(end[i])))
                 before, i = int(until[i]), int(end[i]) + 1 - first
-        return pd.DataFrame(out, columns=[ID, "start", "end", "rows", "since", "first", "last"]).astype({"since": "Int64"})
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([chunk[ID][0].as_py()] * len(out), pa.string()), *(pa.array(c, pa.int64()) for c in zip(*out))], [ID, "start", "end", "rows", "since", "first", "last"])
 
-    asked = places.join(entered.select(F.col(ID).alias(ID), F.col("chunk").alias("chunk"), "entry", "before"), [ID, "chunk"])
-    found = slim.groupBy(ID, "chunk").cogroup(asked.groupBy(ID, "chunk")).applyInPandas(replay, f"{ID} string, start long, end long, rows long, since long, first long, last long")
+    asked = heads.join(entered, [ID, "chunk"], "left")
+    found = by_chunk(asked).mapInArrow(replay, f"{ID} string, start long, end long, rows long, since long, first long, last long")
     cycle = F.row_number().over(Window.partitionBy(ID).orderBy("first")).cast("long")
     return found.select(ID, cycle.alias("cycle"), "start", "end", "rows", "since", "first", "last"), rows

@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from fleetlens.operators.buckets import mileage_totals
+from fleetlens.sources.shared import ship_package
 
 
 def stream_alert_periods(df: DataFrame, alert: Column, apart: str = "2 minutes", late: str = "10 minutes", min_sec: int = 300) -> DataFrame:
@@ -122,6 +123,7 @@ def stream_mileage_15min(df: DataFrame, late: str = "10 minutes", period_sec: in
     passes their end. The session must keep state in RocksDB (spark.sql.streaming.stateStore.providerClass) and its time
     zone at UTC.
     """
+    ship_package(df.sparkSession)
     rows = df.select("id", "ts", "t_sec", "sequence", "odo", "speed", "volts", "amps").withWatermark("ts", late)
     steps = rows.groupBy("id").transformWithStateInPandas(StepProcessor(), StepProcessor.OUT, "Append", "EventTime", eventTimeColumnName="ts")
     out = mileage_totals(steps, ["id", F.window("ts", f"{period_sec} seconds").alias("w")], period_sec, least_km, dt_cap, regen)
