@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm.common import buckets_for, renamed, ship_package, written
 from fleetlens.llm.wordcodes import chunks, groups_of, mix, pack, run_codes, sliding_min, word_codes
-from fleetlens.llm.words import byte_table, joined, split, translated
+from fleetlens.llm.words import byte_table, joined, split, tidy, translated
 
 #: Bytes of text that a task compares at once, and that one bucket has windows of, on average.
-CHUNK_BYTES, BUCKET_BYTES = 6_000_000, 4_000_000
+CHUNK_BYTES, BUCKET_BYTES = 3_000_000, 4_000_000
 #: Words of a minimiser.
 M = 3
 #: Marks of minimisers with more than a bucket's share; a multiple of what one of Spark's bitmaps holds.
@@ -206,7 +206,7 @@ def duplicate_windows(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text
     hot = hot_minimisers(texts, k, buckets)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(1).compress
+        squeeze = zstandard.ZstdCompressor(3).compress
         for ids, words, n in chunks(batches, CHUNK_BYTES):
             x = Windows(ids, words, n, k)
             if x.empty:
@@ -249,6 +249,7 @@ def duplicate_windows(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text
             again = repeats(run_codes(word_codes(found), k)[at], doc, start, at, Words(found), k)
             doc, start, n = as_runs(doc[again], start[again])
         at = text_of[doc]
+        tidy()
         return pd.DataFrame({"doc_id": ids[at], "tie": ties[at], "start": start, "windows": n})
 
     sent = texts.mapInArrow(cut, "bucket long, docs binary, ties binary, starts binary, counts binary, words binary")
