@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetlens.operators.joins import beside
 from fleetlens.operators.timeseries import ID, SEQ, T
 from fleetlens.sources.shared import ship_package, written_once
 
@@ -36,7 +37,7 @@ def numbered(df: DataFrame, keep: dict[str, Column], chunk_sec: int = CHUNK_SEC)
     before = Window.partitionBy(ID).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offset = rows.groupBy(ID, "chunk").agg(F.count("*").alias("n")).select(ID, "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
     rows = rows.withColumn("__within", F.row_number().over(inside) - 1)
-    return rows.join(offset, [ID, "chunk"]).select(ID, "chunk", T, (F.col("__before") + F.col("__within")).alias("rank"), *keep)
+    return beside(rows, offset, [ID, "chunk"]).select(ID, "chunk", T, (F.col("__before") + F.col("__within")).alias("rank"), *keep)
 
 
 def _next_places(rows: DataFrame, items: int) -> DataFrame:
@@ -44,7 +45,7 @@ def _next_places(rows: DataFrame, items: int) -> DataFrame:
     firsts = rows.select(ID, "chunk", "rank", T, F.explode("items").alias("item")).groupBy(ID, "chunk", "item").agg(F.min("rank").alias("rank"), F.min_by(T, "rank").alias(T))
     grid = rows.select(ID, "chunk").distinct().withColumn("item", F.explode(F.sequence(F.lit(0), F.lit(items - 1))))
     behind = Window.partitionBy(ID, "item").orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1)
-    grid = grid.join(firsts, [ID, "chunk", "item"], "left")
+    grid = beside(grid, firsts, [ID, "chunk", "item"], "left")
     grid = grid.withColumn("next", F.last(F.when(F.col("rank").isNotNull(), F.struct("rank", T)), True).over(behind))
     places = F.transform(F.sort_array(F.collect_list(F.struct("item", F.col("next.rank").alias("rank"), F.col("next.t_sec").alias("at")))), lambda x: F.struct(x["rank"], x["at"]))
     return grid.groupBy(ID, "chunk").agg(places.alias("places"))
@@ -151,7 +152,7 @@ def covers(df: DataFrame, items: Column, n: int, keep: dict[str, Column] | None
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([chunk[ID][0].as_py()] * len(out), pa.string()), *(pa.array(c, pa.int64()) for c in zip(*out))], [ID, "start", "end", "rows", "since", "first", "last"])
 
-    asked = heads.join(entered, [ID, "chunk"], "left")
+    asked = beside(heads, entered, [ID, "chunk"], "left")
     found = by_chunk(asked).mapInArrow(replay, f"{ID} string, start long, end long, rows long, since long, first long, last long")
     cycle = F.row_number().over(Window.partitionBy(ID).orderBy("first")).cast("long")
     return found.select(ID, cycle.alias("cycle"), "start", "end", "rows", "since", "first", "last"), rows

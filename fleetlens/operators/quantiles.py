@@ -13,31 +13,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetlens.operators.joins import beside
 from fleetlens.sources.shared import written_once
 
 BUCKETS = 64
 
 
-def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
-    """Equal keys, nulls too."""
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & a[k].eqNullSafe(b[f"_{k}"])
-    return cond
-
-
-def _beside(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    b = b.select(*(F.col(k).alias(f"_{k}") if k in keys else F.col(k) for k in b.columns))
-    return a.join(b, _same(a, b, keys), how).drop(*(f"_{k}" for k in keys))
-
-
 def quantiles(df: DataFrame, by: list[str], value: Column, probabilities: list[float], buckets: int = BUCKETS) -> DataFrame:
     """(by..., q): q has the value at each probability; groups without values don't appear."""
     counted = df.select(*by, value.cast("double").alias("__v")).where("__v IS NOT NULL").groupBy(*by, "__v").agg(F.count("*").alias("__n"))
     counted = written_once(counted, "counted")
     # a few numbers for each group; read back, so that their size is known where joins are planned
     splits = written_once(counted.groupBy(*by).agg(F.percentile_approx("__v", [i / buckets for i in range(1, buckets)], 10 * buckets).alias("__splits")), "splits")
-    placed = _beside(counted, splits, by).withColumn("__bucket", F.size(F.filter("__splits", lambda s: s < F.col("__v")))).drop("__splits")
+    placed = beside(counted, splits, by).withColumn("__bucket", F.size(F.filter("__splits", lambda s: s < F.col("__v")))).drop("__splits")
     sums = placed.groupBy(*by, "__bucket").agg(F.sum("__n").alias("__c"))
     w = Window.partitionBy(*by)
     sums = sums.withColumns({"__before": F.coalesce(F.sum("__c").over(w.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "__all": F.sum("__c").over(w)})
@@ -45,7 +33,7 @@ def quantiles(df: DataFrame, by: list[str], value: Column, probabilities: list[f
     inside = lambda r: (r >= F.col("__before")) & (r < F.col("__before") + F.col("__c"))
     wanted = sums.withColumn("__ranks", F.filter(places, lambda x: inside(F.floor(x["at"])) | inside(F.ceil(x["at"])))).where(F.size("__ranks") > 0)
     wanted = written_once(wanted.select(*by, "__bucket", "__before", "__ranks"), "wanted")
-    near = _beside(placed, wanted, [*by, "__bucket"])
+    near = beside(placed, wanted, [*by, "__bucket"])
     upto = F.sum("__n").over(Window.partitionBy(*by, "__bucket").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)) + F.col("__before")
     near = near.withColumn("__upto", upto).withColumn("__x", F.explode("__ranks")).select(*by, "__v", F.col("__x.i").alias("__i"), F.col("__x.at").alias("__at"), "__upto", (F.col("__upto") - F.col("__n")).alias("__from"))
     holds = lambda r: (r >= F.col("__from")) & (r < F.col("__upto"))
@@ -63,4 +51,4 @@ def approximate_quantiles(df: DataFrame, by: list[str], value: Column, probabili
 
 def with_quantiles(aggregated: DataFrame, df: DataFrame, by: list[str], value: Column, probabilities: list[float], out: str = "q") -> DataFrame:
     """aggregated (a row for each group of df) and the quantiles of a value; null where a group has no values."""
-    return _beside(aggregated, quantiles(df, by, value, probabilities).withColumnRenamed("q", out), by, "left")
+    return beside(aggregated, quantiles(df, by, value, probabilities).withColumnRenamed("q", out), by, "left")

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.operators.covers import CHUNK_SEC, covers
-from fleetlens.operators.timeseries import ID, T
-from fleetlens.operators.trips import rows_in_intervals
+from fleetlens.operators.joins import beside
+from fleetlens.operators.timeseries import ID
 
 
 def _plain(name: Column) -> Column:
@@ -79,11 +79,12 @@ def segment_sweeps(df: DataFrame, segments: int, group: int = 8, sensors: str =
     number = F.filter(F.col(sensors), lambda s: s.isNotNull() & (s > 0) & (s <= segments * group))
     seen = F.array_distinct(F.transform(number, lambda s: F.floor((s - 1) / group).cast("int")))
     found, rows = covers(df.where(F.size(seen) > 0), seen, segments, chunk_sec=chunk_sec)
-    spans = found.select(ID, "cycle", "first", "last")
-    # a row meets its cover by rank, as it would an interval of time
-    within = rows_in_intervals(rows.select(ID, F.col("rank").alias(T), F.explode("items").alias("segment")), spans, "first", "last", 4096)
+    # a row meets its cover by rank: equal blocks of ranks first, then the range
+    block = lambda c: F.floor(F.col(c) / 4096)
+    spans = found.select(ID, "cycle", "first", "last", F.explode(F.sequence(block("first"), block("last"))).alias("block"))
+    within = beside(rows.select(ID, "rank", block("rank").alias("block"), F.explode("items").alias("segment")), spans, [ID, "block"]).where(F.col("rank").between(F.col("first"), F.col("last")))
     counts = within.groupBy(ID, "cycle", "segment").agg(F.count("*").alias("n")).groupBy(ID, "cycle").agg(F.transform(F.sort_array(F.collect_list(F.struct("segment", "n"))), lambda x: x["n"]).alias("counts"))
-    return found.join(counts, [ID, "cycle"]).select(ID, "cycle", "start", "end", "since", "counts")
+    return beside(found, counts, [ID, "cycle"]).select(ID, "cycle", "start", "end", "since", "counts")
 
 
 def fleet_filter_view(vehicles: DataFrame, device_map: DataFrame, devices: DataFrame, operator_map: DataFrame, organizations: DataFrame, route_map: DataFrame, routes: DataFrame, cities: DataFrame, now: Column) -> DataFrame:
