@@ -81,7 +81,7 @@ def running(items: Column, start: Column, step: Callable[[Column, Column], tuple
 def _places(text: Column, rule: Column) -> Column:
     """Word intervals that a rule matches. text has a blank on either side of each word."""
     found, between = F.regexp_extract_all(text, rule["pattern"], F.lit(0)), F.split(text, rule["pattern"], -1)
-    pieces = F.zip_with(F.slice(between, 1, F.greatest(F.size(found), F.lit(1))), found, lambda b, m: F.struct(_blanks(b).alias("before"), _blanks(m).alias("inside")))
+    pieces = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda b, m: F.struct(_blanks(b).alias("before"), _blanks(m).alias("inside")))
 
     def step(blanks: Column, piece: Column) -> tuple[Column, Column]:
         first = blanks + piece["before"] - 1
