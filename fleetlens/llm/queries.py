@@ -134,8 +134,8 @@ ORACLES: dict[str, str] = {
     "op13_quality_rules": r"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
                           list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
-        p AS (SELECT r, unnest(range(1, len(w) - 6)) AS s, w FROM d WHERE len(w) > 8),
-        t AS (SELECT r, s, count(*) OVER (PARTITION BY r, array_to_string(w[s : s + 7], ' ')) AS times FROM p),
+        p AS (SELECT r, unnest(range(1, len(w) - 6)) AS s, unnest(list_transform(range(1, len(w) - 6), lambda s: array_to_string(w[s : s + 7], ' '))) AS words FROM d WHERE len(w) > 8),
+        t AS (SELECT r, s, count(*) OVER (PARTITION BY r, words) AS times FROM p),
         c AS (SELECT r, count(DISTINCT s + o) AS n_repeat_words FROM t, range(8) x(o) WHERE times > 1 GROUP BY r),
         j AS (SELECT d.r, doc_id, source, CAST(len(w) AS bigint) AS n_words, CAST(len(array_to_string(w, '')) AS bigint) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS bigint) AS n_symbols,
                      len(lines) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS bigint) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM d LEFT JOIN c ON d.r = c.r),
