@@ -9,12 +9,14 @@ from fleetlens.operators.incremental import run_days
 from fleetlens.plans.registry import query
 from fleetlens.plans.reports import _mileage
 from fleetlens.plans.series import GUN
-from fleetlens.sources.shared import new_folder
+from fleetlens.sources.shared import new_folder, written_in_order
 from fleetlens.sources.telemetry import telemetry as tel
 from fleetlens.streaming.jobs import stream_mileage_15min as streamed
 
 #: The telemetry view holds two hours of each vehicle, so that a day of these runs has half an hour.
 DAY_SEC = 1800
+#: Rows of a file of the stream, and files of a batch at most; a smaller table is four batches at least.
+FILE_ROWS, BATCH_FILES = 250_000, 16
 
 
 def _runs(spark, sf):
@@ -51,20 +53,18 @@ def stream_mileage_15min(spark, sf):
     own = spark.newSession()
     own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     own.conf.set("spark.sql.session.timeZone", "UTC")
-    own.conf.set("spark.sql.shuffle.partitions", "4")
+    own.conf.set("spark.sql.shuffle.partitions", str(max(4, own.sparkContext.defaultParallelism)))
     source, out, state = (new_folder(spark, f"mileage-{x}") for x in ("in", "out", "state"))
-    rows = tel(own, sf).select("id", F.timestamp_seconds("t_sec").alias("ts"), "t_sec", "sequence", "odo", "speed", "volts", "amps")
-    # a sample arrives up to 500 seconds after its time; files hold what arrives within an hour
-    rows = rows.withColumn("arrives", F.col("t_sec") + F.pmod(F.xxhash64("id", "sequence"), F.lit(500)))
-    hours = [r[0] for r in rows.select(F.floor(F.col("arrives") / 3600)).distinct().orderBy(F.lit(1)).collect()]
-    hours = sorted(hours)
     columns = ["id", "ts", "t_sec", "sequence", "odo", "speed", "volts", "amps"]
-    for h in hours:
-        rows.where(F.floor(F.col("arrives") / 3600) == h).orderBy("arrives").select(columns).coalesce(1).write.mode("append").parquet(source)
+    rows = tel(own, sf).withColumn("ts", F.timestamp_seconds("t_sec")).select(columns)
+    # a sample arrives up to 500 seconds after its time; a file holds what arrives within a span, a batch takes some files that follow each other
+    files = max(4, -(-rows.count() // FILE_ROWS))
+    arrives = rows.withColumn("arrives", F.col("t_sec") + F.pmod(F.xxhash64("id", "sequence"), F.lit(500)))
     # time goes on after the last sample
-    last = own.createDataFrame([("", (hours[-1] + 100) * 3600 if hours else 0)], "id string, t_sec long")
-    last.select("id", F.timestamp_seconds("t_sec").alias("ts"), "t_sec", F.lit(0).cast("long").alias("sequence"), *(F.lit(None).cast("double").alias(c) for c in columns[4:])).write.mode("append").parquet(source)
-    stream = own.readStream.schema(rows.select(columns).schema).option("maxFilesPerTrigger", 1).parquet(source)
+    last = rows.agg((F.coalesce(F.max("t_sec"), F.lit(0)) + 360_000).alias("t_sec"))
+    last = last.select(F.lit("").alias("id"), F.timestamp_seconds("t_sec").alias("ts"), "t_sec", F.lit(0).cast("long").alias("sequence"), *(F.lit(None).cast("double").alias(c) for c in columns[4:]))
+    written_in_order(arrives, "arrives", files, source, last)
+    stream = own.readStream.schema(rows.schema).option("maxFilesPerTrigger", min(files // 4, BATCH_FILES)).parquet(source)
     job = streamed(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
     job.awaitTermination()
     return spark.read.parquet(out).where("id <> ''")

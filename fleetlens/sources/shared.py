@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
@@ -36,3 +37,25 @@ def written_once(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written_in_order(df: DataFrame, by: str, files: int, path: str, after: DataFrame) -> None:
+    """df as at most `files` Parquet files, each with a range of `by`, then `after`; files' times follow that order, as streams read them.
+
+    One job writes all ranges; their times are set behind it. Rows of one value of `by` lie in one file. Folders that don't
+    keep a file's time are an error, since a stream would read the ranges in any order.
+    """
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts: list[str] = []
+    for rows in (df.repartitionByRange(files, by).drop(by), after):
+        rows.write.mode("append").parquet(path)
+        new = [name for s in fs.listStatus(folder) if (name := s.getPath().getName()).startswith("part-") and name not in parts]
+        parts += sorted(new, key=lambda name: int(name.split("-")[1]))
+    begin = int(time.time()) - len(parts)
+    for i, name in enumerate(parts):
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        fs.setTimes(place, (begin + i) * 1000, -1)
+        if fs.getFileStatus(place).getModificationTime() != (begin + i) * 1000:
+            raise OSError(f"the time of {place} could not be set")

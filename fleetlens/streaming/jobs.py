@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -57,17 +59,21 @@ def stream_mode_sessions(df: DataFrame, max_gap_sec: int = 300, late: str = "10
 class StepProcessor(StatefulProcessor):
     """The steps of each sample, as the vehicle's sample before it gives them, whatever order samples arrive in.
 
-    State of a vehicle: its last sample that was given out, and the samples that the watermark hasn't reached. A timer
+    A key is a bucket of vehicles, as a call for every vehicle costs more than its samples do. State of a bucket, as Arrow
+    batches: the last sample of each vehicle that was given out, and the samples that the watermark hasn't reached. A timer
     stands at the earliest of these; when the watermark reaches it, samples up to the watermark leave in their order.
     """
 
     HELD = "ts timestamp, t_sec long, sequence long, odo double, speed double, volts double, amps double"
     OUT = f"id string, {HELD}, step_sec long, step_km double, step_speed double"
+    NUMBERS = {"t_sec": pa.int64(), "sequence": pa.int64(), "odo": pa.float64(), "speed": pa.float64(), "volts": pa.float64(), "amps": pa.float64()}
+    ROWS = pa.schema({"id": pa.string(), "ts": pa.timestamp("us"), **NUMBERS})
+    LAST = pa.schema({"id": pa.string(), "t_sec": pa.int64(), "odo": pa.float64(), "speed": pa.float64()})
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "t_sec long, odo double, speed double")
-        self.held = handle.getListState("held", self.HELD)
+        self.last = handle.getValueState("last", "batch binary")
+        self.held = handle.getListState("held", "batch binary")
 
     def wait_for(self, earliest: int | None) -> None:
         """One timer at a time, in milliseconds."""
@@ -79,53 +85,71 @@ class StepProcessor(StatefulProcessor):
             self.handle.registerTimer(earliest)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        new = [r for b in rows for r in b[["ts", "t_sec", "sequence", "odo", "speed", "volts", "amps"]].itertuples(index=False, name=None)]
-        self.held.appendList([tuple(None if x is None or x != x else x for x in r) for r in new])
-        earliest = min(_millis(r[0]) for r in new)
-        self.wait_for(min([earliest, *self.handle.listTimers()]))
+        new = pa.concat_tables(pa.Table.from_pandas(b[self.ROWS.names], self.ROWS, preserve_index=False, safe=False) for b in rows)
+        self.held.appendValue((_packed(new),))
+        self.wait_for(min([int(_millis(new).min()), *self.handle.listTimers()]))
         return iter([])
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        rows = sorted((tuple(r) for r in self.held.get()), key=lambda r: (r[1], r[2]))
-        ready, rest = [r for r in rows if _millis(r[0]) <= now], [r for r in rows if _millis(r[0]) > now]
-        last = self.last.get() if self.last.exists() else None
-        out = []
-        for r in ready:
-            _, t, _, odo, speed, *_ = r
-            before_t, before_odo, before_speed = last or (t, None, None)
-            km = max(odo - before_odo, 0.0) if odo is not None and before_odo is not None else 0.0
-            out.append((key[0], *r, t - before_t, km, speed - before_speed if speed is not None and before_speed is not None else None))
-            last = t, odo, speed
-        if ready:
-            self.last.update(last)
+        rows = pa.concat_tables(_unpacked(blob) for (blob,) in self.held.get())
+        due = _millis(rows) <= timerValues.getCurrentWatermarkInMs()
+        ready, rest = rows.filter(pa.array(due)), rows.filter(pa.array(~due))
+        if len(ready):
+            last = _unpacked(self.last.get()[0]) if self.last.exists() else self.LAST.empty_table()
+            out, last = self.steps(last, ready)
+            self.last.update((_packed(last),))
             self.held.clear()
-            if rest:
-                self.held.put(rest)
-        self.wait_for(min((_millis(r[0]) for r in rest), default=None))
-        if out:
-            yield pd.DataFrame(out, columns=["id", "ts", "t_sec", "sequence", "odo", "speed", "volts", "amps", "step_sec", "step_km", "step_speed"])
+            if len(rest):
+                self.held.appendValue((_packed(rest),))
+        self.wait_for(int(_millis(rest).min()) if len(rest) else None)
+        if len(ready):
+            yield out.to_pandas()
+
+    def steps(self, last: pa.Table, ready: pa.Table) -> tuple[pa.Table, pa.Table]:
+        """Samples with their steps, and the last sample of each vehicle behind them. A vehicle's carried sample stands before its new ones."""
+        rows = pa.concat_tables([last, ready], promote_options="default")
+        vehicle = pc.dictionary_encode(rows["id"].combine_chunks(), null_encoding="encode").indices.to_numpy()
+        first = np.iinfo(np.int64).min
+        order = np.lexsort([*(pc.fill_null(rows[c], first).to_numpy() for c in ("sequence", "t_sec")), np.arange(len(rows)) >= len(last), vehicle])
+        rows, vehicle, new = rows.take(order), vehicle[order], order >= len(last)
+        same = vehicle[1:] == vehicle[:-1]
+        at = pa.array(np.arange(-1, len(rows) - 1), mask=np.append(True, ~same))
+        since = {c: pc.subtract(rows[c], rows[c].take(at)) for c in ("t_sec", "odo", "speed")}
+        out = rows.select(self.ROWS.names).append_column("step_sec", pc.fill_null(since["t_sec"], 0))
+        out = out.append_column("step_km", pc.max_element_wise(since["odo"], 0.0)).append_column("step_speed", since["speed"])
+        return out.filter(pa.array(new)), rows.select(self.LAST.names).filter(pa.array(np.append(~same, True)))
 
     def close(self) -> None:
         pass
 
 
-def _millis(ts: datetime | pd.Timestamp) -> int:
-    ts = pd.Timestamp(ts)
-    return (ts.tz_localize("UTC") if ts.tzinfo is None else ts).value // 1_000_000
+def _millis(rows: pa.Table) -> np.ndarray:
+    return rows["ts"].cast(pa.int64()).to_numpy() // 1000
 
 
-def stream_mileage_15min(df: DataFrame, late: str = "10 minutes", period_sec: int = 900, least_km: float = 0.01, dt_cap: float = 300, regen: float = 0.8) -> DataFrame:
+def _packed(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(blob).read_all()
+
+
+def stream_mileage_15min(df: DataFrame, late: str = "10 minutes", period_sec: int = 900, least_km: float = 0.01, dt_cap: float = 300, regen: float = 0.8, buckets: int = 256) -> DataFrame:
     """(id, period, km, used_kwh, regen_kwh, idle_kwh, ...) of each vehicle and quarter of an hour, as mileage_energy gives it for the whole table.
 
     df: id, ts, t_sec, sequence, odo, speed, volts, amps; rows come in any order within the lateness. Two stateful operators in a
     chain: steps between a vehicle's samples, then tumbling windows over them, which close in the batch whose watermark
-    passes their end. The session must keep state in RocksDB (spark.sql.streaming.stateStore.providerClass) and its time
+    passes their end. A task takes a bucket's samples of a batch at once; a checkpoint stays with its number of buckets. The session must keep state in RocksDB (spark.sql.streaming.stateStore.providerClass) and its time
     zone at UTC.
     """
     ship_package(df.sparkSession)
     rows = df.select("id", "ts", "t_sec", "sequence", "odo", "speed", "volts", "amps").withWatermark("ts", late)
-    steps = rows.groupBy("id").transformWithStateInPandas(StepProcessor(), StepProcessor.OUT, "Append", "EventTime", eventTimeColumnName="ts")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)))
+    steps = rows.groupBy("bucket").transformWithStateInPandas(StepProcessor(), StepProcessor.OUT, "Append", "EventTime", eventTimeColumnName="ts")
     out = mileage_totals(steps, ["id", F.window("ts", f"{period_sec} seconds").alias("w")], period_sec, least_km, dt_cap, regen)
     return out.withColumn("period", F.unix_seconds("w.start")).drop("w")
 
