@@ -56,3 +56,19 @@ def test_a_vehicle_that_rests_for_a_day(spark, tmp_path):
     got = {(r.id, r.sequence): (r.since, r.odo, r.lat, r.lon) for r in runs.samples().collect()}
     assert got == {("a", 1): (None, 5.0, 1.0, 2.0), ("a", 2): (40, 5.0, 1.0, 2.0), ("b", 1): (None, None, None, None), ("b", 2): (90, 7.0, 4.0, 5.0), ("a", 3): (190, 9.0, 1.0, 2.0), ("a", 4): (10, 9.0, 1.0, 2.0)}
     assert everything(runs.sessions()) == sorted([(240, "a", 4.0, "X", False, 3, 10), (250, "a", 0.0, "Y", True, 1, 250), (150, "b", 0.0, None, True, 2, 60)], key=str)
+
+
+def test_the_number_of_days_does_not_multiply_what_is_read(spark, rows, tmp_path):
+    n, read = rows.count(), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    df = spark.createDataFrame(rows.toArrow()).mapInArrow(counted, rows.schema)
+    runs = run_days(df, F.floor(F.col("t_sec") / 600), str(tmp_path / "runs"))
+    assert len(runs.days()) > 4 and runs.samples().count() == n
+    # once to find the ranges, once to write the days
+    assert n <= read.value <= 2 * n
+    assert sorted(p.name for p in (tmp_path / "runs").iterdir()) == ["samples", "sessions", "state"]
