@@ -15,6 +15,7 @@ Only step 3 takes a vehicle as a whole, and passes its runs by in order, without
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -51,41 +52,60 @@ def _next_places(rows: DataFrame, items: int) -> DataFrame:
     return grid.groupBy(ID, "chunk").agg(places.alias("places"))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each chunk, for batches sorted by vehicle, chunk and rank; each chunk begins with its head, of rank -1."""
+def _chunks(batches: Iterator[pa.RecordBatch], rows: int = 65_536) -> Iterator[pa.Table]:
+    """Whole chunks, some `rows` rows at once, of batches sorted by vehicle, chunk and rank; each chunk begins with its head, of rank -1."""
     held: list[pa.RecordBatch] = []
+    n = 0
     for b in batches:
-        heads = np.flatnonzero(b.column("rank").to_numpy() == -1).tolist()
-        starts = set(heads)
-        for begin, end in zip([0, *heads], [*heads, len(b)]):
-            if held and begin in starts:
-                yield pa.Table.from_batches(held).combine_chunks()
-                held = []
-            if end > begin:
-                held.append(b.slice(begin, end - begin))
-    if held:
+        if n >= rows and len(heads := np.flatnonzero(b.column("rank").to_numpy() == -1)):
+            yield pa.Table.from_batches([*held, b.slice(0, heads[0])]).combine_chunks()
+            held, n, b = [], 0, b.slice(heads[0])
+        held.append(b)
+        n += len(b)
+    if n:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _links(chunk: pa.Table, items: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """(rank of the first row, times, rank and time of the row that ends a cover begun at each row) of one chunk."""
-    places = [(NEVER, NEVER) if p["rank"] is None else (p["rank"], p["at"]) for p in chunk["places"][0].as_py()]
-    rows = chunk.slice(1)
-    first, times = rows["rank"][0].as_py(), rows[T].to_numpy()
-    lists = pa.concat_arrays(rows["items"].chunks)
+class _Links(NamedTuple):
+    """Of some chunks: their heads, where each begins and stops among the rows, and for each row its chunk, rank, time, and rank and time of the row that ends a cover begun there."""
+
+    heads: pa.Table
+    begin: np.ndarray
+    stop: np.ndarray
+    chunk: np.ndarray
+    rank: np.ndarray
+    time: np.ndarray
+    end: np.ndarray
+    until: np.ndarray
+
+
+def _links(table: pa.Table, items: int) -> _Links:
+    head = table["rank"].to_numpy() == -1
+    heads, rows = table.filter(pa.array(head)), table.filter(pa.array(~head))
+    chunk = np.cumsum(head)[~head] - 1
+    size = np.bincount(chunk, minlength=len(heads))
+    stop = np.cumsum(size)
+    places = heads["places"].combine_chunks().flatten().flatten()
+    behind_rank, behind_time = (pc.fill_null(x, NEVER).to_numpy().reshape(len(heads), items) for x in places)
+    rank, time, m = rows["rank"].to_numpy(), rows[T].to_numpy(), len(rows)
+    lists = rows["items"].combine_chunks()
     item, at = lists.flatten().to_numpy(), pc.list_parent_indices(lists).to_numpy()
-    end = np.zeros(len(times), np.int64)
+    order = np.argsort(item, kind="stable")
+    bounds, at = np.searchsorted(item[order], np.arange(items + 1)), at[order]
+    end, until = np.full(m, -1), np.full(m, -1)
     for i in range(items):
-        seen = np.full(len(times), places[i][0])
-        has = at[item == i]
-        seen[has] = first + has
-        end = np.maximum(end, np.minimum.accumulate(seen[::-1])[::-1])
-    here = end < first + len(times)
-    until = np.where(here, times[np.where(here, end - first, 0)], NEVER)
-    for rank, t in places:
-        if rank != NEVER:
-            until[end == rank] = t
-    return first, times, end, until
+        # places ascend from chunk to chunk, so that one running minimum serves all
+        has = at[bounds[i] : bounds[i + 1]]
+        place = np.full(m, m)
+        place[has] = has
+        place = np.minimum.accumulate(place[::-1])[::-1]
+        here = place < stop[chunk]
+        place = np.where(here, place, 0)
+        r = np.where(here, rank[place], behind_rank[chunk, i])
+        later = r > end
+        end[later] = r[later]
+        until[later] = np.where(here, time[place], behind_time[chunk, i])[later]
+    return _Links(heads, stop - size, stop, chunk, rank, time, end, until)
 
 
 def covers(df: DataFrame, items: Column, n: int, keep: dict[str, Column] | None = None, chunk_sec: int = CHUNK_SEC) -> tuple[DataFrame, DataFrame]:
@@ -105,20 +125,18 @@ def covers(df: DataFrame, items: Column, n: int, keep: dict[str, Column] | None
         return both.repartition(ID, "chunk").sortWithinPartitions(ID, "chunk", "rank")
 
     def ways_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks(batches):
-            first, times, end, until = _links(chunk, n)
-            m = len(times)
-            out, at, ends, untils = [-1] * m, [-1] * m, end.tolist(), until.tolist()
-            for i in range(m - 1, -1, -1):
-                e = ends[i]
-                if e < first + m - 1:
-                    out[i], at[i] = out[e + 1 - first], at[e + 1 - first]
-                elif e != NEVER:
-                    out[i], at[i] = e, untils[i]
-            exits = np.array(out)
-            last = np.flatnonzero(np.append(exits[1:] != exits[:-1], True))
-            size = len(last)
-            yield pa.RecordBatch.from_arrays([pa.array([chunk[ID][0].as_py()] * size, pa.string()), pa.array([chunk["chunk"][0].as_py()] * size, pa.int64()), pa.array(first + last), pa.array(exits[last]), pa.array(np.array(at)[last])], [ID, "chunk", "upto", "exit", "at"])
+        for table in _chunks(batches):
+            k = _links(table, n)
+            leaves = k.end >= k.rank[k.stop - 1][k.chunk]
+            here = np.arange(len(k.rank))
+            goal = np.where(leaves, here, here + k.end + 1 - k.rank)
+            while (goal[goal] != goal).any():
+                goal = goal[goal]
+            out = k.end != NEVER
+            exits, at = (np.where(out, x, -1)[goal] for x in (k.end, k.until))
+            last = np.flatnonzero(np.append((exits[1:] != exits[:-1]) | (k.chunk[1:] != k.chunk[:-1]), True))
+            heads = k.heads.select([ID, "chunk"]).take(k.chunk[last])
+            yield from pa.table([*heads.columns, pa.array(k.rank[last]), pa.array(exits[last]), pa.array(at[last])], [ID, "chunk", "upto", "exit", "at"]).to_batches()
 
     runs = by_chunk(heads).mapInArrow(ways_out, f"{ID} string, chunk long, upto long, exit long, at long")
 
@@ -139,18 +157,19 @@ def covers(df: DataFrame, items: Column, n: int, keep: dict[str, Column] | None
     entered = runs.repartition(ID).sortWithinPartitions(ID, "upto").mapInArrow(entries, f"{ID} string, chunk long, entry long, before long")
 
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks(batches):
-            entry, before, out = chunk["entry"][0].as_py(), chunk["before"][0].as_py(), []
-            if entry is None:
-                continue
-            first, times, end, until = _links(chunk, n)
-            i = entry - first
-            while i < len(times) and end[i] != NEVER:
-                start = int(times[i])
-                out.append((start, int(until[i]), int(end[i]) - first - i + 1, None if before is None else start - before, first + i, int(end[i])))
-                before, i = int(until[i]), int(end[i]) + 1 - first
+        for table in _chunks(batches):
+            k = _links(table, n)
+            rank, time, end, until = (x.tolist() for x in (k.rank, k.time, k.end, k.until))
+            out = []
+            for c, (entry, before, begin, stop) in enumerate(zip(k.heads["entry"].to_pylist(), k.heads["before"].to_pylist(), k.begin.tolist(), k.stop.tolist())):
+                i = stop if entry is None else begin + entry - rank[begin]
+                while i < stop and end[i] != NEVER:
+                    rows = end[i] - rank[i] + 1
+                    out.append((c, time[i], until[i], rows, None if before is None else time[i] - before, rank[i], end[i]))
+                    before, i = until[i], i + rows
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([chunk[ID][0].as_py()] * len(out), pa.string()), *(pa.array(c, pa.int64()) for c in zip(*out))], [ID, "start", "end", "rows", "since", "first", "last"])
+                at, *columns = (pa.array(c, pa.int64()) for c in zip(*out))
+                yield from pa.table([k.heads[ID].take(at), *columns], [ID, "start", "end", "rows", "since", "first", "last"]).to_batches()
 
     asked = beside(heads, entered, [ID, "chunk"], "left")
     found = by_chunk(asked).mapInArrow(replay, f"{ID} string, start long, end long, rows long, since long, first long, last long")

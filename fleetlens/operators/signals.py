@@ -81,10 +81,12 @@ def segment_sweeps(df: DataFrame, segments: int, group: int = 8, sensors: str =
     found, rows = covers(df.where(F.size(seen) > 0), seen, segments, chunk_sec=chunk_sec)
     # a row meets its cover by rank: equal blocks of ranks first, then the range
     block = lambda c: F.floor(F.col(c) / 4096)
-    spans = found.select(ID, "cycle", "first", "last", F.explode(F.sequence(block("first"), block("last"))).alias("block"))
-    within = beside(rows.select(ID, "rank", block("rank").alias("block"), F.explode("items").alias("segment")), spans, [ID, "block"]).where(F.col("rank").between(F.col("first"), F.col("last")))
-    counts = within.groupBy(ID, "cycle", "segment").agg(F.count("*").alias("n")).groupBy(ID, "cycle").agg(F.transform(F.sort_array(F.collect_list(F.struct("segment", "n"))), lambda x: x["n"]).alias("counts"))
-    return beside(found, counts, [ID, "cycle"]).select(ID, "cycle", "start", "end", "since", "counts")
+    spans = found.select(ID, "cycle", "start", "end", "since", "first", "last", F.explode(F.sequence(block("first"), block("last"))).alias("block"))
+    within = beside(rows.select(ID, "rank", block("rank").alias("block"), "items"), spans, [ID, "block"]).where(F.col("rank").between(F.col("first"), F.col("last")))
+    cover = [ID, "cycle", "start", "end", "since"]
+    # every cover has rows of each segment, so that none is lost here
+    counts = within.select(*cover, F.explode("items").alias("segment")).groupBy(*cover, "segment").agg(F.count("*").alias("n"))
+    return counts.groupBy(*cover).agg(F.transform(F.sort_array(F.collect_list(F.struct("segment", "n"))), lambda x: x["n"]).alias("counts"))
 
 
 def fleet_filter_view(vehicles: DataFrame, device_map: DataFrame, devices: DataFrame, operator_map: DataFrame, organizations: DataFrame, route_map: DataFrame, routes: DataFrame, cities: DataFrame, now: Column) -> DataFrame:

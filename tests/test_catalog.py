@@ -1,10 +1,13 @@
 """Dumps, table copies, signal bytes and ranges, segment sweeps (also as a stream), on small inputs."""
 
 import datetime
+import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from fleetlens.operators import signals as G
+from fleetlens.operators.covers import _chunks
 from fleetlens.sources import tables as B
 from fleetlens.streaming import jobs
 
@@ -77,6 +80,41 @@ def test_segment_sweeps(spark):
     assert got == [("None", 1, 5, 5, None, [1, 1]), ("a", 1, 10, 20, None, [1, 1]), ("a", 2, 40, 40, 20, [1, 1]), ("b", 1, 0, 0, None, [1, 1])]
 
 
+def test_segment_sweeps_of_many_short_chunks(spark, capsys):
+    rng = random.Random(3)
+    rows = [(None if v == 5 else str(v), 7 * i + rng.randrange(7), i, [rng.randrange(-1, 14) for _ in range(rng.randrange(4))]) for v in range(12) for i in range(150)]
+    want = []
+    for v in range(12):
+        cycle, before, seen = 0, None, []
+        for i, t, _, s in rows[150 * v : 150 * v + 150]:
+            has = {(x - 1) // 3 for x in s if 0 < x <= 12}
+            if not has:
+                continue
+            seen.append((t, has))
+            if len(set().union(*(h for _, h in seen))) == 4:
+                cycle += 1
+                want.append((str(i), cycle, seen[0][0], t, None if before is None else seen[0][0] - before, [sum(g in h for _, h in seen) for g in range(4)]))
+                before, seen = t, []
+    assert len(want) > 100
+    df = spark.createDataFrame(rows, "id string, t_sec long, sequence long, sensors array<int>")
+    for chunk_sec in (10, 100, 10_000):
+        found = G.segment_sweeps(df, segments=4, group=3, chunk_sec=chunk_sec)
+        assert sorted((str(r.id), r.cycle, r.start, r.end, r.since, r.counts) for r in found.collect()) == sorted(want)
+    # covers are found once: ways out of chunks, entries, covers
+    capsys.readouterr()
+    found.explain()
+    assert capsys.readouterr().out.split("Initial Plan")[0].count("MapInArrow") == 3
+
+
+def test_chunks_are_worked_on_together():
+    ranks = [x for size in (3, 1, 5, 2, 400, 1, 1, 2) for x in range(-1, size)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(ranks[i : i + 7])], ["rank"]) for i in range(0, len(ranks), 7)]
+    tables = [t["rank"].to_pylist() for t in _chunks(iter(batches), 20)]
+    assert sum(tables, []) == ranks and all(t[0] == -1 for t in tables)
+    assert [t.count(-1) for t in tables] == [5, 3]
+    assert len(list(_chunks(iter(batches)))) == 1 and not list(_chunks(iter([])))
+
+
 def test_streaming_sweeps(spark, tmp_path):
     df = spark.createDataFrame([("a", 10 * i, s) for i, s in enumerate([0, 1, 1, None, 2, 0, 2, 1, 0])], "id string, t long, sensor int")
     for part, rows in enumerate((df.where("t <= 20"), df.where("t > 20"))):
